@@ -1,0 +1 @@
+"""No streaming operators: the covered workload is daily batch only (sessions are batch as well)."""
