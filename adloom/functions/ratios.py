@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 RATE_DIGITS = 5
 
 
-def stable_round(value: Column, digits: int = RATE_DIGITS) -> Column:
-    """Half-up rounding that does not depend on the order in which a float sum was added up.
+def money(total: Column) -> Column:
+    """A float sum of money without the noise in its last bits.
 
-    The last bits of a distributed sum vary from run to run; near a tie they would decide the rounding direction.
+    The order in which a distributed sum is added up varies from run to run; near a tie the noise would decide which
+    way a rate is rounded. Amounts have far fewer than eight decimals, so nothing else is lost.
     """
-    return F.round(F.round(value, 12), digits)
+    return F.round(total.cast("double"), 8)
+
+
+def stable_round(value: Column) -> Column:
+    """Half-up rounding of a quotient of float sums."""
+    return F.round(F.round(value, 12), RATE_DIGITS)
 
 
 def _guarded(numerator: Column, denominator: Column, finish) -> Column:
@@ -32,8 +38,8 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def money_ratio(numerator: Column, denominator: Column) -> Column:
-    """``safe_ratio`` with a float sum on either side."""
-    return _guarded(numerator, denominator, stable_round)
+    """``safe_ratio`` of a sum of money."""
+    return _guarded(money(numerator), denominator, stable_round)
 
 
 def ctr(clicks: Column, impressions: Column) -> Column:
@@ -46,7 +52,7 @@ def cvr(conversions: Column, clicks: Column) -> Column:
 
 def rpm(gmv: Column, impressions: Column) -> Column:
     """Revenue per thousand impressions."""
-    return money_ratio(gmv * F.lit(1000.0), impressions)
+    return money_ratio(money(gmv) * F.lit(1000.0), impressions)
 
 
 def roi(gmv: Column, cost: Column) -> Column:
@@ -55,7 +61,7 @@ def roi(gmv: Column, cost: Column) -> Column:
 
 def growth_rate(current: Column, previous: Column) -> Column:
     """Relative change against ``previous``; NULL where there is nothing to compare with."""
-    return F.when(previous != 0.0, stable_round((current - previous) / previous))
+    return F.when(previous != 0.0, stable_round((money(current) - money(previous)) / money(previous)))
 
 
 def spend_flag(cost: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adloom.functions.ratios import ctr, cvr, growth_rate, money_ratio, roi, rpm, spend_flag, stable_round
+from adloom.functions.ratios import ctr, cvr, growth_rate, money, money_ratio, roi, rpm, spend_flag, stable_round
 from adloom.sources.tables import last_days, one_day
 
 _COUNTS = ["impressions", "clicks", "conversions"]
@@ -37,7 +37,7 @@ def kpi_overview(campaign_daily: DataFrame, user_daily: DataFrame) -> DataFrame:
         rpm(c("gmv"), c("impressions")).alias("rpm"),
         money_ratio(c("gmv"), c("active")).alias("arpu"),
         F.coalesce("active", F.lit(0).cast("bigint")).alias("active_users"),
-        roi(c("gmv"), c("cost")).alias("roi"),
+        roi(c("gmv"), money(c("cost"))).alias("roi"),
     )
 
 

@@ -314,8 +314,8 @@ register("user_tag_snapshot", 6)(lambda x: x.snapshot)
 register("user_tag_snapshot_scaled", 6)(lambda x: x.scaled_snapshot)
 register("user_tag_snapshot_day", 6)(lambda x: tags.user_tag_snapshot(x.user_daily, DAY))
 register("tag_explode", 6)(lambda x: tags.tag_rows(x.scaled_snapshot))
-register("tag_quality_daily", 6)(lambda x: x.tag_quality)
-register("tag_quality_scaled", 6)(lambda x: x.scaled_tag_quality)
+register("tag_quality_daily", 9)(lambda x: x.tag_quality)
+register("tag_quality_scaled", 9)(lambda x: x.scaled_tag_quality)
 
 
 @register("tag_dict")

@@ -27,6 +27,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TIMES: list[float] = []
+
+
 def _plain(value):
     if isinstance(value, float):
         return "NaN" if math.isnan(value) else repr(value)
@@ -40,7 +43,9 @@ def _rows(rows, names):
 
 def compare(df, con, sql: str) -> str | None:
     """None if equal, else what differs."""
+    start = time.time()
     got_names, got = df.columns, [tuple(r) for r in df.collect()]
+    TIMES.append(time.time() - start)
     cur = con.execute(sql)
     want_names, want = [d[0] for d in cur.description], cur.fetchall()
     if sorted(got_names) != sorted(want_names):
@@ -80,5 +85,5 @@ if __name__ == "__main__":
         except Exception as error:  # report and go on
             result = f"{type(error).__name__}: {str(error)[:600]}"
         failed += result is not None
-        print(f"{name:28s} {time.time() - start:6.2f}s {result or 'ok'}", flush=True)
+        print(f"{name:28s} {time.time() - start:6.2f}s spark {TIMES[-1] if TIMES else 0:5.2f}s {result or 'ok'}", flush=True)
     print("not ok:", failed)
