@@ -158,26 +158,6 @@ class Layers:
     def skewed(self) -> DataFrame:
         return skew.rekey_skewed(self.events, self.sequence, SKEW_KEYS, hot_key=HOT)
 
-    @cached_property
-    def gate_tables(self) -> dict[str, DataFrame]:
-        """Inputs of the gate, by table name."""
-        return {
-            "ods.ad_event_log": self.raw("events"),
-            "ods.conversion_log": self.raw("conversions"),
-            "ods.ad_cost": self.raw("cost"),
-            "dwd.ad_impression_detail": self.impressions,
-            "dwd.ad_click_detail": self.clicks,
-            "dwd.ad_conversion_detail": self.converted,
-            "dws.campaign_daily": self.campaign_daily,
-            "dws.advertiser_daily": self.advertiser_daily,
-            "dws.user_daily": self.user_daily,
-            "dws.tag_quality_daily": self.scaled_tag_quality,
-            "ads.kpi_overview_daily": self.overview,
-            "ads.campaign_ranking_daily": self.ranking,
-            "ads.advertiser_dashboard_daily": self.dashboard,
-            "ads.tag_effectiveness_daily": reports.tag_effectiveness(self.scaled_tag_quality),
-        }
-
 
 def register(name: str, digits: int | None = None):
     def wrap(build: Callable[[Layers], DataFrame]):
@@ -369,7 +349,43 @@ register("product_distribution")(lambda x: profile.product_distribution(x.ads))
 
 # ---------------------------------------------------------------- quality
 
-register("dq_report")(lambda x: quality.dq_report(x.gate_tables))
+@register("dq_report")
+def _dq_report(x: Layers) -> DataFrame:
+    """The gate over all layers. What several checks build on is stored once and read back."""
+    folder = scratch_dir(x.spark, "gate")
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        path = f"{folder}/{name}"
+        sinks.write_result(df, path)
+        return tables.read_parquet(x.spark, path)
+
+    impressions, clicks = stored("impressions", x.impressions), stored("clicks", x.clicks)
+    converted = stored("conversions", x.converted)
+    seen = metrics.traffic(impressions, clicks)
+    campaigns = stored("campaigns", metrics.campaign_daily(seen, converted, x.day_cost))
+    advertisers = stored("advertisers", metrics.advertiser_daily(seen, converted, x.day_cost))
+    users = stored("users", metrics.user_daily(seen, converted))
+    tag_quality = tags.tag_quality_daily(tags.user_tag_snapshot(users, thresholds=SCALED))
+    return quality.dq_report(
+        {
+            "ods.ad_event_log": x.raw("events"),
+            "ods.conversion_log": x.raw("conversions"),
+            "ods.ad_cost": x.raw("cost"),
+            "dwd.ad_impression_detail": impressions,
+            "dwd.ad_click_detail": clicks,
+            "dwd.ad_conversion_detail": converted,
+            "dws.campaign_daily": campaigns,
+            "dws.advertiser_daily": advertisers,
+            "dws.user_daily": users,
+            "dws.tag_quality_daily": tag_quality,
+            "ads.kpi_overview_daily": reports.kpi_overview(campaigns, users),
+            "ads.campaign_ranking_daily": reports.campaign_ranking(campaigns),
+            "ads.advertiser_dashboard_daily": reports.advertiser_dashboard(advertisers),
+            "ads.tag_effectiveness_daily": reports.tag_effectiveness(tag_quality),
+        }
+    )
+
+
 register("dq_nulls")(
     lambda x: quality.null_counts(x.events, [*quality.REQUIRED_EVENT_COLUMNS, "session_id", "is_valid"])
 )

@@ -39,6 +39,12 @@ def sized(df: DataFrame, *columns: str) -> DataFrame:
     return df.hint("rebalance", *columns)
 
 
+def conform(df: DataFrame, table: Table) -> DataFrame:
+    """The columns of ``table`` in table order with their declared types, and ``dt`` last where partitioned."""
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields]
+    return df.select(*columns, "dt") if table.partitioned else df.select(*columns)
+
+
 def write_days(df: DataFrame, path: str) -> None:
     """Replace the days present in ``df``; every other day of the directory stays as it is."""
     (
@@ -54,7 +60,7 @@ def insert_day(df: DataFrame, table: Table, dt: str) -> None:
     """Replace one day of a catalog table, columns in table order; an empty day empties the partition."""
     day = date.fromisoformat(dt).isoformat()
     columns = ", ".join(table.names)
-    rows = sized(df.where(F.col("dt") == day).select(*table.names))
+    rows = sized(conform(df.where(F.col("dt") == day), table).drop("dt"))
     rows.sparkSession.sql(
         f"INSERT OVERWRITE TABLE {table.full_name} PARTITION (dt = {_quoted(day)}) SELECT {columns} FROM {{rows}}",
         rows=rows,
@@ -63,7 +69,7 @@ def insert_day(df: DataFrame, table: Table, dt: str) -> None:
 
 def write_whole(df: DataFrame, table: Table, path: str) -> None:
     """Replace a whole table: the catalog table where declared, else the directory."""
-    rows = sized(df.select(*table.names))
+    rows = sized(conform(df, table))
     if df.sparkSession.catalog.tableExists(table.full_name):
         rows.write.mode("overwrite").insertInto(table.full_name)
     else:
@@ -72,7 +78,7 @@ def write_whole(df: DataFrame, table: Table, path: str) -> None:
 
 def store_days(df: DataFrame, table: Table, path: str) -> None:
     """Replace the days present in ``df`` of table ``table``: by catalog name where declared, else by path."""
-    rows = df.select(*table.names, "dt")
+    rows = conform(df, table)
     if df.sparkSession.catalog.tableExists(table.full_name):
         writer = sized(rows, "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.insertInto(table.full_name)
