@@ -17,28 +17,20 @@ DAY_FORMAT = "yyyy-MM-dd"
 
 
 def as_timestamp(df: DataFrame, name: str) -> Column:
-    if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType)):
+    if is_time_type(df, name):
         return F.col(name)
-    return F.try_to_timestamp(F.col(name).cast("string"), F.lit(TIME_FORMAT))
+    return F.expr(f"try_to_timestamp(CAST({name} AS STRING), '{TIME_FORMAT}')")
 
 
 def as_date(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.DateType):
-        return F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.to_date(F.col(name))
-    return F.try_to_timestamp(F.col(name).cast("string"), F.lit(DAY_FORMAT)).cast("date")
+    if isinstance(df.schema[name].dataType, T.DateType) or is_time_type(df, name):
+        return F.col(name).cast("date")
+    return F.expr(f"CAST(try_to_timestamp(CAST({name} AS STRING), '{DAY_FORMAT}') AS DATE)")
 
 
 def blank_to_null(column: Column) -> Column:
     return F.nullif(column.cast("string"), F.lit(""))
 
 
-def day_of(column: Column) -> Column:
-    """Partition label ``yyyy-MM-dd`` of a date or timestamp (with or without time zone)."""
-    return column.cast("date").cast("string")
-
-
 def is_time_type(df: DataFrame, name: str) -> bool:
     return name in df.columns and isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adloom.functions.parsing import as_date, as_timestamp, blank_to_null
@@ -28,7 +27,11 @@ def backfill(df: DataFrame, defaults: Mapping[str, tuple[str, object]]) -> DataF
 
 
 def _strings(*names: str) -> list[Column]:
-    return [F.col(n).cast("string").alias(n) for n in names]
+    return [F.expr(f"CAST({n} AS STRING) AS {n}") for n in names]
+
+
+def _number(name: str, kind: str) -> Column:
+    return F.expr(f"try_cast({name} AS {kind}) AS {name}")
 
 
 def standard_events(raw: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def standard_events(raw: DataFrame) -> DataFrame:
         as_timestamp(df, "event_time").alias("event_time"),
         *_strings("dt", "user_id", "session_id", "ad_id", "campaign_id", "creative_id", "site_id", "page_id"),
         *_strings("ad_slot_id", "device", "user_agent", "ip"),
-        F.col("is_valid").try_cast("int").alias("is_valid"),
+        _number("is_valid", "int"),
         *_strings("event_type"),
     )
 
@@ -49,18 +52,18 @@ def standard_conversions(raw: DataFrame) -> DataFrame:
         *_strings("conv_id"),
         as_timestamp(raw, "conv_time").alias("conv_time"),
         *_strings("dt", "user_id", "ad_id", "campaign_id", "order_id"),
-        F.col("gmv_amount").try_cast("double").alias("gmv_amount"),
+        _number("gmv_amount", "double"),
     )
 
 
 def standard_cost(raw: DataFrame) -> DataFrame:
-    return raw.select(*_strings("dt", "campaign_id"), F.col("cost").try_cast("double").alias("cost"))
+    return raw.select(*_strings("dt", "campaign_id"), _number("cost", "double"))
 
 
 def user_dimension(raw: DataFrame) -> DataFrame:
     return raw.select(
         *_strings("user_id", "gender"),
-        F.col("age").try_cast("int").alias("age"),
+        _number("age", "int"),
         *_strings("region", "device_type"),
         as_date(raw, "register_dt").alias("register_dt"),
     )
@@ -79,7 +82,7 @@ def ad_dimension(raw: DataFrame) -> DataFrame:
 def slot_dimension(raw: DataFrame) -> DataFrame:
     return raw.select(
         *_strings("ad_slot_id", "slot_type", "app", "position"),
-        F.col("price_factor").try_cast("double").alias("price_factor"),
+        _number("price_factor", "double"),
     )
 
 
@@ -111,9 +114,9 @@ def newest(df: DataFrame, keys: Sequence[str], time_column: str) -> DataFrame:
     row per key, so a key that owns a large part of the input never gathers in one task.
     """
     rest = [c for c in df.columns if c not in (*keys, time_column)]
-    order = [F.col(time_column).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in rest]]
-    ranked = df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("_n") == 1).drop("_n")
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in (time_column, *rest))
+    rank = F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})")
+    return df.withColumn("_n", rank).where("_n = 1").drop("_n")
 
 
 def unique_rows(dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -124,7 +127,7 @@ def unique_rows(dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     rest = [c for c in dimension.columns if c not in keys]
     picked = dimension.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
-    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+    return picked.select(*keys, "_row.*")
 
 
 def campaign_day_cost(cost: DataFrame) -> DataFrame:

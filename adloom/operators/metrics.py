@@ -44,33 +44,19 @@ def traffic(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
     )
 
 
-def _of_type(event_type: str) -> Column:
-    return F.col("event_type") == event_type
+# SQL of the counters a fact row contributes to.
+_TRAFFIC = {"impressions": "event_type = 'impression'", "clicks": "event_type = 'click'"}
+_CONVERSION = {"conversions": "1", "gmv_amount": "coalesce(CAST(gmv_amount AS DOUBLE), 0.0)"}
+_COST = {"cost": "coalesce(CAST(cost AS DOUBLE), 0.0)"}
 
 
-def _counters(fact: DataFrame, keys: list[str], **filled: Column) -> DataFrame:
+def _counters(fact: DataFrame, keys: list[str], filled: dict[str, str]) -> DataFrame:
     """Fact rows as counter rows: the named counters filled, the others zero."""
-    return fact.select(*keys, *[filled.get(c, F.lit(0)).cast(kind).alias(c) for c, kind in _KINDS.items()])
-
-
-def _money(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-
-
-def _traffic_counters(seen: DataFrame, keys: list[str]) -> DataFrame:
-    return _counters(seen, keys, impressions=_of_type("impression"), clicks=_of_type("click"))
-
-
-def _conversion_counters(conversions: DataFrame, keys: list[str]) -> DataFrame:
-    return _counters(conversions, keys, conversions=F.lit(1), gmv_amount=_money("gmv_amount"))
-
-
-def _cost_counters(cost: DataFrame, keys: list[str]) -> DataFrame:
-    return _counters(cost, keys, cost=_money("cost"))
+    return fact.selectExpr(*keys, *[f"CAST({filled.get(c, '0')} AS {kind}) AS {c}" for c, kind in _KINDS.items()])
 
 
 def _sums(*names: str) -> list[Column]:
-    return [F.sum(c).alias(c) for c in names]
+    return [F.expr(f"sum({c}) AS {c}") for c in names]
 
 
 def _with_rates(df: DataFrame) -> DataFrame:
@@ -91,11 +77,12 @@ def campaign_daily(seen: DataFrame, conversions: DataFrame, cost: DataFrame) ->
     ``seen`` holds impressions and clicks (see ``traffic``), ``cost`` one row per campaign and day.
     """
     keys = ["dt", "campaign_id"]
-    facts = stack(_traffic_counters(seen, keys), _conversion_counters(conversions, keys), _cost_counters(cost, keys))
-    known = F.col("campaign_id").isNotNull()
+    facts = stack(
+        _counters(seen, keys, _TRAFFIC), _counters(conversions, keys, _CONVERSION), _counters(cost, keys, _COST)
+    )
     totals = facts.groupBy(*keys).agg(*_sums(*COUNTERS))
     return _with_rates(
-        totals.select(*keys, *[F.when(known, F.col(c)).otherwise(F.lit(0)).cast(k).alias(c) for c, k in _KINDS.items()])
+        totals.selectExpr(*keys, *[f"CAST(if(campaign_id IS NULL, 0, {c}) AS {k}) AS {c}" for c, k in _KINDS.items()])
     )
 
 
@@ -110,7 +97,7 @@ def campaign_advertiser_map(seen: DataFrame) -> DataFrame:
     impression. Both uses of the pairs share one exchange, and the days are a handful of rows.
     """
     pairs = seen.where(_in_map()).groupBy("dt", "campaign_id", "advertiser_id").agg(
-        F.bool_or(_of_type("impression")).alias("by_impression")
+        F.expr("bool_or(event_type = 'impression') AS by_impression")
     )
     mapped_days = pairs.where("by_impression").select("dt").distinct().withColumn("mapped", F.lit(True))
     chosen = pairs.join(mapped_days, "dt", "left").where(F.col("by_impression") | F.col("mapped").isNull())
@@ -128,9 +115,9 @@ def _attributed(seen: DataFrame, conversions: DataFrame | None, cost: DataFrame)
     """
     keys = ["dt", "campaign_id", "advertiser_id"]
     spent = cost.withColumn("advertiser_id", F.lit(None).cast("string"))
-    facts = [_traffic_counters(seen, keys), _cost_counters(spent, keys)]
+    facts = [_counters(seen, keys, _TRAFFIC), _counters(spent, keys, _COST)]
     if conversions is not None:
-        facts.append(_conversion_counters(conversions, keys))
+        facts.append(_counters(conversions, keys, _CONVERSION))
     spent_rows = [F.lit(0), F.lit(1), F.lit(0)]
     cube = (
         stack(*[f.withColumn("spent", flag) for f, flag in zip(facts, spent_rows)])
@@ -186,33 +173,30 @@ def user_daily(seen: DataFrame, conversions: DataFrame) -> DataFrame:
     keys = ["dt", "user_id", "campaign_id"]
     counted = ["impressions", "clicks", "conversions", "gmv_amount"]
     facts = stack(
-        _traffic_counters(seen, [*keys, "event_time"]),
-        _conversion_counters(conversions.withColumnRenamed("conv_time", "event_time"), [*keys, "event_time"]),
+        _counters(seen, [*keys, "event_time"], _TRAFFIC),
+        _counters(conversions, [*keys, "conv_time AS event_time"], _CONVERSION),
     )
     per_campaign = facts.groupBy(*keys).agg(*_sums(*counted), F.max("event_time").alias("last_event_time"))
 
-    named = F.col("campaign_id").isNotNull()
-    campaigns = [F.count_if(named & (F.col(c) > 0)) for c in ("impressions", "clicks")]
+    campaigns = [F.expr(f"count_if(campaign_id IS NOT NULL AND {c} > 0)") for c in ("impressions", "clicks")]
     per_user = per_campaign.groupBy("dt", "user_id").agg(
         *_sums(*counted),
         F.greatest(*campaigns).alias("active_campaign_cnt"),
         F.max("last_event_time").alias("last_event_time"),
     )
 
-    known = F.col("user_id").isNotNull()
-
-    def counter(name: str, alias: str, kind: str = "bigint") -> Column:
-        return F.when(known, F.col(name)).otherwise(F.lit(0)).cast(kind).alias(alias)
+    def counter(name: str, alias: str, kind: str = "BIGINT") -> str:
+        return f"CAST(if(user_id IS NULL, 0, {name}) AS {kind}) AS {alias}"
 
-    totals = per_user.select(
+    totals = per_user.selectExpr(
         "dt",
         "user_id",
         counter("impressions", "imp_cnt"),
         counter("clicks", "clk_cnt"),
         counter("conversions", "conv_cnt"),
-        counter("gmv_amount", "gmv_amount", "double"),
+        counter("gmv_amount", "gmv_amount", "DOUBLE"),
         counter("active_campaign_cnt", "active_campaign_cnt"),
-        F.when(known, F.col("last_event_time")).alias("last_event_time"),
+        "if(user_id IS NULL, NULL, last_event_time) AS last_event_time",
     )
     return totals.withColumns(
         {"ctr": ctr(F.col("clk_cnt"), F.col("imp_cnt")), "cvr": cvr(F.col("conv_cnt"), F.col("clk_cnt"))}

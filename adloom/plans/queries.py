@@ -38,17 +38,17 @@ def show(df: DataFrame, digits: int | None = None) -> DataFrame:
     """Comparable form: text for times, dates and arrays; doubles rounded to ``digits`` where given."""
     shown = []
     for f in df.schema.fields:
-        c = F.col(f.name)
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            shown.append(f"date_format({f.name}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS {f.name}")
         elif isinstance(f.dataType, T.DateType):
-            c = c.cast("string")
+            shown.append(f"CAST({f.name} AS STRING) AS {f.name}")
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.array_join(c, ",")
+            shown.append(f"array_join({f.name}, ',') AS {f.name}")
         elif digits is not None and isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, digits)
-        shown.append(c.alias(f.name))
-    return df.select(*shown)
+            shown.append(f"round({f.name}, {digits}) AS {f.name}")
+        else:
+            shown.append(f.name)
+    return df.selectExpr(*shown)
 
 
 class Layers:

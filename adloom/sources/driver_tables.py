@@ -17,141 +17,124 @@ duplicates     a second copy, one minute earlier, same ``dt``, of every tenth ev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from adloom.functions.parsing import day_of
+from pyspark.sql import DataFrame, SparkSession
 
 CAMPAIGNS = 20
+EVENT_TYPES = ("view", "signup", "click", "error")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _labelled(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
-
-
-def _choice(number: Column, *values: str) -> Column:
-    """``values[number % len(values)]``"""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+def _choice(number: str, *values: str) -> str:
+    """SQL for ``values[number % len(values)]``."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), CAST({number} % {len(values)} AS INT) + 1)"
 
 
 def activity(spark: SparkSession, sf_dir: str, *event_types: str) -> DataFrame:
     """Events of the given types with the key columns every log shares."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    events = load(spark, sf_dir, "events")
-    if event_types:
-        events = events.where(F.col("event_type").isin(*event_types))
-    return events.select(
-        "event_id",
-        "ts",
-        day_of(F.col("ts")).alias("dt"),
-        F.col("user_id").cast("string").alias("user_id"),
-        "event_type",
-        "value",
-        k.alias("k"),
-        _labelled("ad_", k).alias("ad_id"),
-        _labelled("cmp_", k % CAMPAIGNS).alias("campaign_id"),
+    kinds = ", ".join(f"'{t}'" for t in event_types)
+    return (
+        load(spark, sf_dir, "events")
+        .where(f"event_type IN ({kinds})")
+        .selectExpr(
+            "event_id",
+            "ts",
+            "CAST(CAST(ts AS DATE) AS STRING) AS dt",
+            "CAST(user_id AS STRING) AS user_id",
+            "event_type",
+            "value",
+            "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        )
     )
 
 
-def _with_copies(df: DataFrame, id_column: str, time_column: str) -> DataFrame:
+_KEYS = ["dt", "user_id", "concat('ad_', k) AS ad_id", f"concat('cmp_', k % {CAMPAIGNS}) AS campaign_id"]
+
+
+def _with_copies(df: DataFrame) -> DataFrame:
     """Adds the duplicates by repeating rows in place, so the source is read once."""
-    repeated = F.pmod(F.col(id_column).cast("bigint"), F.lit(10)) == 0
-    age = F.explode(F.when(repeated, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    shifted = F.col(time_column) - F.col("_age") * F.expr("INTERVAL '1' MINUTE")
-    return df.withColumn("_age", age).withColumn(time_column, shifted).drop("_age")
+    aged = df.selectExpr("*", "explode(if(event_id % 10 = 0, array(0, 1), array(0))) AS age")
+    return aged.selectExpr("* EXCEPT (age, ts)", "ts - age * INTERVAL '1' MINUTE AS ts")
 
 
-def event_log(spark: SparkSession, sf_dir: str, copies: bool = True) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impressions and clicks. ``session_id`` is absent, as in an older snapshot of the log."""
-    n = F.col("event_id")
-    device = _choice(n, "ios", "android", "web", "h5")
-    rows = activity(spark, sf_dir, "view", "signup", "click", "error").select(
-        n.cast("string").alias("event_id"),
-        F.col("ts").alias("event_time"),
-        "dt",
-        "user_id",
-        "ad_id",
-        "campaign_id",
-        _labelled("crt_", F.col("k")).alias("creative_id"),
-        _labelled("site_", F.pmod(n, F.lit(10))).alias("site_id"),
-        F.when(F.col("event_type") == "click", "click").otherwise("impression").alias("event_type"),
-        device.alias("device"),
-        F.pmod(n, F.lit(26)).cast("string").alias("ad_slot_id"),
-        _choice(n, "home", "detail", "search", "live").alias("page_id"),
-        F.when(F.col("event_type") == "error", 0).otherwise(1).alias("is_valid"),
-        F.concat(F.lit("10.0."), F.pmod(n, F.lit(256)).cast("string"), F.lit("."), F.col("k").cast("string")).alias("ip"),
-        F.concat(device, F.lit(" browser")).alias("user_agent"),
+    device = _choice("event_id", "ios", "android", "web", "h5")
+    return _with_copies(activity(spark, sf_dir, *EVENT_TYPES)).selectExpr(
+        "CAST(event_id AS STRING) AS event_id",
+        "ts AS event_time",
+        *_KEYS,
+        "concat('crt_', k) AS creative_id",
+        "concat('site_', event_id % 10) AS site_id",
+        "if(event_type = 'click', 'click', 'impression') AS event_type",
+        f"{device} AS device",
+        "CAST(event_id % 26 AS STRING) AS ad_slot_id",
+        f"{_choice('event_id', 'home', 'detail', 'search', 'live')} AS page_id",
+        "if(event_type = 'error', 0, 1) AS is_valid",
+        "concat('10.0.', event_id % 256, '.', k) AS ip",
+        f"concat({device}, ' browser') AS user_agent",
     )
-    return _with_copies(rows, "event_id", "event_time") if copies else rows
-
-
-def conversion_log(spark: SparkSession, sf_dir: str, copies: bool = True) -> DataFrame:
-    rows = activity(spark, sf_dir, "purchase").select(
-        F.col("event_id").cast("string").alias("conv_id"),
-        F.col("ts").alias("conv_time"),
-        "dt",
-        "user_id",
-        "ad_id",
-        "campaign_id",
-        _labelled("ord_", F.col("event_id")).alias("order_id"),
-        F.col("value").alias("gmv_amount"),
+
+
+def conversion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_copies(activity(spark, sf_dir, "purchase")).selectExpr(
+        "CAST(event_id AS STRING) AS conv_id",
+        "ts AS conv_time",
+        *_KEYS,
+        "concat('ord_', event_id) AS order_id",
+        "value AS gmv_amount",
     )
-    return _with_copies(rows, "conv_id", "conv_time") if copies else rows
 
 
 def cost_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity(spark, sf_dir, "view").select("dt", "campaign_id", F.col("value").alias("cost"))
+    return activity(spark, sf_dir, "view").selectExpr("dt", _KEYS[3], "value AS cost")
 
 
 def ad_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    return load(spark, sf_dir, "part").select(
-        _labelled("ad_", k).alias("ad_id"),
-        _labelled("cmp_", F.pmod(k, F.lit(CAMPAIGNS))).alias("campaign_id"),
-        F.nullif(F.col("p_brand"), F.lit("Brand#1")).alias("advertiser_id"),
-        F.col("p_type").alias("ad_type"),
-        _choice(F.col("p_size"), "app", "web").alias("landing_type"),
-        F.when(F.pmod(k, F.lit(5)) == 0, "").otherwise(F.col("p_name")).alias("product_id"),
-        F.lit("2023-12-25").alias("start_dt"),
-        F.lit("2024-02-05").alias("end_dt"),
+    return load(spark, sf_dir, "part").selectExpr(
+        "concat('ad_', p_partkey) AS ad_id",
+        f"concat('cmp_', p_partkey % {CAMPAIGNS}) AS campaign_id",
+        "nullif(p_brand, 'Brand#1') AS advertiser_id",
+        "p_type AS ad_type",
+        f"{_choice('p_size', 'app', 'web')} AS landing_type",
+        "if(p_partkey % 5 = 0, '', p_name) AS product_id",
+        "'2023-12-25' AS start_dt",
+        "'2024-02-05' AS end_dt",
     )
 
 
 def ad_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    return load(spark, sf_dir, "nation").select(
-        n.cast("string").alias("ad_slot_id"),
-        F.col("n_name").alias("slot_type"),
-        F.col("n_regionkey").cast("string").alias("app"),
-        _choice(n, "top", "middle", "bottom").alias("position"),
-        (F.lit(80) + n).cast("string").alias("price_factor"),
+    return load(spark, sf_dir, "nation").selectExpr(
+        "CAST(n_nationkey AS STRING) AS ad_slot_id",
+        "n_name AS slot_type",
+        "CAST(n_regionkey AS STRING) AS app",
+        f"{_choice('n_nationkey', 'top', 'middle', 'bottom')} AS position",
+        "CAST(80 + n_nationkey AS STRING) AS price_factor",
     )
 
 
 def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").select(
-        F.col("c_custkey").cast("string").alias("user_id"),
-        F.lit(None).cast("string").alias("gender"),
-        F.pmod(F.col("c_custkey"), F.lit(60)).cast("string").alias("age"),
-        F.col("c_nationkey").cast("string").alias("region"),
-        F.col("c_mktsegment").alias("device_type"),
-        F.lit("2023-06-01").alias("register_dt"),
+    return load(spark, sf_dir, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS user_id",
+        "CAST(NULL AS STRING) AS gender",
+        "CAST(c_custkey % 60 AS STRING) AS age",
+        "CAST(c_nationkey AS STRING) AS region",
+        "c_mktsegment AS device_type",
+        "'2023-06-01' AS register_dt",
     )
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Campaign prices from the nations outside region 0; campaigns without a nation fall back to the default price."""
-    n = F.col("n_nationkey")
     return (
         load(spark, sf_dir, "nation")
-        .where(F.col("n_regionkey") != 0)
-        .select(
-            _labelled("cmp_", n).alias("campaign_id"),
-            (F.lit(10.0) + n).alias("cpm"),
-            (F.lit(0.5) + n / F.lit(16.0)).alias("cpc"),
+        .where("n_regionkey <> 0")
+        .selectExpr(
+            "concat('cmp_', n_nationkey) AS campaign_id",
+            "CAST(10 + n_nationkey AS DOUBLE) AS cpm",
+            "CAST(0.5 + n_nationkey / 16 AS DOUBLE) AS cpc",
         )
     )
