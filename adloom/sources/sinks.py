@@ -7,6 +7,7 @@ through that many tasks.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,12 +77,24 @@ def write_whole(df: DataFrame, table: Table, path: str) -> None:
         rows.write.mode("overwrite").parquet(path)
 
 
+@contextmanager
+def _replacing_days_only(spark: SparkSession):
+    """Inserting by name follows the session's overwrite mode alone; in static mode it would empty the whole table."""
+    key, wanted = "spark.sql.sources.partitionOverwriteMode", "dynamic"
+    before = spark.conf.get(key)
+    spark.conf.set(key, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store_days(df: DataFrame, table: Table, path: str) -> None:
     """Replace the days present in ``df`` of table ``table``: by catalog name where declared, else by path."""
     rows = conform(df, table)
     if df.sparkSession.catalog.tableExists(table.full_name):
-        writer = sized(rows, "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.insertInto(table.full_name)
+        with _replacing_days_only(df.sparkSession):
+            sized(rows, "dt").write.mode("overwrite").insertInto(table.full_name)
     else:
         write_days(rows, path)
 
