@@ -94,9 +94,10 @@ def campaign_advertiser_map(seen: DataFrame) -> DataFrame:
     """Distinct (dt, campaign_id, advertiser_id) seen in impressions; from clicks on days whose impressions give none.
 
     The fallback is decided per day as a whole: a campaign with clicks only stays unmapped on a day with any mapped
-    impression. Both uses of the pairs share one exchange, and the days are a handful of rows.
+    impression. Both uses of the pairs share one exchange (the filter on ``dt`` keeps them identical, as the join adds it
+    to one of them), and the days are a handful of rows.
     """
-    pairs = seen.where(_in_map()).groupBy("dt", "campaign_id", "advertiser_id").agg(
+    pairs = seen.where(_in_map() & F.col("dt").isNotNull()).groupBy("dt", "campaign_id", "advertiser_id").agg(
         F.expr("bool_or(event_type = 'impression') AS by_impression")
     )
     mapped_days = pairs.where("by_impression").select("dt").distinct().withColumn("mapped", F.lit(True))

@@ -85,3 +85,15 @@ def test_a_hot_event_sends_one_row_per_task(spark):
     unique = newest(df, ["dt", "event_id"], "event_time")
     assert unique.count() == n - n // 3 + 1
     assert unique.where("event_id = 'hot'").first().event_time.timestamp() == n - 3
+
+
+def test_map_reads_the_facts_once(spark, tmp_path):
+    """The pairs are used twice, but their exchange is shared."""
+    from adloom.operators.metrics import campaign_advertiser_map
+
+    path = str(tmp_path / "traffic")
+    Layers(spark, SMALL).traffic.write.parquet(path)
+    df = campaign_advertiser_map(spark.read.parquet(path))
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
