@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from adloom.operators.tags import TAG_RULES, UPDATE_FREQ, Thresholds
 from adloom.plans.queries import DAY, HOT, SCALED, SKEW_KEYS
 
@@ -253,9 +255,18 @@ CTES["quality"] = _quality_cte("tagged")
 CTES["quality_scaled"] = _quality_cte("tagged_scaled")
 
 
+def _mentioned(text: str) -> set[str]:
+    return {name for name in CTES if re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text)}
+
+
 def sql(select: str) -> str:
-    """``select`` with the named subqueries it may use. Unused ones cost nothing: they are inlined on use."""
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in CTES.items()) + "\n" + select
+    """``select`` preceded by the named subqueries it builds on."""
+    needed, fresh = set(), _mentioned(select)
+    while fresh:
+        needed |= fresh
+        fresh = set().union(*[_mentioned(CTES[name]) for name in fresh]) - needed
+    used = [f"{name} AS ({body})" for name, body in CTES.items() if name in needed]
+    return ("WITH " + ",\n".join(used) + "\n" if used else "") + select
 
 
 _EVENT = f"""event_id, {shown_time("event_time")} AS event_time, dt, user_id, session_id, ad_id, campaign_id,

@@ -56,7 +56,7 @@ class Layers:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.sf_dir = sf_dir
+        self.tables = driver_tables.opener(spark, sf_dir)
 
     def raw(self, name: str) -> DataFrame:
         source = {
@@ -68,7 +68,7 @@ class Layers:
             "users": driver_tables.user_profile,
             "prices": driver_tables.prices,
         }[name]
-        return source(self.spark, self.sf_dir)
+        return source(self.tables)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -317,11 +317,17 @@ register("tag_effectiveness", 6)(lambda x: reports.tag_effectiveness(x.scaled_ta
 register("kpi_lookup", 6)(lambda x: reports.kpi_on(x.overview, DAY))
 register("top_campaigns_gmv", 6)(lambda x: reports.top_campaigns(x.ranking, DAY, by="gmv"))
 register("top_campaigns_roi", 6)(lambda x: reports.top_campaigns(x.ranking, DAY, by="roi"))
-register("top_advertisers_gmv", 6)(lambda x: reports.top_advertisers(x.dashboard, DAY))
-register("tag_report", 6)(
-    lambda x: reports.tags_by_coverage(reports.tag_effectiveness(x.scaled_tag_quality), DAY)
+register("top_advertisers_gmv", 6)(
+    lambda x: reports.top_advertisers(reports.advertiser_dashboard(x.advertiser_daily, DAY), DAY)
 )
 
+
+@register("tag_report", 6)
+def _tag_report(x: Layers) -> DataFrame:
+    snapshot = tags.user_tag_snapshot(x.user_daily, DAY, SCALED)
+    return reports.tags_by_coverage(reports.tag_effectiveness(tags.tag_quality_daily(snapshot, DAY)), DAY)
+
+
 # ---------------------------------------------------------------- skew
 
 register("skew_simple")(lambda x: skew.impression_counts(x.skewed))

@@ -17,14 +17,22 @@ duplicates     a second copy, one minute earlier, same ``dt``, of every tenth ev
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 CAMPAIGNS = 20
 EVENT_TYPES = ("view", "signup", "click", "error")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Gives a table of the star schema by name.
+Tables = Callable[[str], DataFrame]
+
+
+def opener(spark: SparkSession, sf_dir: str) -> Tables:
+    """Opens each table once, however many inputs are derived from it."""
+    return cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _choice(number: str, *values: str) -> str:
@@ -33,11 +41,11 @@ def _choice(number: str, *values: str) -> str:
     return f"element_at(array({listed}), CAST({number} % {len(values)} AS INT) + 1)"
 
 
-def activity(spark: SparkSession, sf_dir: str, *event_types: str) -> DataFrame:
+def activity(table: Tables, *event_types: str) -> DataFrame:
     """Events of the given types with the key columns every log shares."""
     kinds = ", ".join(f"'{t}'" for t in event_types)
     return (
-        load(spark, sf_dir, "events")
+        table("events")
         .where(f"event_type IN ({kinds})")
         .selectExpr(
             "event_id",
@@ -60,10 +68,10 @@ def _with_copies(df: DataFrame) -> DataFrame:
     return aged.selectExpr("* EXCEPT (age, ts)", "ts - age * INTERVAL '1' MINUTE AS ts")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(table: Tables) -> DataFrame:
     """Impressions and clicks. ``session_id`` is absent, as in an older snapshot of the log."""
     device = _choice("event_id", "ios", "android", "web", "h5")
-    return _with_copies(activity(spark, sf_dir, *EVENT_TYPES)).selectExpr(
+    return _with_copies(activity(table, *EVENT_TYPES)).selectExpr(
         "CAST(event_id AS STRING) AS event_id",
         "ts AS event_time",
         *_KEYS,
@@ -79,8 +87,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conversion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_copies(activity(spark, sf_dir, "purchase")).selectExpr(
+def conversion_log(table: Tables) -> DataFrame:
+    return _with_copies(activity(table, "purchase")).selectExpr(
         "CAST(event_id AS STRING) AS conv_id",
         "ts AS conv_time",
         *_KEYS,
@@ -89,12 +97,12 @@ def conversion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cost_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity(spark, sf_dir, "view").selectExpr("dt", _KEYS[3], "value AS cost")
+def cost_log(table: Tables) -> DataFrame:
+    return activity(table, "view").selectExpr("dt", _KEYS[3], "value AS cost")
 
 
-def ad_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").selectExpr(
+def ad_meta(table: Tables) -> DataFrame:
+    return table("part").selectExpr(
         "concat('ad_', p_partkey) AS ad_id",
         f"concat('cmp_', p_partkey % {CAMPAIGNS}) AS campaign_id",
         "nullif(p_brand, 'Brand#1') AS advertiser_id",
@@ -106,8 +114,8 @@ def ad_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ad_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "nation").selectExpr(
+def ad_slot(table: Tables) -> DataFrame:
+    return table("nation").selectExpr(
         "CAST(n_nationkey AS STRING) AS ad_slot_id",
         "n_name AS slot_type",
         "CAST(n_regionkey AS STRING) AS app",
@@ -116,8 +124,8 @@ def ad_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").selectExpr(
+def user_profile(table: Tables) -> DataFrame:
+    return table("customer").selectExpr(
         "CAST(c_custkey AS STRING) AS user_id",
         "CAST(NULL AS STRING) AS gender",
         "CAST(c_custkey % 60 AS STRING) AS age",
@@ -127,10 +135,10 @@ def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prices(table: Tables) -> DataFrame:
     """Campaign prices from the nations outside region 0; campaigns without a nation fall back to the default price."""
     return (
-        load(spark, sf_dir, "nation")
+        table("nation")
         .where("n_regionkey <> 0")
         .selectExpr(
             "concat('cmp_', n_nationkey) AS campaign_id",

@@ -148,3 +148,11 @@ def test_first_nonempty(spark):
     assert [tuple(r) for r in tables.first_nonempty([empty, full], "2024-01-02").collect()] == [("2024-01-02", 2.0)]
     with pytest.raises(LookupError):
         tables.first_nonempty([empty, full], "2024-01-03")
+
+
+def test_scratch_folder_is_the_shared_one(spark):
+    from adloom.session import scratch_dir
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
+    assert first.startswith(shared) and first != second
