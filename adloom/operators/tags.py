@@ -146,10 +146,10 @@ def _summed() -> dict[str, Column]:
 
 
 def tag_dictionary(spark: SparkSession, create_time: Column | None = None) -> DataFrame:
-    rows = [(r.tag_id, r.tag_name, r.tag_type, r.rule_desc, UPDATE_FREQ) for r in TAG_RULES]
-    names = "tag_id string, tag_name string, tag_type string, rule_desc string, update_freq string"
+    columns = ["tag_id", "tag_name", "tag_type", "rule_desc", "update_freq"]
+    rows = ", ".join(str((r.tag_id, r.tag_name, r.tag_type, r.rule_desc, UPDATE_FREQ)) for r in TAG_RULES)
     created = F.current_timestamp() if create_time is None else create_time
-    return spark.createDataFrame(rows, names).withColumn("create_time", created)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(columns)})").withColumn("create_time", created)
 
 
 def _with_7d_rates(features: DataFrame) -> DataFrame:

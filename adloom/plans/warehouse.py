@@ -46,7 +46,7 @@ class Warehouse:
         """Create the catalog tables over the directories, and register the days already there."""
         for name, table in TABLES.items():
             sinks.declare_table(self.spark, table, self.path(name))
-            if table.partitioned:
+            if table.partitioned and tables.path_exists(self.spark, self.path(name)):
                 sinks.register_partitions(self.spark, name)
 
 

@@ -16,16 +16,30 @@ SETTINGS = {
     "spark.sql.session.timeZone": "Asia/Shanghai",
     "spark.sql.parquet.compression.codec": "snappy",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A dimension below this size is broadcast; a larger one is joined by shuffling.
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
     # dt stays the string it is declared as; inference would turn it into a DATE.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
 
-def build_session(app_name: str, master: str | None = None, extra: Mapping[str, object] | None = None) -> SparkSession:
-    """Session for batch runs. ``master`` is for local use; on a cluster the launcher sets it."""
+def build_session(
+    app_name: str,
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    extra: Mapping[str, object] | None = None,
+) -> SparkSession:
+    """Session for batch runs. ``master`` is for local use; on a cluster the launcher sets it.
+
+    ``shuffle_partitions`` is the number of partitions a shuffle starts with: about the bytes shuffled divided by 128 MB,
+    so many thousands for a day of terabytes, and the number of cores on one machine. Adaptive execution merges the
+    partitions that turn out small, so it is better chosen too high than too low.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, str(value))
     return builder.getOrCreate()

@@ -23,6 +23,17 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a directory is there, on any file system Spark can read; its files are not opened."""
+    try:
+        spark.read.schema("dt string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """Catalog table ``name`` where it is declared, else the Parquet directory ``path``."""
     return spark.table(name) if spark.catalog.tableExists(name) else read_parquet(spark, path)

@@ -184,6 +184,24 @@ def test_catalog_tables(spark, built, rows):
             spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
 
 
+def test_build_into_declared_tables(spark, raw, built, rows, tmp_path):
+    """Declared first, everything is written and read by name, also when a day is built again."""
+    w = wh.Warehouse(spark, str(tmp_path / "declared"))
+    try:
+        w.declare()
+        wh.build_all(w, raw, enforce=False)
+        wh.build_daily(w, (DAYS[3], DAYS[3]))
+        wh.build_reports(w, (DAYS[3], DAYS[3]))
+        for name in DAILY:
+            assert same(spark.table(name), built[0].read(name), rows), name
+            assert [r.dt for r in tables.table_days(spark, name).collect()] == DAYS
+    finally:
+        for name in TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for db in ("ods", "dwd", "dws", "ads"):
+            spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+
+
 def test_enforced_gate_raises_after_storing(spark, raw, tmp_path):
     w = wh.Warehouse(spark, str(tmp_path))
     report = spark.createDataFrame([("ods", "t", "c", 3, False)], "layer string, table_name string, check_name string, bad_rows bigint, passed boolean")
