@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adloom.operators.clean import newest, unique_rows, valid_events
+from adloom.schemas import TABLES
 
 AD_KEYS = ["ad_id", "campaign_id"]
 AD_COLUMNS = ["advertiser_id", "ad_type", "landing_type", "product_id"]
@@ -22,32 +23,8 @@ EVENT_TYPES = ("impression", "click")
 EVENT_KEYS = ["dt", "event_id", "event_type"]
 LEAN_COLUMNS = ["dt", "event_id", "event_type", "event_time", "user_id", "ad_id", "campaign_id"]
 
-# Fixed value: column order of the published detail tables.
-DETAIL_COLUMNS = [
-    "event_id",
-    "event_time",
-    "dt",
-    "user_id",
-    "session_id",
-    "ad_id",
-    "campaign_id",
-    "creative_id",
-    "advertiser_id",
-    "ad_type",
-    "landing_type",
-    "product_id",
-    "site_id",
-    "page_id",
-    "ad_slot_id",
-    "slot_type",
-    "app",
-    "position",
-    "price_factor",
-    "device",
-    "user_agent",
-    "ip",
-    "event_type",
-]
+_DETAIL = TABLES["dwd.ad_impression_detail"].names
+DETAIL_COLUMNS = [*_DETAIL[:2], "dt", *_DETAIL[2:]]
 
 
 def enrich_events(events: DataFrame, ads: DataFrame, slots: DataFrame) -> DataFrame:

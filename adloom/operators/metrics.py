@@ -45,7 +45,7 @@ def traffic(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
 
 
 # SQL of the counters a fact row contributes to.
-_TRAFFIC = {"impressions": "event_type = 'impression'", "clicks": "event_type = 'click'"}
+_TRAFFIC = {"impressions": "event_type <=> 'impression'", "clicks": "event_type <=> 'click'"}
 _CONVERSION = {"conversions": "1", "gmv_amount": "coalesce(CAST(gmv_amount AS DOUBLE), 0.0)"}
 _COST = {"cost": "coalesce(CAST(cost AS DOUBLE), 0.0)"}
 

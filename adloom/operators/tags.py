@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adloom.functions.ratios import ctr, cvr, safe_ratio, stable_round
+from adloom.schemas import TABLES
 from adloom.sources.tables import last_days
 
 
@@ -105,23 +106,7 @@ TAG_RULES = (
 )
 UPDATE_FREQ = "daily"
 
-SNAPSHOT_COLUMNS = [
-    "dt",
-    "user_id",
-    "tags",
-    "tag_cnt",
-    "feature_7d_impressions",
-    "feature_7d_clicks",
-    "feature_7d_conversions",
-    "feature_7d_gmv",
-    "feature_7d_ctr",
-    "feature_7d_cvr",
-    "feature_day_impressions",
-    "feature_day_clicks",
-    "feature_day_conversions",
-    "feature_day_gmv",
-    "last_event_time",
-]
+SNAPSHOT_COLUMNS = ["dt", *TABLES["dws.user_tag_snapshot"].names]
 
 _SUMMED = [
     "feature_7d_impressions",
@@ -203,7 +188,9 @@ def user_features_on(user_daily: DataFrame, dt: str, days: int = 7) -> DataFrame
     )
 
 
-def attach_tags(features: DataFrame, thresholds: Thresholds = Thresholds(), rules: Sequence[TagRule] = TAG_RULES) -> DataFrame:
+def attach_tags(
+    features: DataFrame, thresholds: Thresholds = Thresholds(), rules: Sequence[TagRule] = TAG_RULES
+) -> DataFrame:
     """Snapshot rows: the names of the rules that hold, in dictionary order, beside the features."""
     names = [F.when(rule.holds(thresholds), F.lit(rule.tag_name)) for rule in rules]
     tagged = features.withColumn("tags", F.array_compact(F.array(*names)))

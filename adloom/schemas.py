@@ -29,7 +29,7 @@ class Table:
 
     @property
     def names(self) -> list[str]:
-        return self.schema.fieldNames()
+        return [column.split()[0] for column in self.columns.split(", ")]
 
 
 _EVENT_DETAIL = (
