@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm import phrase_dedup, suffix_dedup
+from adloom.llm import minmax_dedup, phrase_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -43,6 +43,11 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     )
 
 
+@register("op7_minmax_hashing")
+def _near(docs: DataFrame) -> DataFrame:
+    return minmax_dedup.near_duplicates(docs, size=2).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

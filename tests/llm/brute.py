@@ -49,3 +49,37 @@ def substrings(docs: list[tuple], window: int = 100) -> list[tuple]:
         kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         out.append((key[0], len(data), sum(gone), spans, sha(kept)))
     return out
+
+
+def _roots(nodes, edges):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def near(docs: list[tuple], size: int = 2, percent: int = 80) -> list[tuple]:
+    """(doc_id, n_shingles, component_id, kept) from (doc_id, text) rows with distinct ids."""
+    sets = {}
+    for doc_id, text in docs:
+        words = (text or "").encode().lower().split()
+        sets[doc_id] = {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    ids = sorted(sets)
+    edges = []
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                shared = len(x & y)
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    edges.append((a, b))
+    roots = _roots(ids, edges)
+    return [(i, len(sets[i]), roots[i], roots[i] == i) for i in ids]
