@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm import minmax_dedup, phrase_dedup, suffix_dedup
+from adloom.llm import metric_join, minmax_dedup, phrase_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -48,6 +48,11 @@ def _near(docs: DataFrame) -> DataFrame:
     return minmax_dedup.near_duplicates(docs, size=2).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+@register("op8_pivot_range_join", "embeddings")
+def _vectors(rows: DataFrame) -> DataFrame:
+    return metric_join.range_links(rows).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

@@ -83,3 +83,23 @@ def near(docs: list[tuple], size: int = 2, percent: int = 80) -> list[tuple]:
                     edges.append((a, b))
     roots = _roots(ids, edges)
     return [(i, len(sets[i]), roots[i], roots[i] == i) for i in ids]
+
+
+def vectors(rows: list[tuple], least: float = 0.93) -> list[tuple]:
+    """(vec_id, n_links, component_id, kept) from (vec_id, embedding, label) rows with distinct ids."""
+    import math
+
+    def usable(v, label):
+        return label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    good = [(i, v, math.sqrt(math.fsum(x * x for x in v)), label) for i, v, label in rows if usable(v, label)]
+    links: dict = {r[0]: 0 for r in rows}
+    edges = []
+    for k, (i, v, a, label) in enumerate(good):
+        for j, w, b, other in good[k + 1 :]:
+            if label == other and len(v) == len(w) and sum(x * y for x, y in zip(v, w, strict=True)) / (a * b) >= least:
+                edges.append((i, j))
+                links[i] += 1
+                links[j] += 1
+    roots = _roots(links, edges)
+    return sorted((i, links[i], roots[i], roots[i] == i) for i in links)
