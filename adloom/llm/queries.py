@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm import metric_join, minmax_dedup, phrase_dedup, suffix_dedup
+from adloom.llm import bloom_lm, metric_join, minmax_dedup, phrase_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -53,6 +53,9 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return metric_join.range_links(rows).withColumnRenamed("id", "vec_id")
 
 
+register("op10_log_frequency_bloom")(bloom_lm.score_documents)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

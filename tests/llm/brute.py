@@ -103,3 +103,19 @@ def vectors(rows: list[tuple], least: float = 0.93) -> list[tuple]:
                 links[j] += 1
     roots = _roots(links, edges)
     return sorted((i, links[i], roots[i], roots[i] == i) for i in links)
+
+
+def word_model(docs: list[tuple]) -> list[tuple]:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score) from (doc_id, text) rows."""
+    import math
+    import zlib
+    from collections import Counter
+
+    split = [(i, zlib.crc32(str(i).encode()) % 7 == 2, [*(t or "").encode().lower().split(), None]) for i, t in docs]
+    counts = Counter(w for _, held, words in split if not held for w in words)
+    total = sum(counts.values())
+    bottom = math.log10(total + len(counts) + 1)
+    return [
+        (i, held, len(words), sum(w in counts for w in words), total, round(sum(math.log10(counts[w] + 1) - bottom for w in words), 6))
+        for i, held, words in split
+    ]
