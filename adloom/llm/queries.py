@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm import bloom_lm, metric_join, minmax_dedup, phrase_dedup, suffix_dedup
+from adloom.llm import bloom_lm, fingerprints, metric_join, minmax_dedup, phrase_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -25,6 +25,13 @@ def _removed() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
 
 
+@register("op3_invertible_sketch")
+def _fingerprints(docs: DataFrame) -> DataFrame:
+    return fingerprints.edited_fingerprints(docs).select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 @register("op4_phrase_automata")
 def _phrases(docs: DataFrame) -> DataFrame:
     return phrase_dedup.remove_recurring(docs).select(

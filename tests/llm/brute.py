@@ -119,3 +119,23 @@ def word_model(docs: list[tuple]) -> list[tuple]:
         (i, held, len(words), sum(w in counts for w in words), total, round(sum(math.log10(counts[w] + 1) - bottom for w in words), 6))
         for i, held, words in split
     ]
+
+
+def pieces(text: str, size: int = 128) -> set[str]:
+    return {line[i : i + size] for line in text.split("\n") for i in range(0, len(line), size)}
+
+
+def edits(docs: list[tuple]) -> list[tuple]:
+    """(doc_id, n_chars, edited_sha256, near_edited, near_next) from (doc_id, text) rows with distinct ids."""
+
+    def near(x: str, y: str) -> float:
+        a, b = pieces(x), pieces(y)
+        return round(len(a & b) / len(a | b), 9) if a | b else 1.0
+
+    rows = sorted((i, t or "") for i, t in docs)
+    out = []
+    for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        k = len(text) // 4
+        edited = text[: len(text) - k] + following[:k]
+        out.append((i, len(text), sha(edited.encode()), near(text, edited), near(text, following)))
+    return out
