@@ -1,10 +1,13 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame expressions only.
 
 A text is the set of its paragraphs' digests; a paragraph longer than ``PIECE`` characters counts as several. A digest has 48 bits
-of hash and 16 bits of check, so a cell that holds exactly one is recognised. Every digest is entered in three of 24
-cells, each with a count and the exclusive-or of its digests. The sketch of one version minus that of another holds only what
-differs; peeling takes out cells with one digest until none is left. If that fails, the comparison is
-repeated with four times as many sketches, each for its share of the digests, until it succeeds.
+of hash and 16 bits of check, so a cell that holds exactly one is recognised. Every digest is entered in one cell of each of
+three tables; a cell has a count and the exclusive-or of its digests. The cells of one version minus those of another
+hold only what differs; peeling takes out cells with one digest until none is left. A comparison that does not
+come out is repeated with four times as many cells.
+
+Cells are rows. They are grouped by document after one exchange of its digests, so building and all rounds of peeling are
+aggregates inside one stage, and a long document costs in proportion to its length.
 
 The next document of each is found without a global sort: ids are cut at quantiles, each range is one window, and a guard row
 with the first text of the following range closes it.
@@ -15,169 +18,114 @@ the same id are ordered by text; a single row is its own successor; other column
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adloom.llm.shared import NO_ID
+from adloom.llm.shared import NO_ID, stored
 
 PIECE = 128
 TABLES, SLOTS = 3, 8
-RETRIES, ROUNDS = 4, 12
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), body)[0]
+ROUNDS = 4
+EDITED, NEXT = 0, 1
+# Share of the digests of both versions that is expected to differ; it only sets the first number of cells.
+EXPECTED = {EDITED: 0.4, NEXT: 1.0}
+_KEYS = ["row", "pair", "m", "cell"]
+_RECOVERED = -1
 
 
 def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def _bits(digest: Column, start: int, mask: Column | int) -> Column:
-    mask = mask if isinstance(mask, Column) else _long(mask)
-    return F.shiftrightunsigned(digest, start).bitwiseAND(mask)
-
-
-def _check(digest: Column) -> Column:
-    return F.hash(digest.bitwiseAND(_long(~0xFFFF))).cast("long").bitwiseAND(_long(0xFFFF))
-
-
-def digests(text: Column) -> Column:
-    """Distinct paragraph digests of a text."""
-    pieces = F.regexp_extract_all(text, F.lit(f"[^\n]{{1,{PIECE}}}"), 0)
-
-    def digest(piece: Column) -> Column:
-        return _let(F.xxhash64(piece).bitwiseAND(_long(~0xFFFF)), lambda h: h.bitwiseOR(_check(h)))
-
-    return F.array_distinct(F.transform(pieces, digest))
-
-
-def _fold(keys: Column) -> Column:
-    return F.aggregate(keys, _long(0), lambda a, k: a.bitwiseXOR(k))
-
-
-def _cells() -> Column:
-    """(first bit of the slot number in a digest, slot) of every cell."""
-    return F.array(*[F.struct(F.lit(16 + 3 * j).alias("bit"), _long(i).alias("slot")) for j in range(TABLES) for i in range(SLOTS)])
-
+def digests(text: str) -> Column:
+    """Distinct paragraph digests of a text column."""
+    high = f"(xxhash64(p) & {~0xFFFF}L)"
+    pieces = f"regexp_extract_all({text}, '[^\\n]{{1,{PIECE}}}', 0)"
+    return F.expr(f"array_distinct(transform({pieces}, p -> {high} | CAST(hash({high}) & 65535 AS BIGINT)))")
 
-def _there(keys: Column, cell: Column) -> Column:
-    """The keys that are entered in ``cell``."""
-    return F.filter(keys, lambda k: F.call_function("shiftrightunsigned", k, cell["bit"]).bitwiseAND(_long(SLOTS - 1)) == cell["slot"])
 
+def _place(table: str, digest: str, slots: str) -> str:
+    return f"CAST({table} * {slots} + pmod(xxhash64({digest}, {table}), {slots}) AS INT)"
 
-def sketch(keys: Column) -> Column:
-    """Cells (n, k): how many digests, and their exclusive-or."""
 
-    def cell(c: Column) -> Column:
-        return _let(_there(keys, c), lambda f: F.struct(F.size(f).alias("n"), _fold(f).alias("k")))
+def cells(items: DataFrame) -> DataFrame:
+    """Non-empty cells of the signed digests (row, pair, m, n, k), m slots in each table."""
+    entered = items.withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
+    entered = entered.select("row", "pair", "m", F.expr(_place("t", "k", "m")).alias("cell"), "n", "k")
+    return entered.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k")).where("n <> 0 OR k <> 0")
 
-    return F.transform(_cells(), cell)
 
+def peel_round(found: DataFrame) -> DataFrame:
+    """Takes every digest that is alone in a cell out of all its cells and adds it as a row of cell -1.
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k")))
-
-
-def _pure(cells: Column, n: int) -> Column:
-    held = F.filter(cells, lambda c: (c["n"] == n) & (_check(c["k"]) == c["k"].bitwiseAND(_long(0xFFFF))))
-    return F.array_distinct(F.transform(held, lambda c: c["k"]))
-
-
-def peel(cells: Column) -> Column:
-    """(ok, plus, minus): the digests only in the one or the other version; ok if every cell could be emptied."""
-
-    def without(cells: Column, plus: Column, minus: Column) -> Column:
-        def rest(cell: Column, at: Column) -> Column:
-            n = F.size(at["p"]) - F.size(at["m"])
-            return F.struct((cell["n"] - n).alias("n"), cell["k"].bitwiseXOR(_fold(at["p"])).bitwiseXOR(_fold(at["m"])).alias("k"))
-
-        where = F.transform(_cells(), lambda c: F.struct(_there(plus, c).alias("p"), _there(minus, c).alias("m")))
-        return F.zip_with(cells, where, rest)
-
-    def state(cells: Column, plus: Column, minus: Column, more: Column) -> Column:
-        return F.struct(cells.alias("cells"), plus.alias("plus"), minus.alias("minus"), more.alias("more"))
-
-    def step(s: Column, _: Column) -> Column:
-        found = F.struct(_pure(s["cells"], 1).alias("p"), _pure(s["cells"], -1).alias("m"))
-        taken = _let(
-            found,
-            lambda f: F.when(F.size(f["p"]) + F.size(f["m"]) == 0, state(s["cells"], s["plus"], s["minus"], F.lit(False))).otherwise(
-                state(without(s["cells"], f["p"], f["m"]), F.concat(s["plus"], f["p"]), F.concat(s["minus"], f["m"]), F.lit(True))
-            ),
+    A digest alone in several cells is taken out once: equal removals are combined before they are applied.
+    """
+    alone = f"cell >= 0 AND abs(n) = 1 AND (k & 65535) = (hash(k & {~0xFFFF}L) & 65535)"
+    takes = [f"struct({_place(str(t), 'k', 'm')} AS cell, 1 AS take, -n AS n, k AS k)" for t in range(TABLES)]
+    gain = f"struct({_RECOVERED} AS cell, 1 AS take, n AS n, k AS k)"
+    own = "struct(cell AS cell, 0 AS take, n AS n, k AS k)"
+    rows = found.select("row", "pair", "m", F.expr(f"inline(if({alone}, array({own}, {', '.join(takes)}, {gain}), array({own})))"))
+    once = rows.groupBy(*_KEYS, "take", "k").agg(F.min("n").alias("n"))
+    apart = F.expr(f"if(cell = {_RECOVERED}, k, 0L)").alias("own")
+    left = once.groupBy(*_KEYS, apart).agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"))
+    return left.where("n <> 0 OR k <> 0").drop("own")
+
+
+def differences(versions: DataFrame, growth: int) -> DataFrame:
+    """Recovered digests (cell -1, n the side they stand on) and cells that could not be emptied, per (row, pair)."""
+
+    def signed(column: str, pair: int, n: int) -> str:
+        return f"transform({column}, d -> struct({pair} AS pair, m{pair} AS m, CAST({n} AS BIGINT) AS n, d AS k))"
+
+    parts = [signed("a", EDITED, 1), signed("b", EDITED, -1), signed("a", NEXT, 1), signed("c", NEXT, -1)]
+    sizes = {
+        f"m{pair}": F.expr(f"CAST({growth} * greatest(4, ceil((size(a) + size({other})) * {EXPECTED[pair]})) AS INT)")
+        for pair, other in ((EDITED, "b"), (NEXT, "c"))
+    }
+    items = versions.withColumns(sizes).select("row", F.expr(f"inline(concat({', '.join(parts)}))"))
+    found = cells(items)
+    for _ in range(ROUNDS):
+        found = peel_round(found)
+    return found
+
+
+def _likeness(pair: int, other: str) -> Column:
+    total, differing = f"(size(a) + size({other}))", f"coalesce(d{pair}, 0L)"
+    return F.expr(f"if({total} = 0, 1D, CAST({total} - {differing} AS DOUBLE) / CAST({total} + {differing} AS DOUBLE))")
+
+
+def peeled(versions: DataFrame) -> DataFrame:
+    """(row, d0, d1): number of differing digests of both comparisons, for the rows that differ at all. Stored."""
+    pending, growth, done = versions.select("row", "a", "b", "c"), 1, None
+    while True:
+        found = differences(pending.repartition("row"), growth).groupBy("row").agg(
+            F.count_if(F.col("cell") >= 0).alias("open"),
+            *[F.count_if((F.col("cell") == _RECOVERED) & (F.col("pair") == pair)).alias(f"d{pair}") for pair in (EDITED, NEXT)],
         )
-        return F.when(s["more"], taken).otherwise(s)
-
-    none = F.array().cast("array<bigint>")
-    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
-    done = F.aggregate(rounds, state(cells, none, none, F.lit(True)), step)
-    return _let(
-        done,
-        lambda s: F.struct(
-            F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)).alias("ok"), s["plus"].alias("plus"), s["minus"].alias("minus")
-        ),
-    )
+        found = stored(found, "peeled")
+        settled = found.where("open = 0").drop("open")
+        done = settled if done is None else done.union(settled)
+        failed = found.where("open > 0").select("row")
+        if failed.isEmpty():
+            return done
+        pending, growth = stored(versions.select("row", "a", "b", "c").join(failed, "row"), "pending"), growth * 4
 
 
-def _attempt(a: Column, b: Column, side: Column) -> Column:
-    """Peels ``side * side`` sketches, each for the digests with its two numbers."""
-    numbers = F.sequence(_long(0), side - 1)
+def sketches(versions: DataFrame) -> DataFrame:
+    """(row, fingerprint, edited_fingerprint): the 24-cell sketches, count and exclusive-or of every cell in hexadecimal.
 
-    def outer(i: Column) -> Column:
-        mine = F.struct(
-            F.filter(a, lambda d: _bits(d, 48, side - 1) == i).alias("a"), F.filter(b, lambda d: _bits(d, 48, side - 1) == i).alias("b")
-        )
-        return _let(mine, lambda m: F.transform(numbers, lambda j: inner(m, j)))
-
-    def inner(m: Column, j: Column) -> Column:
-        x = F.filter(m["a"], lambda d: _bits(d, 32, side - 1) == j)
-        y = F.filter(m["b"], lambda d: _bits(d, 32, side - 1) == j)
-        return peel(subtract(sketch(x), sketch(y)))
-
-    return F.flatten(F.transform(numbers, outer))
-
-
-def difference(a: Column, b: Column, share: float) -> Column:
-    """(plus, minus): digests only in ``a``, only in ``b``. ``share`` of all digests is expected to differ."""
-    expected = (F.size(a) + F.size(b)) * share / 4
-    first = F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(expected, F.lit(1.0))) / 2)), F.lit(1.0)).cast("long")
-
-    def attempt(done: Column, r: Column) -> Column:
-        side = F.call_function("shiftleft", first, r)
-        result = _let(
-            _attempt(a, b, side),
-            lambda parts: F.when(
-                F.forall(parts, lambda p: p["ok"]),
-                F.struct(
-                    F.flatten(F.transform(parts, lambda p: p["plus"])).alias("plus"), F.flatten(F.transform(parts, lambda p: p["minus"])).alias("minus")
-                ),
-            ),
-        )
-        return F.when(done.isNotNull(), done).otherwise(result)
-
-    start = F.lit(None).cast("struct<plus:array<bigint>,minus:array<bigint>>")
-    peeled = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES - 1)), start, attempt)
-    exact = F.struct(F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))
-    return F.coalesce(peeled, exact)
-
-
-def likeness(a: Column, b: Column, share: float) -> Column:
-    """Shared digests over all digests, from the sizes and the peeled difference."""
-    total = F.size(a) + F.size(b)
-    return _let(
-        difference(a, b, share),
-        lambda d: _let(
-            F.size(d["plus"]) + F.size(d["minus"]),
-            lambda n: F.when(total == 0, F.lit(1.0)).otherwise((total - n).cast("double") / (total + n).cast("double")),
-        ),
-    )
+    Empty cells are left out; a cell is written as number:count:digests.
+    """
+    both = "concat(transform(a, d -> struct(0 AS side, d AS k)), transform(b, d -> struct(1 AS side, d AS k)))"
+    items = versions.select("row", F.expr(f"inline({both})")).withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
+    items = items.select("row", "side", F.expr(_place("t", "k", str(SLOTS))).alias("cell"), "k")
+    held = items.groupBy("row", "side", "cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("k").alias("k"))
+    shown = held.select("row", "side", F.expr("concat(lpad(hex(cell), 2, '0'), ':', hex(n), ':', hex(k))").alias("shown"))
 
+    def side(number: int) -> Column:
+        return F.array_join(F.sort_array(F.collect_list(F.when(F.col("side") == number, F.col("shown")))), " ")
 
-def fingerprint(keys: Column) -> Column:
-    """The 24-cell sketch as text: count and exclusive-or of every cell in hexadecimal."""
-    return F.array_join(F.transform(sketch(keys), lambda c: F.concat(F.hex(c["n"]), F.lit(":"), F.hex(c["k"]))), " ")
+    return shown.groupBy("row").agg(side(0).alias("fingerprint"), side(1).alias("edited_fingerprint"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int | None = None) -> DataFrame:
@@ -208,13 +156,20 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int | None =
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, whose last quarter comes from the start of the next document.
 
-    Returns (id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next).
+    Returns (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next); the likeness is the number
+    of shared digests over that of all, from the sizes and the peeled difference.
     """
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, CAST(n_chars - n_chars DIV 4 AS INT)), substring(next_text, 1, CAST(n_chars DIV 4 AS INT)))")
     rows = rows.withColumn("edited", edited)
-    rows = rows.withColumns({"a": digests(F.col("text")), "b": digests(F.col("edited")), "c": digests(F.col("next_text"))})
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    return rows.select(
-        "id", "n_chars", "edited", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b, 0.35).alias("near_edited"), likeness(a, c, 1.0).alias("near_next")
+    versions = rows.select(
+        F.monotonically_increasing_id().alias("row"), "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        digests("text").alias("a"), digests("edited").alias("b"), digests("next_text").alias("c"),
+    )
+    versions = stored(versions, "versions")
+    near = peeled(versions)
+    joined = versions.join(near, "row", "left").join(sketches(versions.select("row", "a", "b").repartition("row")), "row", "left")
+    return joined.select(
+        "id", "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
+        _likeness(EDITED, "b").alias("near_edited"), _likeness(NEXT, "c").alias("near_next"),
     )

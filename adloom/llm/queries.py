@@ -27,9 +27,7 @@ def _removed() -> Column:
 
 @register("op3_invertible_sketch")
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    return fingerprints.edited_fingerprints(docs).select(
-        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
-    )
+    return fingerprints.edited_fingerprints(docs).withColumnRenamed("id", "doc_id")
 
 
 @register("op4_phrase_automata")

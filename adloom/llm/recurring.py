@@ -58,12 +58,12 @@ def _anchor_batch(found: list, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch
 
 
 def suspects(docs: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFrame:
-    """All of ``docs`` (k1, k2, id, text) with ``runs``: its runs of anchors seen more than once, else null. Stored."""
+    """The rows of ``docs`` (k1, k2, text) that have anchors seen more than once, with those ``runs``. Stored."""
     anchors = stored(anchor_rows(docs, symbols, window, gram), "anchors")
     counts = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     counts = stored(counts, "anchor-counts")
     hits = anchors.join(counts, "a").groupBy("k1", "k2").agg(F.collect_set(F.struct("span", "a", "c")).alias("runs"))
-    return stored(docs.join(hits, ["k1", "k2"], "left"), "suspects")
+    return stored(docs.select("k1", "k2", "text").join(hits, ["k1", "k2"]), "suspects")
 
 
 def occurrences(
@@ -105,7 +105,7 @@ def occurrences(
             if combined or rows:
                 yield _rows(_segments(combined, split_at) if with_body else rows, schema)
 
-    return suspect.where("runs IS NOT NULL").select("k1", "k2", utf8(), "runs").mapInArrow(work, schema)
+    return suspect.select("k1", "k2", utf8(), "runs").mapInArrow(work, schema)
 
 
 def _segments(combined: dict, split_at: int) -> list:

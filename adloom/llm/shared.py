@@ -20,16 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps start from files that outlive an executor.
 
-    The shuffle files behind ``df`` are not needed any more; the collection lets Spark remove them.
+    The collection before lets Spark remove the shuffle files of earlier jobs that nothing refers to any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    again = spark.read.schema(df.schema).parquet(path)
-    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return again
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
