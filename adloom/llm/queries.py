@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm import bloom_lm, fingerprints, metric_join, minmax_dedup, phrase_dedup, suffix_dedup
+from adloom.llm import bloom_lm, fingerprints, license_scan, metric_join, minmax_dedup, phrase_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -25,6 +25,11 @@ def _removed() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
 
 
+@register("op2_ordered_signatures")
+def _licenses(docs: DataFrame) -> DataFrame:
+    return license_scan.labelled(docs).withColumnRenamed("id", "doc_id")
+
+
 @register("op3_invertible_sketch")
 def _fingerprints(docs: DataFrame) -> DataFrame:
     return fingerprints.edited_fingerprints(docs).withColumnRenamed("id", "doc_id")

@@ -139,3 +139,40 @@ def edits(docs: list[tuple]) -> list[tuple]:
         edited = text[: len(text) - k] + following[:k]
         out.append((i, len(text), sha(edited.encode()), near(text, edited), near(text, following)))
     return out
+
+
+def licenses(docs: list[tuple]) -> list[tuple]:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) from (doc_id, text) rows."""
+    import re
+
+    from adloom.llm import license_rules
+
+    rules = [(r, re.compile(r.regex)) for r in license_rules.rules()]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = []
+    for doc_id, text in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(lower))
+        base = [
+            (label, i)
+            for label, phrase in license_rules.BASE.items()
+            for i in range(len(words))
+            if words[i : i + len(phrase.split())] == phrase.split()
+        ]
+        spaced = "".join(f" {w} " for w in words)
+        found = [
+            (spaced[: m.start()].count(" ") // 2, spaced[: m.end()].count(" ") // 2, r) for r, x in rules for m in x.finditer(spaced)
+        ]
+        kept = [
+            r
+            for lo, hi, r in found
+            if not any(
+                a <= lo and hi <= b and q.tier <= r.tier and ((a, b) != (lo, hi) or q.order < r.order) for a, b, q in found
+            )
+        ]
+        starts = [i for _, i in base]
+        labels = sorted({label for label, _ in base})
+        every = sorted({*labels, *(r.label for r in kept)})
+        score = max([r.weight for r in kept] + [0.9] * bool(base), default=0.0)
+        span = (min(starts), max(starts)) if starts else (None, None)
+        out.append((doc_id, len(words), len(base), *span, ",".join(labels), ",".join(every), score))
+    return out
