@@ -25,7 +25,7 @@ from adloom.llm.shared import keyed, stored, utf8
 from adloom.llm.suffix_dedup import merged
 
 GRAM = 8
-SHARD = "a long, h long, k1 long, k2 long, p long, cover array<int>, w long, x1 long, x2 long, xp long"
+SHARD = "a long, h long, k1 long, k2 long, p long, cover array<int>, w long, at long"
 KEPT = "id long, kept string, n_words long, spans array<struct<lo:int,hi:int>>"
 
 
@@ -34,77 +34,70 @@ def _cut(text: bytes):
     return lambda lo, hi: b" ".join(words[lo:hi])
 
 
-def _starts(text: str) -> np.ndarray:
-    """Offsets at which the words of a text with single spaces begin."""
-    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-    return np.concatenate(([0], spaces + 1))
+NAMES = [f.split()[0] for f in SHARD.split(", ")]
 
 
-def _passages(hit: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of consecutive True as [first, end)."""
-    step = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+def _locate(texts: list[bytes], patterns: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, word after the last) of every place of a pattern; all are looked up in one automaton.
 
-
-def _locate(texts: list[str], patterns: dict[str, int], window: int) -> list[list[int]]:
-    """Per text, the word intervals covered by the patterns, flattened; patterns are looked up in one automaton."""
+    Bytes are read as Latin-1, so that offsets in the automaton are those of the bytes.
+    """
     automaton = ahocorasick.Automaton()
-    for text, length in patterns.items():
-        automaton.add_word(f" {text} ", length)
-    if not patterns:
-        return [[] for _ in texts]
-    automaton.make_automaton()
-    out = []
-    for text in texts:
-        ends, found = _starts(text), []
-        for end, length in automaton.iter(f" {text} "):
-            last = int(np.searchsorted(ends, end - 1, side="right"))
-            found.append({"lo": last - length, "hi": last})
-        found.sort(key=lambda x: x["lo"])
-        out.append([i for pair in merged(found) for i in pair])
-    return out
-
-
-def _resolve(group: list[recurring.Segment], window: int) -> list[tuple]:
-    texts = [s.body.decode() for s in group]
-    hashes = [grams.window_hashes(grams.word_hashes(s.body), window, 11)[: s.n] for s in group]
-    n = np.array([h.size for h in hashes])
-    seg = np.repeat(np.arange(len(group)), n)
-    offset = np.arange(seg.size) - np.repeat(np.cumsum(n) - n, n)
-    _, label = np.unique(np.concatenate(hashes), return_inverse=True)
-    low, high = (np.array([getattr(s, side) for s in group], np.int64).reshape(-1, 3)[seg] for side in ("low", "high"))
+    for pattern, length in patterns.items():
+        automaton.add_word(f" {pattern.decode('latin-1')} ", length)
+    found: list[tuple[int, int, int]] = []
+    if patterns:
+        automaton.make_automaton()
+        for i, text in enumerate(texts):
+            found += [(i, end, length) for end, length in automaton.iter(f" {text.decode('latin-1')} ")]
+    at, end, length = np.array(found, np.int64).reshape(-1, 3).T
+    spaces = [np.flatnonzero(np.frombuffer(text, np.uint8) == 32) for text in texts]
+    last = np.zeros(at.size, np.int64)
+    cuts = np.searchsorted(at, np.arange(len(texts) + 1))
+    for i in np.unique(at).tolist():
+        lo, hi = cuts[i], cuts[i + 1]
+        last[lo:hi] = np.searchsorted(spaces[i], end[lo:hi] - 1) + 1
+    return at, last - length, last
+
+
+def _resolve(group: recurring.Shard, window: int) -> Iterator[pa.RecordBatch]:
+    data = np.frombuffer(b" ".join(group.bodies), np.uint8)
+    starts, ends = grams.word_bounds(data)
+    words = group.n + (window - 1)
+    begin = np.cumsum(words) - words
+    seg = np.repeat(np.arange(len(group)), group.n)
+    offset = np.arange(seg.size) - np.repeat(np.cumsum(group.n) - group.n, group.n)
+    where = begin[seg] + offset
+    hashes = grams.window_hashes(grams.span_hashes(data, starts, ends), window, 11)[where]
+    _, label = np.unique(hashes, return_inverse=True)
+    low, high = group.low[seg], group.high[seg]
     low[:, 2] += offset
     high[:, 2] += offset
     # A window recurs if its places are not all the same one.
-    by = np.lexsort((low[:, 2], low[:, 1], low[:, 0], label))
-    first = by[np.searchsorted(label[by], label)]
-    elsewhere = (low != low[first]).any(1) | (high != low[first]).any(1)
+    order = np.argsort(label, kind="stable")
+    first = order[np.searchsorted(label[order], np.arange(label.max() + 1))][label]
     again = np.zeros(label.max() + 1, bool)
-    again[label[elsewhere]] = True
+    again[label[(low != low[first]).any(1) | (high != low[first]).any(1)]] = True
     hit = again[label]
-    bounds = np.concatenate(([0], np.cumsum(n)))
+    # Consecutive recurring windows of a segment make one passage; equal passages are one pattern.
+    prior = np.concatenate(([False], hit[:-1] & (seg[1:] == seg[:-1])))
+    follow = np.concatenate((hit[1:] & (seg[1:] == seg[:-1]), [False]))
+    opens, closes = np.flatnonzero(hit & ~prior), np.flatnonzero(hit & ~follow)
     patterns = {}
-    for i, text in enumerate(texts):
-        starts = None
-        for lo, hi in _passages(hit[bounds[i] : bounds[i + 1]]):
-            starts = _starts(text) if starts is None else starts
-            end = hi - 1 + window
-            patterns[text[starts[lo] : starts[end] - 1 if end < starts.size else len(text)]] = end - lo
-    out = []
-    for s, cover in zip(group, _locate(texts, patterns, window), strict=True):
-        out.append((s.a, s.h, None, None, None, cover, None, None, None, None))
-    for i in np.flatnonzero(~hit).tolist() if any(s.open for s in group) else ():
-        if group[seg[i]].open:
-            s, w = group[seg[i]], int(hashes[seg[i]][offset[i]].view(np.int64))
-            out.append((s.a, s.h, *low[i].tolist(), None, w, None, None, int(offset[i])))
-    return out
-
-
-def _batch(rows: list) -> pa.RecordBatch:
-    kinds = [*[pa.int64()] * 5, pa.list_(pa.int32()), *[pa.int64()] * 4]
-    names = [f.split()[0] for f in SHARD.split(", ")]
-    arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names)
+    text = data.tobytes()
+    for lo, hi in zip(where[opens].tolist(), (where[closes] + window).tolist(), strict=True):
+        patterns[text[starts[lo] : ends[hi - 1]]] = hi - lo
+    at, lo, hi = _locate(group.bodies, patterns)
+    by = np.lexsort((lo, at))
+    cover = recurring.covers(at[by], lo[by], hi[by], len(group))
+    n, nulls = len(group), lambda size: pa.nulls(size, pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(group.a), pa.array(group.h), *[nulls(n)] * 3, cover, *[nulls(n)] * 2], NAMES)
+    single = np.flatnonzero(~hit & group.open[seg])
+    if single.size:
+        s = seg[single]
+        place = [pa.array(low[single, i]) for i in range(3)]
+        w = [pa.array(hashes[single].view(np.int64)), pa.array(offset[single])]
+        yield pa.RecordBatch.from_arrays([pa.array(group.a[s]), pa.array(group.h[s]), *place, pa.nulls(s.size, pa.list_(pa.int32())), *w], NAMES)
 
 
 def remove_recurring(
@@ -124,7 +117,7 @@ def remove_recurring(
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in recurring.shards(batches):
-            yield _batch(_resolve(group, window))
+            yield from _resolve(group, window)
 
     found = stored(recurring.by_shard(suspect, grams.word_hashes, _cut, window, split_at).mapInArrow(settle, SHARD), "shards")
     # Windows of a split anchor that one part saw once: they recur if another part saw them elsewhere.
@@ -132,7 +125,7 @@ def remove_recurring(
     place = F.struct("k1", "k2", "p")
     seen = single.groupBy("a", "w").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
     hits = single.join(seen.select("a", "w"), ["a", "w"])
-    split = hits.select("a", "h", F.array(F.col("xp").cast("int"), (F.col("xp") + window).cast("int")).alias("cover"))
+    split = hits.select("a", "h", F.array(F.col("at").cast("int"), (F.col("at") + window).cast("int")).alias("cover"))
     covers = found.where("w IS NULL").select("a", "h", "cover").union(split).where(F.size("cover") > 0)
     runs = recurring.occurrences(suspect, grams.word_hashes, _cut, window, False)
     placed = runs.join(covers, ["a", "h"]).select("k1", "k2", F.shiftright("span", 10).alias("p"), "cover")

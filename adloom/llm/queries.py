@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm import bloom_lm, fingerprints, license_scan, metric_join, minmax_dedup, phrase_dedup, suffix_dedup
+from adloom.llm import bloom_lm, fingerprints, language_id, license_scan, metric_join, minmax_dedup, phrase_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -25,6 +25,20 @@ def _removed() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages together; a row has the id of the table it is from."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    none = F.lit(None).cast("long")
+    rows = language_id.from_documents(docs, F.col("doc_id"), none.alias("page_id")).union(
+        language_id.from_pages(pages, none.alias("doc_id"), F.col("page_id"))
+    )
+    return language_id.identify(rows, *language_id.fit_text_model(docs))
+
+
+REGISTRY["op1_bayesian_fusion"] = _languages
+
+
 @register("op2_ordered_signatures")
 def _licenses(docs: DataFrame) -> DataFrame:
     return license_scan.labelled(docs).withColumnRenamed("id", "doc_id")

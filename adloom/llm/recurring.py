@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from adloom.llm import grams
 from adloom.llm.shared import stored, utf8
 
 # Runs of one anchor that stay together; a more frequent anchor is split by segment.
-SPLIT_AT = 4000
+SPLIT_AT = 1000
 ANCHORS = "k1 long, k2 long, a long, span long"
 SEGMENTS = (
     "a long, salt int, open boolean, h long, n int, body binary, d1 long, e1 long, p1 long, d2 long, e2 long, p2 long"
@@ -78,83 +79,105 @@ def occurrences(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            combined: dict = {}
-            rows: list = []
-            size = 0
-            for k1, k2, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                values = symbols(text)
-                pieces = cut(text)
-                spans = np.array([r["span"] for r in found], np.int64)
-                first, n = spans >> 10, spans & 1023
-                hashes = grams.span_hashes(values, first, first + n + window - 1, 7).view(np.int64)
-                for r, p, m, h in zip(found, first.tolist(), n.tolist(), hashes.tolist(), strict=True):
-                    if not with_body:
-                        rows.append((k1, k2, r["a"], h, r["span"]))
-                        continue
-                    at = (k1, k2, p)
-                    old = combined.get((r["a"], h))
-                    if old is None:
-                        body = pieces(p, p + m + window - 1)
-                        size += len(body)
-                        combined[r["a"], h] = [r["c"], m, body, at, at]
-                    else:
-                        old[3], old[4] = min(old[3], at), max(old[4], at)
-                if size > 1 << 23 or len(rows) > 1 << 17:
-                    yield _rows(_segments(combined, split_at) if with_body else rows, schema)
-                    combined, rows, size = {}, [], 0
-            if combined or rows:
-                yield _rows(_segments(combined, split_at) if with_body else rows, schema)
+            k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            texts, runs = batch.column(2).to_pylist(), batch.column(3)
+            ends = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+            values = runs.flatten()
+            span, a, c = (values.field(x).to_numpy(zero_copy_only=False) for x in ("span", "a", "c"))
+            first, n = span >> 10, span & 1023
+            h = [
+                grams.span_hashes(symbols(text), first[lo:hi], first[lo:hi] + n[lo:hi] + window - 1, 7)
+                for text, lo, hi in zip(texts, ends, ends[1:], strict=False)
+            ]
+            h = np.concatenate(h).view(np.int64) if h else np.zeros(0, np.int64)
+            doc = np.repeat(np.arange(len(texts)), np.diff(ends))
+            if not with_body:
+                arrays = [pa.array(x) for x in (k1[doc], k2[doc], a, h, span)]
+                yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "a", "h", "span"])
+                continue
+            order = np.lexsort((first, k2[doc], k1[doc], h, a))
+            change = (a[order[1:]] != a[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+            heads = order[np.concatenate(([True], change))] if order.size else order
+            tails = order[np.concatenate((change, [True]))] if order.size else order
+            by_doc = np.argsort(heads, kind="stable")
+            heads, tails = heads[by_doc], tails[by_doc]
+            for at in range(0, heads.size, 1 << 14):
+                x, y = heads[at : at + (1 << 14)], tails[at : at + (1 << 14)]
+                yield _segments(texts, cut, window, split_at, (k1, k2, doc, first, n, a, c, h), x, y)
 
     return suspect.select("k1", "k2", utf8(), "runs").mapInArrow(work, schema)
 
 
-def _segments(combined: dict, split_at: int) -> list:
-    out = []
-    for (a, h), (count, n, body, low, high) in combined.items():
-        parts = -(-count // split_at)
-        out.append((a, (h & 0x7FFFFFFF) % parts, parts > 1, h, n, body, *low, *high))
-    return out
-
-
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-
-
-def _rows(rows: list, schema: str) -> pa.RecordBatch:
-    fields = [f.split() for f in schema.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    arrays = [pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
-
-
-class Segment:
-    """Distinct text of one anchor's run with the least and greatest place where it stands."""
-
-    __slots__ = ("a", "open", "h", "n", "body", "low", "high")
-
-    def __init__(self, row: tuple):
-        self.a, _, self.open, self.h, self.n, self.body = row[:6]
-        self.low, self.high = row[6:9], row[9:12]
-
-
-def shards(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[list[Segment]]:
+def _segments(texts: list, cut: Callable, window: int, split_at: int, columns: tuple, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    k1, k2, doc, first, n, a, c, h = columns
+    bodies, held, pieces = [], -1, None
+    for d, lo, hi in zip(doc[x].tolist(), first[x].tolist(), (first[x] + n[x] + window - 1).tolist(), strict=True):
+        if d != held:
+            held, pieces = d, cut(texts[d])
+        bodies.append(pieces(lo, hi))
+    parts = -(-c[x] // split_at)
+    arrays = [a[x], ((h[x] & 0x7FFFFFFF) % parts).astype(np.int32), parts > 1, h[x], n[x].astype(np.int32), pa.array(bodies, pa.binary())]
+    arrays += [k1[doc[x]], k2[doc[x]], first[x], k1[doc[y]], k2[doc[y]], first[y]]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], [f.split()[0] for f in SEGMENTS.split(", ")])
+
+
+class Shard:
+    """Distinct segments of whole (anchor, salt) groups, column by column; ``low`` and ``high`` are (k1, k2, position)."""
+
+    def __init__(self, table: pa.Table):
+        column = {name: table.column(name).combine_chunks() for name in table.column_names}
+        number = {name: c.to_numpy(zero_copy_only=False) for name, c in column.items() if name != "body"}
+        low, high = (np.stack([number[f"{x}{i}"] for x in "dep"], 1) for i in (1, 2))
+        by_low = np.lexsort((*low.T[::-1], number["h"], number["a"]))
+        by_high = np.lexsort((*high.T[::-1], number["h"], number["a"]))
+        a, h = number["a"][by_low], number["h"][by_low]
+        change = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
+        rows = by_low[np.concatenate(([True], change))]
+        self.a, self.h, self.n, self.open = (number[x][rows] for x in ("a", "h", "n", "open"))
+        self.low, self.high = low[rows], high[by_high[np.concatenate((change, [True]))]]
+        self.bodies = column["body"].take(pa.array(rows)).to_pylist()
+
+    def __len__(self) -> int:
+        return len(self.bodies)
+
+
+def shards(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[Shard]:
     """Whole (anchor, salt) groups of a sorted stream, gathered up to about ``limit`` bytes; equal segments combined."""
-    group: dict = {}
-    key, size = None, 0
+    waiting: list[pa.RecordBatch] = []
+    size, key = 0, None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:2] != key:
-                if size >= limit:
-                    yield list(group.values())
-                    group, size = {}, 0
-                key = row[:2]
-            seen = group.get((row[0], row[3]))
-            if seen is None:
-                group[row[0], row[3]] = Segment(row)
-                size += len(row[5])
-            else:
-                seen.low, seen.high = min(seen.low, row[6:9]), max(seen.high, row[9:12])
-    if group:
-        yield list(group.values())
+        if not batch.num_rows:
+            continue
+        a, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        new = np.concatenate(([(a[0], salt[0]) != key], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])))
+        total = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(5)).to_numpy(zero_copy_only=False))))
+        starts, at = np.flatnonzero(new), 0
+        while True:
+            # The first group boundary at which enough has been gathered.
+            ready = starts[(starts >= at) & (size + total[starts] - total[at] >= limit)]
+            if not ready.size:
+                break
+            waiting.append(batch.slice(at, ready[0] - at))
+            yield Shard(pa.Table.from_batches(waiting))
+            waiting, size, at = [], 0, int(ready[0])
+        waiting.append(batch.slice(at))
+        size += int(total[-1] - total[at])
+        key = (a[-1], salt[-1])
+    if waiting:
+        yield Shard(pa.Table.from_batches(waiting))
+
+
+def covers(seg: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> pa.Array:
+    """Per segment the joined intervals, flattened; ``seg`` and ``start`` ascending."""
+    if not seg.size:
+        return pa.array([[]] * n, pa.list_(pa.int32()))
+    big = np.int64(1) << 40
+    reach = np.maximum.accumulate(seg * big + stop) - seg * big
+    new = np.concatenate(([True], (seg[1:] != seg[:-1]) | (start[1:] > reach[:-1])))
+    last = np.append(new[1:], True)
+    flat = np.stack((start[new], reach[last]), 1).ravel().astype(np.int32)
+    offsets = 2 * np.searchsorted(seg[new], np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
 
 
 def by_shard(suspect: DataFrame, symbols: Symbols, cut: Callable, window: int, split_at: int) -> DataFrame:

@@ -110,57 +110,47 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
     return np.where(follows, np.maximum(out[anchor] - (i - anchor), 0), out)
 
 
-def _cover(starts: np.ndarray, window: int) -> list[int]:
-    """Byte intervals [lo, hi) covered by windows at ``starts``, flattened."""
-    if not starts.size:
-        return []
-    new = np.concatenate(([True], starts[1:] > starts[:-1] + window))
-    lo, hi = starts[new], starts[np.append(new[1:], True)] + window
-    return np.stack((lo, hi), 1).ravel().tolist()
+NAMES = [f.split()[0] for f in SHARD.split(", ")]
 
 
-def _resolve(group: list[recurring.Segment], window: int) -> list[tuple]:
+def _resolve(group: recurring.Shard, window: int) -> Iterator[pa.RecordBatch]:
     """What one shard finds: per segment the repeats at its least occurrence, and of open anchors the first windows."""
-    data = np.frombuffer(b"".join(s.body for s in group), np.uint8)
-    size = np.array([len(s.body) for s in group])
+    data = np.frombuffer(b"".join(group.bodies), np.uint8)
+    size = np.array([len(b) for b in group.bodies])
     stop = np.cumsum(size)
     begin = stop - size
-    ends = np.repeat(stop, size)
-    order = suffix_array(data, ends)
-    shared = common_prefixes(data, ends, order)[order] >= window
+    order = suffix_array(data, np.repeat(stop, size))
+    shared = common_prefixes(data, np.repeat(stop, size), order)[order] >= window
     shared[:1] = False
-    seg = np.searchsorted(stop, order, side="right")
+    seg_of = np.repeat(np.arange(len(group)), size)
+    seg = seg_of[order]
     offset = order - begin[seg]
-    owned = offset < np.array([s.n for s in group])[seg]
+    owned = offset < group.n[seg]
     label = np.cumsum(~shared)[owned]
     seg, offset = seg[owned], offset[owned]
-    k1, k2, p = (np.array([s.low[i] for s in group], np.int64) for i in range(3))
-    rows = np.lexsort((p[seg] + offset, k2[seg], k1[seg], label))
-    label, seg, offset = label[rows], seg[rows], offset[rows]
-    again = np.concatenate(([False], label[1:] == label[:-1]))
-    spot = (k1[seg], k2[seg], p[seg] + offset)
-    same = np.concatenate(([False], (spot[0][1:] == spot[0][:-1]) & (spot[1][1:] == spot[1][:-1]) & (spot[2][1:] == spot[2][:-1])))
+    # Windows that stand alone are done; the others are ordered by place within their class.
+    many = np.bincount(label)[label] > 1
+    single, label, seg_m, offset_m = np.flatnonzero(~many), label[many], seg[many], offset[many]
+    k1, k2, p = group.low[seg_m, 0], group.low[seg_m, 1], group.low[seg_m, 2] + offset_m
+    rows = np.lexsort((p, k2, k1, label))
+    label, seg_m, offset_m, k1, k2, p = (x[rows] for x in (label, seg_m, offset_m, k1, k2, p))
+    again = np.concatenate(([False], label[1:] == label[:-1])) if label.size else np.zeros(0, bool)
     leader = np.maximum.accumulate(np.where(again, 0, np.arange(label.size)))
-    again &= ~(same & (spot[0] == spot[0][leader]) & (spot[1] == spot[1][leader]) & (spot[2] == spot[2][leader]))
-    out = []
-    by_seg = np.lexsort((offset[again], seg[again]))
-    s, o = seg[again][by_seg], offset[again][by_seg]
-    cuts = np.searchsorted(s, np.arange(len(group) + 1))
-    for i, segment in enumerate(group):
-        cover = _cover(o[cuts[i] : cuts[i + 1]], window)
-        out.append((segment.a, segment.h, *segment.low, cover, None))
-    if any(s.open for s in group):
-        for i, j in zip(seg[~again].tolist(), offset[~again].tolist(), strict=True):
-            if group[i].open:
-                low = group[i].low
-                out.append((group[i].a, None, low[0], low[1], low[2] + j, None, group[i].body[j : j + window]))
-    return out
-
-
-def _batch(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int32()), pa.binary()]
-    arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["a", "h", "k1", "k2", "p", "cover", "first"])
+    again &= (k1 != k1[leader]) | (k2 != k2[leader]) | (p != p[leader])
+    by_seg = np.lexsort((offset_m[again], seg_m[again]))
+    s, o = seg_m[again][by_seg], offset_m[again][by_seg]
+    cover = recurring.covers(s, o, o + window, len(group))
+    none = pa.nulls(len(group), pa.binary())
+    low = [pa.array(group.low[:, i]) for i in range(3)]
+    yield pa.RecordBatch.from_arrays([pa.array(group.a), pa.array(group.h), *low, cover, none], NAMES)
+    if group.open.any():
+        seg = np.concatenate((seg[single], seg_m[~again]))
+        offset = np.concatenate((offset[single], offset_m[~again]))
+        seg, offset = seg[group.open[seg]], offset[group.open[seg]]
+        first = pa.array([group.bodies[i][j : j + window] for i, j in zip(seg.tolist(), offset.tolist(), strict=True)], pa.binary())
+        place = [pa.array(group.low[seg, i] + (offset if i == 2 else 0)) for i in range(3)]
+        nothing = [pa.nulls(seg.size, pa.int64()), pa.nulls(seg.size, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([pa.array(group.a[seg]), nothing[0], *place, nothing[1], first], NAMES)
 
 
 def _merge(opened: DataFrame, window: int) -> DataFrame:
@@ -226,7 +216,7 @@ def remove_repeats(
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in recurring.shards(batches):
-            yield _batch(_resolve(group, window))
+            yield from _resolve(group, window)
 
     found = stored(recurring.by_shard(suspect, _bytes, _cut, window, split_at).mapInArrow(settle, SHARD), "shards")
     firsts = found.where("h IS NOT NULL").select("a", "h", F.struct("k1", "k2", "p").alias("low"), "cover")
