@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm import bloom_lm, fingerprints, language_id, license_scan, metric_join, minmax_dedup, phrase_dedup, suffix_dedup
+from adloom.llm import (
+    bloom_lm,
+    fingerprints,
+    language_id,
+    lattice_sampling,
+    license_scan,
+    metric_join,
+    minmax_dedup,
+    packing,
+    phrase_dedup,
+    suffix_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -67,6 +78,16 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     )
 
 
+@register("op6_variable_best_fit")
+def _packed(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+
+
+@register("op9_gumbel_lattice")
+def _sampled(docs: DataFrame) -> DataFrame:
+    return lattice_sampling.sample_segmentations(docs).withColumnRenamed("id", "doc_id")
+
+
 @register("op7_minmax_hashing")
 def _near(docs: DataFrame) -> DataFrame:
     return minmax_dedup.near_duplicates(docs, size=2).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
