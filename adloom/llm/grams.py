@@ -59,9 +59,14 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hash of ``values[start:end]`` for every pair; equal content has equal hashes wherever it stands."""
-    sums = prefix(values)
+def span_hashes(
+    values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, sums: np.ndarray | None = None
+) -> np.ndarray:
+    """Hash of ``values[start:end]`` for every pair; equal content has equal hashes wherever it stands.
+
+    ``sums`` are the prefix sums of ``values`` where they are known already.
+    """
+    sums = prefix(values) if sums is None else sums
     _, down = _Tables.get(values.size + 1)
     length = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt)
     return mix((sums[ends] - sums[starts]) * down[starts] + length)

@@ -152,7 +152,10 @@ def identify(
     wrong = (1 - trust) / max(1, n - 1)
     declared = [F.when(F.col("declared").isin(*languages), F.when(g, F.lit(float(np.log(trust)))).otherwise(float(np.log(max(wrong, 1e-6))))).otherwise(0.0) for g in given]
     scores = {f"s{i}": ll[i] + declared[i] + F.log(share[i]) for i in range(n)}
-    joined = joined.withColumns(scores).withColumns({f"q{i}": p for i, p in enumerate(_softmax([F.col(s) for s in scores]))})
+    kept_ll = {f"l{i}": x for i, x in enumerate(ll)}
+    joined = stored(joined.withColumns({**scores, **kept_ll}).select(*keys, "letters", *scores, *kept_ll), "language-scores")
+    ll = [F.col(x) for x in kept_ll]
+    joined = joined.withColumns({f"q{i}": p for i, p in enumerate(_softmax([F.col(s) for s in scores]))})
 
     def best(values: list[Column]) -> Column:
         top = F.greatest(*values) if n > 1 else values[0]

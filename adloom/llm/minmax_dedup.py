@@ -102,7 +102,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
-    """(k1, k2, id, n_shingles, component_id, kept) per row of ``docs``.
+    """(k1, k2, group, id, n_shingles, component_id, kept) per row of ``docs``; the group is null for an empty set.
 
     Components are those of the graph that links sets with ``100 * intersection >= percent * union``.
     """
@@ -152,9 +152,9 @@ def near_duplicates(
     joined = classes.select("class", "id").join(parts.withColumnRenamed("node", "class"), "class", "left")
     joined = joined.withColumn("component", F.coalesce("component", "class"))
     smallest = joined.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = stored(joined.join(smallest, "component").select("class", "component_id"), "names")
+    named = stored(joined.join(smallest, "component").select("class", F.col("component").alias("group"), "component_id"), "names")
     found = sets.select("k1", "k2", "n", "class", F.expr(f"nullif(k1, {-(1 << 63)})").alias("id")).join(named, "class", "left")
     component = F.expr("if(class IS NULL, id, component_id)")
     return found.select(
-        "k1", "k2", "id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")
+        "k1", "k2", "group", "id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")
     )

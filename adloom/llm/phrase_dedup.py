@@ -12,7 +12,7 @@ document listed twice; a null id is an id of its own; other columns are not look
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -106,13 +106,14 @@ def remove_recurring(
     text_col: str = "text",
     window: int = 35,
     split_at: int = recurring.SPLIT_AT,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Each document without the words covered by a ``window``-word passage that also stands elsewhere.
 
     Returns (id, kept, n_words, spans): the remaining words joined by one space, the original number of words, and the
-    maximal removed word ranges.
+    maximal removed word ranges; then the columns to ``carry``.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, carry)
     suspect = recurring.suspects(rows, grams.word_hashes, window, GRAM)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +133,10 @@ def remove_recurring(
     pairs = F.expr("transform(sequence(0, size(cover) DIV 2 - 1), i -> struct(p + cover[2 * i] AS lo, p + cover[2 * i + 1] AS hi))")
     spans = placed.select("k1", "k2", F.inline(pairs))
     removed = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
-    return rows.join(removed, ["k1", "k2"], "left").select("id", utf8(), "spans").mapInArrow(_apply, KEPT)
+    carried = [f"carry_{c}" for c in carry]
+    schema = ", ".join([KEPT, *(f"`{c}` {rows.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)])
+    joined = rows.join(removed, ["k1", "k2"], "left")
+    return joined.select("id", utf8(), "spans", *carried).mapInArrow(_apply, schema)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +152,6 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b" ".join(words).decode())
             spans.append([{"lo": lo, "hi": hi} for lo, hi in cut])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(spans, span)],
-            ["id", "kept", "n_words", "spans"],
+            [batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(spans, span), *batch.columns[3:]],
+            ["id", "kept", "n_words", "spans", *(n.removeprefix("carry_") for n in batch.schema.names[3:])],
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +102,9 @@ def _vectors(rows: DataFrame) -> DataFrame:
 register("op10_log_frequency_bloom")(bloom_lm.score_documents)
 
 
+REGISTRY["pipeline"] = corpus_pipeline.run
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,28 +17,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps start from files that outlive an executor.
 
-    The collection before lets Spark remove the shuffle files of earlier jobs that nothing refers to any more.
+    The shuffle files of the write are of no use once it has ended, and Spark is told to remove them then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """(k1, k2, id, text): the id, a hash that separates rows with the same id, and the text with null as empty.
 
-    Rows equal in id and text are the same document listed twice; they share a key.
+    Rows equal in id and text are the same document listed twice; they share a key. Columns to ``carry`` follow, with a
+    prefix that keeps their names apart.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text")).select(
-        F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64("id", "text").alias("k2"), "id", "text"
-    )
+    kept = [F.col(c).alias(f"carry_{c}") for c in carry]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *kept)
+    return rows.select(F.coalesce("id", F.lit(NO_ID)).alias("k1"), F.xxhash64("id", "text").alias("k2"), *rows.columns)
 
 
 def _mark(edges: DataFrame) -> tuple:
