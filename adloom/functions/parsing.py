@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text formats of the raw logs.
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 DAY_FORMAT = "yyyy-MM-dd"
 
 

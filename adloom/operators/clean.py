@@ -19,6 +19,9 @@ LATE_EVENT_COLUMNS = {
     "user_agent": ("string", None),
 }
 
+# What decides first between rows of equal key and time; the columns that narrow traffic has, too.
+TIE_BREAK = ("user_id", "ad_id", "campaign_id")
+
 
 def backfill(df: DataFrame, defaults: Mapping[str, tuple[str, object]]) -> DataFrame:
     """Add each absent column with its typed default; present columns are left alone."""
@@ -109,11 +112,13 @@ def valid_events(events: DataFrame, event_type: str | None = None) -> DataFrame:
 def newest(df: DataFrame, keys: Sequence[str], time_column: str) -> DataFrame:
     """One row per key, the one with the latest time.
 
-    Equal times are decided by the remaining columns, so the result does not depend on how the rows were partitioned.
+    Equal times are decided by the remaining columns, so the result does not depend on how the rows were partitioned. The
+    columns of ``TIE_BREAK`` come first, so narrow and wide rows of the same events are decided alike.
     ``row_number() = 1`` lets Catalyst place a group limit before the exchange as well: every map task sends at most one
     row per key, so a key that owns a large part of the input never gathers in one task.
     """
     rest = [c for c in df.columns if c not in (*keys, time_column)]
+    rest.sort(key=lambda c: TIE_BREAK.index(c) if c in TIE_BREAK else len(TIE_BREAK))
     order = ", ".join(f"{c} DESC NULLS LAST" for c in (time_column, *rest))
     rank = F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})")
     return df.withColumn("_n", rank).where("_n = 1").drop("_n")

@@ -112,7 +112,7 @@ def _attributed(seen: DataFrame, conversions: DataFrame | None, cost: DataFrame)
     shares are worked out side by side for the advertisers of impressions and for those of clicks, and each day takes
     the former if its impressions name any advertiser at all. So the facts are read once, and everything after the
     first aggregate works on distinct (dt, campaign, advertiser) rows: the campaign window sees the advertisers of one
-    campaign and day, the day window the advertisers of one day. ``cost`` is NULL where no cost is due.
+    campaign and day. ``cost`` is NULL where no cost is due.
     """
     keys = ["dt", "campaign_id", "advertiser_id"]
     spent = cost.withColumn("advertiser_id", F.lit(None).cast("string"))
@@ -141,16 +141,16 @@ def _attributed(seen: DataFrame, conversions: DataFrame | None, cost: DataFrame)
         {
             "by_impressions": share("impressions"),
             "by_clicks": share("clicks"),
-            "mapped": _in_map() & (F.col("impressions") > 0),
         }
     )
     per_advertiser = shared.groupBy("dt", "advertiser_id").agg(
-        *_sums("impressions", "clicks", "conversions", "gmv_amount", "by_impressions", "by_clicks"),
-        F.bool_or("mapped").alias("mapped"),
+        *_sums("impressions", "clicks", "conversions", "gmv_amount", "by_impressions", "by_clicks")
     )
-    day_is_mapped = F.bool_or("mapped").over(W.partitionBy("dt"))
-    chosen = F.when(day_is_mapped, F.col("by_impressions")).otherwise(F.col("by_clicks"))
-    return per_advertiser.withColumn("cost", chosen).select("dt", "advertiser_id", *COUNTERS)
+    # One row per day, combined map-side; gathering a day's advertisers for this would put a whole day into one task.
+    days = cube.groupBy(F.col("dt").alias("day")).agg(F.bool_or(_in_map() & (F.col("impressions") > 0)).alias("mapped"))
+    chosen = F.when(F.col("mapped"), F.col("by_impressions")).otherwise(F.col("by_clicks"))
+    joined = per_advertiser.join(days, F.col("dt").eqNullSafe(F.col("day")))
+    return joined.withColumn("cost", chosen).select("dt", "advertiser_id", *COUNTERS)
 
 
 def advertiser_cost_split(seen: DataFrame, cost: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ REQUIRED_EVENT_COLUMNS = ("dt", "event_id", "campaign_id", "ad_id", "creative_id
 
 @dataclass(frozen=True)
 class TableChecks:
-    """What must hold for one table. Checks on a column the table lacks are skipped."""
+    """What must hold for one table. A check on a column that the table lacks fails."""
 
     layer: str
     table: str
@@ -89,14 +89,20 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _row_checks(df: DataFrame, checks: TableChecks) -> dict[str, Column]:
     """Violation counters that need a look at each row on its own."""
 
-    def present(*names: str) -> bool:
-        return all(n in df.columns for n in names)
-
     c = F.col
     found: dict[str, Column] = {}
+    named = [*checks.time_columns, *checks.required, *checks.non_negative, *checks.rates, *checks.finite]
+    wanted = dict.fromkeys([*named, *(n for pair in checks.at_most for n in pair), *checks.unique_key])
+    absent = [n for n in wanted if n not in df.columns]
+    for n in absent:
+        found[f"{n} is a column"] = F.lit(1).cast("bigint")
+
+    def present(*names: str) -> bool:
+        return not set(names) & set(absent)
+
     if checks.not_empty:
         found["not_empty"] = (F.count(F.lit(1)) == 0).cast("bigint")
-    for n in checks.time_columns:
+    for n in filter(present, checks.time_columns):
         found[f"{n} is a timestamp"] = F.lit(0 if is_time_type(df, n) else 1).cast("bigint")
     for n in filter(present, checks.required):
         found[f"{n} not null"] = F.count_if(c(n).isNull())
@@ -124,7 +130,7 @@ def check_table(df: DataFrame, checks: TableChecks) -> DataFrame:
         counted = df.agg(*[v.alias(s) for s, v in zip(slots, counters.values())])
         values = {name: F.coalesce(F.col(s), F.lit(0)).cast("bigint") for s, name in slots.items()}
         parts.append(_to_rows(counted, values, [], "check_name", "bad_rows"))
-    if checks.unique_key:
+    if checks.unique_key and set(checks.unique_key) <= set(df.columns):
         name = f"unique ({', '.join(checks.unique_key)})"
         groups = duplicate_groups(df, checks.unique_key).agg(F.count(F.lit(1)).alias("bad_rows"))
         parts.append(groups.select(F.lit(name).alias("check_name"), "bad_rows"))
@@ -138,9 +144,11 @@ def check_table(df: DataFrame, checks: TableChecks) -> DataFrame:
 
 
 def dq_report(tables: Mapping[str, DataFrame], gate: Sequence[TableChecks] = GATE) -> DataFrame:
-    """The checks of every table given, keyed ``<layer>.<table>``, as one report."""
-    reports = [check_table(tables[name], t) for t in gate if (name := f"{t.layer}.{t.table}") in tables]
-    return reduce(DataFrame.unionByName, reports)
+    """The checks of all tables of the gate, keyed ``<layer>.<table>``, as one report; a table not given is an error."""
+    lacking = [name for t in gate if (name := f"{t.layer}.{t.table}") not in tables]
+    if lacking:
+        raise ValueError(f"the gate checks tables that are not given: {', '.join(lacking)}")
+    return reduce(DataFrame.unionByName, [check_table(tables[f"{t.layer}.{t.table}"], t) for t in gate])
 
 
 class QualityGateError(RuntimeError):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from adloom.operators.tags import TAG_RULES, UPDATE_FREQ, Thresholds
-from adloom.plans.queries import DAY, HOT, SCALED, SKEW_KEYS
+from adloom.plans.queries import DAY, HOT, HOT_SHARE, PLACES, SCALED, SKEW_KEYS
 
 TIME = "%Y-%m-%d %H:%M:%S.%f"
 
@@ -34,12 +34,10 @@ def _choice(number: str, *values: str) -> str:
     return f"[{listed}][({number}) % {len(values)} + 1]"
 
 
-def _copies(name: str, id_column: str, time: str) -> str:
-    return (
-        f"SELECT * FROM {name} UNION ALL BY NAME "
-        f"SELECT * REPLACE ({time} - INTERVAL 1 MINUTE AS {time}) FROM {name} "
-        f"WHERE CAST({id_column} AS BIGINT) % 10 = 0"
-    )
+def _counted(key: str, *names: str) -> str:
+    """Rows of the three kinds under the given names; nothing is counted for a missing key."""
+    kinds = zip(("impression", "click", "conversion"), names, strict=True)
+    return ", ".join(f"count(*) FILTER (kind = '{kind}' AND {key} IS NOT NULL) AS {name}" for kind, name in kinds)
 
 
 _DEVICE = _choice("event_id", "ios", "android", "web", "h5")
@@ -50,22 +48,25 @@ CTES: dict[str, str] = {
         SELECT event_id, ts, strftime(ts, '%Y-%m-%d') AS dt, CAST(user_id AS VARCHAR) AS user_id, event_type, value,
                CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k
         FROM events""",
-    "event_once": f"""
+    # With repeated rows: an earlier copy of some, and of others one of the same time with another ad.
+    "logged": """
+        SELECT * FROM activity UNION ALL BY NAME
+        SELECT * REPLACE (ts - INTERVAL 1 MINUTE AS ts) FROM activity WHERE event_id % 10 = 0 UNION ALL BY NAME
+        SELECT * REPLACE (k + 1 AS k) FROM activity WHERE event_id % 30 = 7""",
+    "ev": f"""
         SELECT CAST(event_id AS VARCHAR) AS event_id, ts AS event_time, dt, user_id,
                CAST(NULL AS VARCHAR) AS session_id, 'ad_' || k AS ad_id, 'cmp_' || (k % 20) AS campaign_id,
-               'crt_' || k AS creative_id, 'site_' || (event_id % 10) AS site_id,
-               {_choice("event_id", "home", "detail", "search", "live")} AS page_id,
+               'creative_' || k AS creative_id, 'site_' || (event_id % 10) AS site_id,
+               'page_' || logged.event_type AS page_id,
                CAST(event_id % 26 AS VARCHAR) AS ad_slot_id, {_DEVICE} AS device, {_DEVICE} || ' browser' AS user_agent,
                '10.0.' || (event_id % 256) || '.' || k AS ip,
                CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS is_valid,
                CASE WHEN event_type = 'click' THEN 'click' ELSE 'impression' END AS event_type
-        FROM activity WHERE event_type <> 'purchase'""",
-    "ev": _copies("event_once", "event_id", "event_time"),
-    "conv_once": """
+        FROM logged WHERE logged.event_type <> 'purchase'""",
+    "conv": """
         SELECT CAST(event_id AS VARCHAR) AS conv_id, ts AS conv_time, dt, user_id, 'ad_' || k AS ad_id,
                'cmp_' || (k % 20) AS campaign_id, 'ord_' || event_id AS order_id, value AS gmv_amount
-        FROM activity WHERE event_type = 'purchase'""",
-    "conv": _copies("conv_once", "conv_id", "conv_time"),
+        FROM logged WHERE event_type = 'purchase'""",
     "cost_log": """
         SELECT dt, 'cmp_' || (k % 20) AS campaign_id, value AS cost FROM activity WHERE event_type = 'view'""",
     "ads": """
@@ -77,7 +78,7 @@ CTES: dict[str, str] = {
         FROM part""",
     "slots": f"""
         SELECT CAST(n_nationkey AS VARCHAR) AS ad_slot_id, n_name AS slot_type, CAST(n_regionkey AS VARCHAR) AS app,
-               {_choice("n_nationkey", "top", "middle", "bottom")} AS position, 80.0::DOUBLE + n_nationkey AS price_factor
+               lower(substr(n_name, 1, 3)) AS position, 80.0::DOUBLE + n_nationkey AS price_factor
         FROM nation""",
     "users": """
         SELECT CAST(c_custkey AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS gender,
@@ -91,7 +92,7 @@ CTES: dict[str, str] = {
         LEFT JOIN slots s ON e.ad_slot_id = s.ad_slot_id""",
     "detail": """
         SELECT * EXCLUDE (is_valid) FROM enriched WHERE coalesce(is_valid, 1) = 1
-        QUALIFY row_number() OVER (PARTITION BY dt, event_id, event_type ORDER BY event_time DESC) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY dt, event_id, event_type ORDER BY event_time DESC, user_id DESC, ad_id DESC, campaign_id DESC) = 1""",
     "imp": "SELECT * FROM detail WHERE event_type = 'impression'",
     "clk": "SELECT * FROM detail WHERE event_type = 'click'",
     "conv_enriched": """
@@ -99,62 +100,50 @@ CTES: dict[str, str] = {
         LEFT JOIN ads a ON c.ad_id = a.ad_id AND c.campaign_id = a.campaign_id""",
     "cvd": """
         SELECT * FROM conv_enriched
-        QUALIFY row_number() OVER (PARTITION BY dt, conv_id ORDER BY conv_time DESC) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY dt, conv_id ORDER BY conv_time DESC, user_id DESC, ad_id DESC, campaign_id DESC) = 1""",
     "day_cost": """
         SELECT dt, campaign_id, cost FROM cost_log WHERE campaign_id IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY dt, campaign_id ORDER BY cost DESC) = 1""",
-    # Advertisers of a campaign: by impressions, by clicks on days without any mapped impression.
+    # Everything that happened, one row each; money is exact.
+    "fact": """
+        SELECT dt, campaign_id, advertiser_id, user_id, event_type AS kind, event_time AS moment, CAST(0 AS DECIMAL(18, 2)) AS money
+        FROM detail
+        UNION ALL BY NAME
+        SELECT dt, campaign_id, advertiser_id, user_id, 'conversion' AS kind, conv_time AS moment,
+               CAST(coalesce(gmv_amount, 0) AS DECIMAL(18, 2)) AS money FROM cvd""",
+    # Advertisers of a campaign: those of impressions, and all on days whose impressions name none.
     "pairs": """
-        SELECT DISTINCT dt, campaign_id, advertiser_id FROM imp
-        WHERE campaign_id IS NOT NULL AND advertiser_id IS NOT NULL
-        UNION
-        SELECT DISTINCT dt, campaign_id, advertiser_id FROM clk
-        WHERE campaign_id IS NOT NULL AND advertiser_id IS NOT NULL
-          AND dt NOT IN (SELECT dt FROM imp WHERE campaign_id IS NOT NULL AND advertiser_id IS NOT NULL)""",
+        SELECT dt, campaign_id, advertiser_id
+        FROM (SELECT dt, campaign_id, advertiser_id, bool_or(kind = 'impression') AS shown FROM fact
+              WHERE kind <> 'conversion' AND campaign_id IS NOT NULL AND advertiser_id IS NOT NULL GROUP BY ALL)
+        QUALIFY shown OR NOT bool_or(shown) OVER (PARTITION BY dt)""",
     "adv_cost": """
-        SELECT c.dt, p.advertiser_id, sum(c.cost / coalesce(n.n, 1)) AS cost
-        FROM day_cost c
-        LEFT JOIN (SELECT dt, campaign_id, count(DISTINCT advertiser_id) AS n FROM pairs GROUP BY ALL) n
-          ON c.dt = n.dt AND c.campaign_id = n.campaign_id
-        LEFT JOIN pairs p ON c.dt = p.dt AND c.campaign_id = p.campaign_id
+        SELECT dt, advertiser_id, sum(cost / coalesce(sharing, 1)) AS cost
+        FROM day_cost LEFT JOIN
+             (SELECT *, count(*) OVER (PARTITION BY dt, campaign_id) AS sharing FROM pairs) USING (dt, campaign_id)
         GROUP BY ALL""",
-    "campaign_raw": """
-        SELECT k.dt, k.campaign_id, coalesce(i.n, 0) AS impressions, coalesce(c.n, 0) AS clicks,
-               coalesce(v.n, 0) AS conversions, coalesce(v.gmv, 0.0) AS gmv_amount, coalesce(d.cost, 0.0) AS cost
-        FROM (SELECT dt, campaign_id FROM imp UNION SELECT dt, campaign_id FROM clk
-              UNION SELECT dt, campaign_id FROM cvd UNION SELECT dt, campaign_id FROM day_cost) k
-        LEFT JOIN (SELECT dt, campaign_id, count(*) AS n FROM imp GROUP BY ALL) i
-          ON k.dt = i.dt AND k.campaign_id = i.campaign_id
-        LEFT JOIN (SELECT dt, campaign_id, count(*) AS n FROM clk GROUP BY ALL) c
-          ON k.dt = c.dt AND k.campaign_id = c.campaign_id
-        LEFT JOIN (SELECT dt, campaign_id, count(*) AS n, CAST(sum(CAST(gmv_amount AS DECIMAL(18, 2))) AS DOUBLE) AS gmv FROM cvd GROUP BY ALL) v
-          ON k.dt = v.dt AND k.campaign_id = v.campaign_id
-        LEFT JOIN day_cost d ON k.dt = d.dt AND k.campaign_id = d.campaign_id""",
-    "advertiser_raw": """
-        SELECT k.dt, k.advertiser_id, coalesce(i.n, 0) AS impressions, coalesce(c.n, 0) AS clicks,
-               coalesce(v.n, 0) AS conversions, coalesce(v.gmv, 0.0) AS gmv_amount, coalesce(d.cost, 0.0) AS cost
-        FROM (SELECT dt, advertiser_id FROM imp UNION SELECT dt, advertiser_id FROM clk
-              UNION SELECT dt, advertiser_id FROM cvd UNION SELECT dt, advertiser_id FROM pairs) k
-        LEFT JOIN (SELECT dt, advertiser_id, count(*) AS n FROM imp GROUP BY ALL) i
-          ON k.dt = i.dt AND k.advertiser_id = i.advertiser_id
-        LEFT JOIN (SELECT dt, advertiser_id, count(*) AS n FROM clk GROUP BY ALL) c
-          ON k.dt = c.dt AND k.advertiser_id = c.advertiser_id
-        LEFT JOIN (SELECT dt, advertiser_id, count(*) AS n, CAST(sum(CAST(gmv_amount AS DECIMAL(18, 2))) AS DOUBLE) AS gmv FROM cvd GROUP BY ALL) v
-          ON k.dt = v.dt AND k.advertiser_id = v.advertiser_id
-        LEFT JOIN adv_cost d ON k.dt = d.dt AND k.advertiser_id = d.advertiser_id
-        WHERE k.advertiser_id IS NOT NULL""",
+    "campaign_raw": f"""
+        SELECT dt, campaign_id, {_counted("campaign_id", "impressions", "clicks", "conversions")},
+               coalesce(CAST(sum(money) FILTER (campaign_id IS NOT NULL) AS DOUBLE), 0.0) AS gmv_amount,
+               coalesce(sum(spent) FILTER (campaign_id IS NOT NULL), 0.0) AS cost
+        FROM (SELECT dt, campaign_id, kind, money, 0.0::DOUBLE AS spent FROM fact UNION ALL BY NAME
+              SELECT dt, campaign_id, 'cost' AS kind, cost AS spent FROM day_cost)
+        GROUP BY dt, campaign_id""",
+    "advertiser_raw": f"""
+        SELECT dt, advertiser_id, {_counted("advertiser_id", "impressions", "clicks", "conversions")},
+               coalesce(CAST(sum(money) AS DOUBLE), 0.0) AS gmv_amount, coalesce(sum(spent), 0.0) AS cost
+        FROM (SELECT dt, advertiser_id, kind, money, 0.0::DOUBLE AS spent FROM fact UNION ALL BY NAME
+              SELECT dt, advertiser_id, 'cost' AS kind, cost AS spent FROM adv_cost)
+        WHERE advertiser_id IS NOT NULL GROUP BY dt, advertiser_id""",
     "user_raw": f"""
-        SELECT k.dt, k.user_id, coalesce(i.n, 0) AS imp_cnt, coalesce(c.n, 0) AS clk_cnt, coalesce(v.n, 0) AS conv_cnt,
-               coalesce(v.gmv, 0.0) AS gmv_amount, greatest(coalesce(i.m, 0), coalesce(c.m, 0)) AS active_campaign_cnt,
-               greatest(i.t, c.t, v.t) AS last_event_time,
-               {ratio("coalesce(c.n, 0)", "coalesce(i.n, 0)")} AS ctr, {ratio("coalesce(v.n, 0)", "coalesce(c.n, 0)")} AS cvr
-        FROM (SELECT dt, user_id FROM imp UNION SELECT dt, user_id FROM clk UNION SELECT dt, user_id FROM cvd) k
-        LEFT JOIN (SELECT dt, user_id, count(*) AS n, count(DISTINCT campaign_id) AS m, max(event_time) AS t
-                   FROM imp GROUP BY ALL) i ON k.dt = i.dt AND k.user_id = i.user_id
-        LEFT JOIN (SELECT dt, user_id, count(*) AS n, count(DISTINCT campaign_id) AS m, max(event_time) AS t
-                   FROM clk GROUP BY ALL) c ON k.dt = c.dt AND k.user_id = c.user_id
-        LEFT JOIN (SELECT dt, user_id, count(*) AS n, CAST(sum(CAST(gmv_amount AS DECIMAL(18, 2))) AS DOUBLE) AS gmv, max(conv_time) AS t
-                   FROM cvd GROUP BY ALL) v ON k.dt = v.dt AND k.user_id = v.user_id""",
+        SELECT *, {ratio("clk_cnt", "imp_cnt")} AS ctr, {ratio("conv_cnt", "clk_cnt")} AS cvr
+        FROM (SELECT dt, user_id, {_counted("user_id", "imp_cnt", "clk_cnt", "conv_cnt")},
+                     coalesce(CAST(sum(money) FILTER (user_id IS NOT NULL) AS DOUBLE), 0.0) AS gmv_amount,
+                     CASE WHEN user_id IS NULL THEN 0 ELSE greatest(
+                       count(DISTINCT campaign_id) FILTER (kind = 'impression'),
+                       count(DISTINCT campaign_id) FILTER (kind = 'click')) END AS active_campaign_cnt,
+                     CASE WHEN user_id IS NOT NULL THEN max(moment) END AS last_event_time
+              FROM fact GROUP BY dt, user_id)""",
     "features": f"""
         SELECT d.dt, d.user_id,
                CAST(sum(h.imp_cnt) AS BIGINT) AS feature_7d_impressions,
@@ -271,7 +260,6 @@ def sql(select: str) -> str:
 
 _EVENT = f"""event_id, {shown_time("event_time")} AS event_time, dt, user_id, session_id, ad_id, campaign_id,
     creative_id, site_id, page_id, ad_slot_id, device, user_agent, ip, is_valid, event_type"""
-_SECOND_EVENT = _EVENT.replace(shown_time("event_time"), shown_time("date_trunc('second', event_time)"))
 _DETAIL = f"""event_id, {shown_time("event_time")} AS event_time, dt, user_id, session_id, ad_id, campaign_id,
     creative_id, advertiser_id, ad_type, landing_type, product_id, site_id, page_id, ad_slot_id, slot_type, app,
     position, price_factor, device, user_agent, ip, event_type"""
@@ -287,7 +275,7 @@ _EFFECT = f"""dt, tag_name, coverage_rate, tagged_user_cnt, avg_ctr_tagged, avg_
     {exact("avg_gmv_tagged")} AS avg_gmv_tagged"""
 _TOTALS = f"""SELECT dt, campaign_id, count_if(event_type = 'impression') AS impressions,
     count_if(event_type = 'click') AS clicks, count(*) AS valid_events,
-    {shown_time("max(event_time)")} AS last_event_time FROM sk WHERE is_valid = 1 GROUP BY ALL"""
+    {shown_time("max(event_time)")} AS last_event_time FROM ev WHERE is_valid = 1 GROUP BY ALL"""
 _SESSIONS = """
     SELECT dt, user_id, event_id, event_time,
            'sess_' || replace(dt, '-', '') || '_' || user_id || '_' || lpad(CAST(n AS VARCHAR), 3, '0') AS session_id
@@ -372,8 +360,8 @@ _MD5_AD = "CAST(('0x' || substr(md5(ad_id), 1, 8)) AS BIGINT)"
 _MD5_CAMPAIGN = "CAST(('0x' || substr(md5(campaign_id), 1, 8)) AS BIGINT)"
 
 SELECTS: dict[str, str] = {
-    "land_events": f"SELECT {_SECOND_EVENT} FROM ev",
-    "land_conversions": f"""SELECT * REPLACE ({shown_time("date_trunc('second', conv_time)")} AS conv_time) FROM conv""",
+    "land_events": f"SELECT {_EVENT} FROM ev",
+    "land_conversions": f"SELECT * REPLACE ({shown_time('conv_time')} AS conv_time) FROM conv",
     "land_cost": "SELECT * FROM cost_log",
     "land_user_profile": "SELECT * FROM users",
     "land_ad_meta": "SELECT * FROM ads",
@@ -426,11 +414,12 @@ SELECTS: dict[str, str] = {
         FULL JOIN (SELECT dt, campaign_id, count(*) AS n FROM ev WHERE event_type = 'click' GROUP BY ALL) c
           ON i.dt = c.dt AND i.campaign_id = c.campaign_id""",
     "media_cost": f"""SELECT dt, campaign_id, {exact(
-        "i * coalesce(10.0::DOUBLE + n_nationkey, 30.0) / 1000.0 + c * coalesce(0.5::DOUBLE + n_nationkey / 16.0, 1.0)", 4
+        "i * coalesce(CASE WHEN n_regionkey <> 0 THEN 10.0::DOUBLE + n_nationkey END, 30.0) / 1000.0"
+        " + c * coalesce(CASE WHEN n_regionkey <> 0 THEN 0.5::DOUBLE + n_nationkey / 16.0 END, 1.0)", 4
         )} AS cost
         FROM (SELECT dt, campaign_id, count_if(event_type = 'impression')::DOUBLE AS i,
                      count_if(event_type = 'click')::DOUBLE AS c FROM ev GROUP BY ALL) t
-        LEFT JOIN nation ON t.campaign_id = 'cmp_' || n_nationkey AND n_regionkey <> 0
+        LEFT JOIN nation ON t.campaign_id = 'cmp_' || n_nationkey
         ORDER BY dt, campaign_id""",
     "user_features_7d": f"""SELECT dt, user_id, {_FEATURES}, feature_7d_active_days,
         {shown_time("last_event_time")} AS last_event_time FROM features""",
@@ -456,14 +445,17 @@ SELECTS: dict[str, str] = {
     "top_campaigns_roi": f"SELECT * FROM ranking WHERE dt = '{DAY}' ORDER BY rank_by_roi LIMIT 10",
     "top_advertisers_gmv": f"SELECT * FROM dashboard WHERE dt = '{DAY}' ORDER BY gmv DESC, advertiser_id LIMIT 10",
     "tag_report": f"SELECT {_EFFECT} FROM quality_scaled WHERE dt = '{DAY}' ORDER BY coverage_rate DESC, tag_name",
-    "skew_simple": """SELECT dt, campaign_id, count(*) AS impressions FROM sk
+    "skew_simple": """SELECT dt, campaign_id, count(*) AS impressions FROM ev
         WHERE is_valid = 1 AND event_type = 'impression' GROUP BY ALL""",
     "skew_totals": _TOTALS,
     "skew_plain": _TOTALS,
     "skew_salted": _TOTALS,
     "skew_salted_combined": _TOTALS,
     "hot_keys": f"""SELECT campaign_id, row_cnt, share FROM (SELECT campaign_id, count(*) AS row_cnt,
-        {ratio("count(*)", "(SELECT count(*) FROM sk)")} AS share FROM sk GROUP BY campaign_id) WHERE share >= 0.1""",
+        {ratio("count(*)", "(SELECT count(*) FROM ev)")} AS share FROM ev GROUP BY campaign_id) WHERE share >= {HOT_SHARE}""",
+    "partition_balance": f"""SELECT CAST(min(n) AS DOUBLE) AS least_rows, CAST(max(n) AS DOUBLE) AS most_rows,
+        {exact("avg(n)", 2)} AS mean_rows, {exact("max(n) / avg(n)", 2)} AS most_over_mean
+        FROM (SELECT CAST({_MD5_CAMPAIGN} % {PLACES} AS INTEGER) AS place, count(*) AS n FROM ev WHERE is_valid = 1 GROUP BY ALL)""",
     "rekey_skewed": f"SELECT event_id, {shown_time('event_time')} AS event_time, campaign_id FROM sk",
     "rekey_uniform": f"""SELECT event_id, {shown_time("event_time")} AS event_time,
         'cmp_' || (CAST(event_id AS BIGINT) % {SKEW_KEYS}) AS campaign_id FROM ev""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom.functions import labels
-from adloom.functions.parsing import DAY_FORMAT, TIME_FORMAT
+from adloom.functions.parsing import DAY_FORMAT
 from adloom.operators import clean, enrich, metrics, profile, quality, reports, sessions, skew, tags
 from adloom.schemas import CSV_SCHEMAS
 from adloom.session import scratch_dir
@@ -27,9 +27,11 @@ DAY = "2024-01-30"
 # Tag limits that fire on the sparse check data, where a user has few impressions.
 SCALED = tags.Thresholds(ctr_impressions=10, cvr_clicks=5, day_impressions=3)
 SKEW_KEYS = 20
-SALT_BUCKETS = 8
-SHUFFLE_PARTITIONS = 8
-HOT = "cmp_hot_0001"
+HOT = "hot"
+# Campaigns with this share of the events are salted.
+HOT_SHARE = 0.05
+# Partitions of the placement by MD5 bucket.
+PLACES = 16
 
 REGISTRY: dict[str, Query] = {}
 
@@ -154,6 +156,10 @@ class Layers:
     def sequence(self):
         return F.col("event_id").cast("bigint")
 
+    @cached_property
+    def hot(self) -> DataFrame:
+        return skew.hot_buckets(self.events, min_share=HOT_SHARE)
+
     @cached_property
     def skewed(self) -> DataFrame:
         return skew.rekey_skewed(self.events, self.sequence, SKEW_KEYS, hot_key=HOT)
@@ -171,22 +177,21 @@ def register(name: str, digits: int | None = None):
 
 
 def _through_csv(layers: Layers, raw: DataFrame, source: str) -> DataFrame:
-    """Write ``raw`` as header CSV in the raw layout of ``source``, then land it."""
+    """``raw`` as CSV lines in the raw layout of ``source``, read with its schema and given its types; no file is written."""
     layout = T.StructType.fromDDL(CSV_SCHEMAS[source])
     text = []
     for f in layout.fields:
         if f.name not in raw.columns:
             c = F.lit(None).cast(f.dataType)
         elif isinstance(raw.schema[f.name].dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(f.name, TIME_FORMAT)
+            c = F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(raw.schema[f.name].dataType, T.DateType):
             c = F.date_format(f.name, DAY_FORMAT)
         else:
             c = F.col(f.name).cast(f.dataType)
         text.append(c.alias(f.name))
-    path = scratch_dir(layers.spark, source)
-    raw.select(*text).write.option("header", True).csv(path)
-    return landing.land(layers.spark, source, path)
+    line = F.to_csv(F.struct(*text))
+    return landing.TYPERS[source](raw.select(F.from_csv(line, CSV_SCHEMAS[source]).alias("c")).select("c.*"))
 
 
 register("land_events")(lambda x: _through_csv(x, x.raw("events"), "ad_event_log"))
@@ -199,8 +204,9 @@ register("land_ad_slot")(lambda x: _through_csv(x, x.raw("slots"), "ad_slot"))
 
 @register("first_nonempty_cost")
 def _first_nonempty_cost(x: Layers) -> DataFrame:
-    not_built_yet = x.day_cost.where(F.col("dt") < "2000-01-01")
-    return tables.first_nonempty([not_built_yet, x.day_cost], DAY)
+    """The first source, cost of refunds, has no rows, which only a look at the data tells."""
+    refunds = clean.campaign_day_cost(clean.standard_cost(driver_tables.cost_log(x.tables, "refund")))
+    return tables.first_nonempty([refunds, x.day_cost], DAY)
 
 
 register("day_scan")(lambda x: tables.one_day(x.events, DAY))
@@ -277,7 +283,7 @@ register("advertiser_spine")(
     lambda x: metrics.key_spine("advertiser_id", x.traffic, x.converted, drop_null=True)
 )
 register("user_spine")(lambda x: metrics.key_spine("user_id", x.traffic, x.converted))
-register("event_union")(lambda x: metrics.stack(x.impressions, x.clicks))
+register("event_union")(lambda x: enrich.event_detail(x.events, x.ads, x.slots))
 register("campaign_advertiser_map")(lambda x: metrics.campaign_advertiser_map(x.traffic))
 register("advertiser_cost_split", 6)(lambda x: metrics.advertiser_cost_split(x.traffic, x.day_cost))
 register("campaign_daily", 6)(lambda x: x.campaign_daily)
@@ -330,15 +336,13 @@ def _tag_report(x: Layers) -> DataFrame:
 
 # ---------------------------------------------------------------- skew
 
-register("skew_simple")(lambda x: skew.impression_counts(x.skewed))
-register("skew_totals")(lambda x: skew.campaign_totals(x.skewed))
-register("skew_plain")(lambda x: skew.campaign_totals_by_rows(x.skewed, SHUFFLE_PARTITIONS))
-register("skew_salted")(
-    lambda x: skew.campaign_totals_salted(x.skewed, [HOT], SALT_BUCKETS, SHUFFLE_PARTITIONS)
-)
-register("skew_salted_combined")(lambda x: skew.campaign_totals_salted(x.skewed, [HOT], SALT_BUCKETS))
-register("partition_balance")(lambda x: skew.partition_balance(skew.shuffle_rows(x.skewed, SHUFFLE_PARTITIONS)))
-register("hot_keys")(lambda x: skew.hot_keys(x.skewed))
+register("skew_simple")(lambda x: skew.impression_counts(x.events))
+register("skew_totals")(lambda x: skew.campaign_totals(x.events))
+register("skew_plain")(lambda x: skew.campaign_totals_by_rows(x.events))
+register("skew_salted")(lambda x: skew.campaign_totals_salted(x.events, x.hot, distributed=True))
+register("skew_salted_combined")(lambda x: skew.campaign_totals_salted(x.events, x.hot))
+register("partition_balance")(lambda x: skew.partition_balance(skew.place_rows(x.events, PLACES)))
+register("hot_keys")(lambda x: skew.hot_keys(x.events, min_share=HOT_SHARE))
 register("rekey_skewed")(lambda x: x.skewed.select("event_id", "event_time", "campaign_id"))
 register("rekey_uniform")(
     lambda x: skew.rekey_uniform(x.events, x.sequence, SKEW_KEYS).select("event_id", "event_time", "campaign_id")

@@ -11,7 +11,8 @@ ad metadata    all of ``part``: one ad per part, 20 campaigns, advertiser = bran
                blank
 ad slots       all of ``nation``; events also name one slot that does not exist
 user profiles  all of ``customer``
-duplicates     a second copy, one minute earlier, same ``dt``, of every tenth event and conversion
+duplicates     a second copy, one minute earlier, same ``dt``, of every tenth event and conversion; of every thirtieth
+               a second copy of the same time with another ad and campaign
 ============== ======================================================================================================
 """
 
@@ -64,8 +65,11 @@ _KEYS = ["dt", "user_id", "concat('ad_', k) AS ad_id", f"concat('cmp_', k % {CAM
 
 def _with_copies(df: DataFrame) -> DataFrame:
     """Adds the duplicates by repeating rows in place, so the source is read once."""
-    aged = df.selectExpr("*", "explode(if(event_id % 10 = 0, array(0, 1), array(0))) AS age")
-    return aged.selectExpr("* EXCEPT (age, ts)", "ts - age * INTERVAL '1' MINUTE AS ts")
+    kinds = "concat(array(0), if(event_id % 10 = 0, array(1), array()), if(event_id % 30 = 7, array(2), array()))"
+    aged = df.selectExpr("*", f"explode({kinds}) AS kind")
+    return aged.selectExpr(
+        "* EXCEPT (kind, ts, k)", "if(kind = 1, ts - INTERVAL '1' MINUTE, ts) AS ts", "if(kind = 2, k + 1, k) AS k"
+    )
 
 
 def event_log(table: Tables) -> DataFrame:
@@ -75,12 +79,12 @@ def event_log(table: Tables) -> DataFrame:
         "CAST(event_id AS STRING) AS event_id",
         "ts AS event_time",
         *_KEYS,
-        "concat('crt_', k) AS creative_id",
+        "concat('creative_', k) AS creative_id",
         "concat('site_', event_id % 10) AS site_id",
         "if(event_type = 'click', 'click', 'impression') AS event_type",
         f"{device} AS device",
         "CAST(event_id % 26 AS STRING) AS ad_slot_id",
-        f"{_choice('event_id', 'home', 'detail', 'search', 'live')} AS page_id",
+        "concat('page_', event_type) AS page_id",
         "if(event_type = 'error', 0, 1) AS is_valid",
         "concat('10.0.', event_id % 256, '.', k) AS ip",
         f"concat({device}, ' browser') AS user_agent",
@@ -97,8 +101,8 @@ def conversion_log(table: Tables) -> DataFrame:
     )
 
 
-def cost_log(table: Tables) -> DataFrame:
-    return activity(table, "view").selectExpr("dt", _KEYS[3], "value AS cost")
+def cost_log(table: Tables, event_type: str = "view") -> DataFrame:
+    return activity(table, event_type).selectExpr("dt", _KEYS[3], "value AS cost")
 
 
 def ad_meta(table: Tables) -> DataFrame:
@@ -119,7 +123,7 @@ def ad_slot(table: Tables) -> DataFrame:
         "CAST(n_nationkey AS STRING) AS ad_slot_id",
         "n_name AS slot_type",
         "CAST(n_regionkey AS STRING) AS app",
-        f"{_choice('n_nationkey', 'top', 'middle', 'bottom')} AS position",
+        "lower(substring(n_name, 1, 3)) AS position",
         "CAST(80 + n_nationkey AS STRING) AS price_factor",
     )
 
@@ -136,13 +140,9 @@ def user_profile(table: Tables) -> DataFrame:
 
 
 def prices(table: Tables) -> DataFrame:
-    """Campaign prices from the nations outside region 0; campaigns without a nation fall back to the default price."""
-    return (
-        table("nation")
-        .where("n_regionkey <> 0")
-        .selectExpr(
-            "concat('cmp_', n_nationkey) AS campaign_id",
-            "CAST(10 + n_nationkey AS DOUBLE) AS cpm",
-            "CAST(0.5 + n_nationkey / 16 AS DOUBLE) AS cpc",
-        )
+    """Campaign prices from all nations; those of region 0 have none and fall back to the default price."""
+    return table("nation").selectExpr(
+        "concat('cmp_', n_nationkey) AS campaign_id",
+        "if(n_regionkey <> 0, CAST(10 + n_nationkey AS DOUBLE), NULL) AS cpm",
+        "if(n_regionkey <> 0, CAST(0.5 + n_nationkey / 16 AS DOUBLE), NULL) AS cpc",
     )
