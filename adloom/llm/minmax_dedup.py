@@ -4,10 +4,11 @@ Of every hash function both the minimum and the maximum over a document's shingl
 values. Bands of six values are hashed to buckets; two sets of similarity 0.8 miss each other in all 48 bands
 with probability 5e-7.
 
-Documents with equal sets form one class, and only classes are compared. A bucket does not emit all its pairs: its members
-are compared with one leader first. Where a bucket then still holds several components, more leaders follow, four times as
-many each round, and only pairs across components that were not compared before. So every pair of a bucket is either
-inside one component or has been compared, and a large group of near copies costs about one comparison per member.
+Documents with equal sets form one class, and only classes are compared. A bucket does not emit all its pairs: each class is
+compared with one leader of its buckets first. Where a bucket then still holds several components, its leaders follow, four
+times as many each round, and only pairs across components that were not compared before. So every pair of a bucket is
+either inside one component or has been compared, and a large group of near copies costs about one comparison per
+member.
 
 Defined cases: a null or blank text has no set and is linked with nothing; rows that repeat an id share its result; a row
 without id can link others but has a null component unless a row with an id is reachable; other columns are ignored.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adloom.llm import grams
@@ -73,8 +74,11 @@ def document_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("k1", "k2", utf8()).mapInArrow(work, SETS)
 
 
-def _similar_sizes(a: str, b: str, percent: int):
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+_SIZES = "100 * least({0}, {1}) >= {2} * greatest({0}, {1})"
+
+
+def _similar_sizes(a: str, b: str, percent: int) -> Column:
+    return F.expr(_SIZES.format(a, b, percent))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -99,6 +103,30 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.select("u", "v", utf8("first"), utf8("second")).mapInArrow(work, "u long, v long")
 
 
+def _mixed(members: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, each with its component and its bands. Stored."""
+    placed = members.join(parts.withColumnRenamed("node", "class"), "class", "left")
+    placed = placed.select("key", "band", "class", "n", F.coalesce("component", "class").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    return stored(placed.join(mixed, "key").join(classes.select("class", "bands"), "class"), "mixed")
+
+
+def _across(opened: DataFrame, tested: DataFrame, before: int, leaders: int, percent: int) -> DataFrame:
+    """Pairs of members of different components with the leaders number ``before + 1`` to ``leaders``, not yet tested. Stored.
+
+    A pair that meets in several buckets is taken from the first one only.
+    """
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("class"), "class"))
+    heads = opened.withColumn("rank", rank).where(F.col("rank") <= leaders).where(F.col("rank") > before)
+    heads = heads.select("key", F.col("class").alias("v"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("bands").alias("theirs"))
+    earlier = "exists(zip_with(slice(bands, 1, band), slice(theirs, 1, band), (x, y) -> x = y), same -> same)"
+    apart = F.expr(f"part <> other AND {_SIZES.format('n', 'm', percent)} AND NOT {earlier}")
+    met = opened.alias("o").join(heads.alias("h"), (F.col("o.key") == F.col("h.key")) & apart)
+    pairs = met.select(F.least("class", "v").alias("u"), F.greatest("class", "v").alias("v")).distinct()
+    done = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return stored(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -113,41 +141,32 @@ def near_duplicates(
         F.min("id").alias("id"), F.min(F.struct("k1", "k2")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     classes = stored(grouped, "classes")
-    banded = classes.select("class", "n", F.explode("bands").alias("key"))
+    banded = classes.select("class", "n", F.posexplode("bands").alias("band", "key"))
     leader = F.min(F.struct(F.xxhash64("class").alias("h"), "class", "n")).alias("leader")
     buckets = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), leader).where("c > 1"), "buckets")
     members = stored(banded.join(buckets, "key"), "members")
     wanted = members.select("class").distinct().join(classes.select("class", "row.*"), "class")
     texts = stored(rows.drop("id").join(wanted, ["k1", "k2"]).select("class", "text").dropDuplicates(["class"]), "texts")
 
-    first = members.where("class <> leader.class").where(_similar_sizes("n", "leader.n", percent))
-    tested = stored(first.select(F.col("class").alias("u"), F.col("leader.class").alias("v")).distinct(), "pairs")
+    # One comparison per class: with the leader of all its buckets that comes first.
+    near = members.where("class <> leader.class").where(_similar_sizes("n", "leader.n", percent))
+    best = near.groupBy("class").agg(F.min("leader").alias("leader"))
+    tested = stored(best.select(F.col("class").alias("u"), F.col("leader.class").alias("v")), "pairs")
     links = stored(confirm(tested, texts, size, percent), "links")
-    parts, leaders = stored(components(links), "components"), 1
+    parts, before, leaders = stored(components(links), "components"), 0, 1
     while True:
-        leaders *= 4
-        placed = members.where("c > 2").join(parts.withColumnRenamed("node", "class"), "class", "left")
-        placed = placed.select("key", "class", "n", F.coalesce("component", "class").alias("part"))
-        mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("c"))
-        mixed = mixed.where("lo <> hi").where(F.col("c") > leaders // 4).select("key")
-        opened = stored(placed.join(mixed, "key"), "mixed")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("class"), "class"))
-        heads = opened.withColumn("rank", rank).where(F.col("rank") <= leaders)
-        heads = heads.select("key", F.col("class").alias("v"), F.col("n").alias("m"), F.col("part").alias("other"))
-        across = opened.join(heads, "key").where("part <> other").where(_similar_sizes("n", "m", percent))
-        across = across.select(F.col("class").alias("u"), "v").distinct()
-        done = tested.union(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        fresh = across.join(done, ["u", "v"], "left_anti").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        fresh = stored(fresh.distinct(), "pairs")
+        opened = _mixed(members.where(F.col("c") > before), parts, classes)
+        fresh = _across(opened, tested, before, leaders, percent)
         if fresh.isEmpty():
             if opened.isEmpty():
                 break
-            continue
-        tested = tested.union(fresh)
-        more = stored(confirm(fresh, texts, size, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            parts = stored(components(links), "components")
+        else:
+            tested = tested.union(fresh)
+            more = stored(confirm(fresh, texts, size, percent), "links")
+            if not more.isEmpty():
+                links = links.union(more)
+                parts = stored(components(links), "components")
+        before, leaders = leaders, leaders * 4
 
     joined = classes.select("class", "id").join(parts.withColumnRenamed("node", "class"), "class", "left")
     joined = joined.withColumn("component", F.coalesce("component", "class"))
