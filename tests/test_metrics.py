@@ -1,6 +1,7 @@
 import datetime as d
 
 import pytest
+from pyspark.sql import functions as F
 
 from adloom.operators import metrics, profile, reports
 
@@ -164,3 +165,28 @@ def test_product_distribution(spark):
     assert [r.product_id for r in got] == [f"p{i:03d}" for i in range(10)]
     assert got[0].total_nonempty == 162 and got[0].distinct_products == 150
     assert got[0].top_share == round(20 / 162, 5) and got[0].wide_share == round(112 / 162, 5)
+
+
+def test_narrow_and_wide_rows_break_ties_alike(spark, rows):
+    """Copies of one event with the same time but another session, ad and campaign."""
+    from adloom.operators import clean, enrich
+
+    raw = spark.createDataFrame(
+        [("e1", T0, DT, "u", "s9", "a1", "c1", "click"), ("e1", T0, DT, "u", "s1", "a2", "c2", "click"),
+         ("e2", T0, DT, "u", "s1", "a2", "c1", "impression"), ("e2", T0, DT, "u", "s2", "a1", "c2", "impression")],
+        "event_id string, event_time timestamp, dt string, user_id string, session_id string, ad_id string,"
+        " campaign_id string, event_type string",
+    )
+    rest = {c: F.lit(None).cast("string") for c in ("creative_id", "site_id", "device")}
+    events = clean.standard_events(raw.withColumns(rest))
+    ads = spark.createDataFrame(
+        [("a1", "c1", "A1"), ("a2", "c2", "A2"), ("a2", "c1", "A3"), ("a1", "c2", "A4")],
+        "ad_id string, campaign_id string, advertiser_id string",
+    ).withColumns({c: F.lit("x") for c in ("ad_type", "landing_type", "product_id")})
+    slots = spark.createDataFrame([], "ad_slot_id string, slot_type string, app string, position string, price_factor double")
+    lean = enrich.lean_traffic(events, ads)
+    wide = metrics.traffic(enrich.impression_detail(events, ads, slots), enrich.click_detail(events, ads, slots))
+    none = spark.createDataFrame([], "dt string, conv_time timestamp, user_id string, campaign_id string, advertiser_id string, gmv_amount double")
+    cost = spark.createDataFrame([(DT, "c1", 1.0)], "dt string, campaign_id string, cost double")
+    for daily in (metrics.campaign_daily, metrics.advertiser_daily):
+        assert rows(daily(lean, none, cost)) == rows(daily(wide, none, cost))

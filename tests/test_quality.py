@@ -20,7 +20,7 @@ def test_checks_find_planted_violations(spark):
     report = quality.check_table(df, checks)
     assert found(report) == {
         "not_empty": 0, "event_time is a timestamp": 1, "id not null": 1, "n >= 0": 1, "ctr in [0,1]": 2,
-        "tagged <= total": 1, "unique (id)": 1,
+        "tagged <= total": 1, "unique (id)": 1, "absent is a column": 1,
     }
     with pytest.raises(quality.QualityGateError) as error:
         quality.enforce(report)
@@ -63,3 +63,8 @@ def test_logic(spark):
     df = spark.createDataFrame([(1, 2, 3, -1.0), (5, 2, 1, 0.0)], "impressions int, clicks int, conversions int, cost double")
     got = {r.rule: r.bad_rows for r in quality.logic_violations(df).collect()}
     assert got == {"clicks > impressions": 1, "conversions > clicks": 1, "cost < 0": 1}
+
+
+def test_missing_tables_are_an_error(spark):
+    with pytest.raises(ValueError, match="ad_cost"):
+        quality.dq_report({"ods.ad_event_log": spark.createDataFrame([], "dt string")})
