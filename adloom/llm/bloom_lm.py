@@ -32,6 +32,7 @@ WEIGHTS = [0.0, 0.05, 0.15, 0.3, 0.45, 0.6]
 END = 0x5EED
 SLICES, BLOCK_BITS, PROBES = 4096, 512, 6
 _FLUSH = 1 << 21
+_CHUNK = 1 << 18
 _LEVEL = 0x9FB21C651E98DF25
 
 
@@ -152,42 +153,60 @@ SCORED = "doc_id long, fold long, n_tokens long, n_known long, base double, mode
 
 
 def _score(docs: DataFrame, words, counts, table, cut: int, least: int, total: float) -> DataFrame:
-    weights = np.array(WEIGHTS)
+    names = [f.split()[0] for f in SCORED.split(", ")]
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((words, counts, table))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, known_counts, pairs = shared.value
-        rare_type = pa.list_(pa.struct([("t", pa.int64()), ("b", pa.list_(pa.float64()))]))
+        table = shared.value
         for batch in batches:
-            rows = []
-            for text in batch.column(2):
-                tokens = _tokens(text.as_py())
-                at = np.minimum(np.searchsorted(known_words, tokens), max(known_words.size - 1, 0))
-                held = known_words[at] == tokens if known_words.size else np.zeros(tokens.size, bool)
-                c = np.where(held, known_counts[at] if known_counts.size else 0, 0)
-                before = np.concatenate((_end_count(known_words, known_counts), c[:-1]))
-                pair = np.minimum(lookup(pairs, _pairs(tokens), least), before)
-                share = pair / np.maximum(before, 1)
-                usable = before > 0
-                sure = held | (cut <= 1)
-                word = (c + 1) / total
-                w = np.where(usable[:, None], weights, 0.0)
-                mixed = np.where(sure[:, None], w * share[:, None] + (1 - w) * word[:, None], 1.0)
-                rare = [
-                    {"t": int(t), "b": [float(s), float(u)]}
-                    for t, s, u in zip(tokens[~sure].view(np.int64), share[~sure], usable[~sure], strict=True)
-                ]
-                rows.append((tokens.size, int((c > 0).sum()), float(np.log10(word[sure]).sum()), np.log10(mixed).sum(0), rare))
-            n, known, base, model, rare = zip(*rows, strict=True) if rows else ((),) * 5
-            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64())]
-            columns += [pa.array(list(model), pa.list_(pa.float64())), pa.array(list(rare), rare_type)]
-            names = [f.split()[0] for f in SCORED.split(", ")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
+            at, waiting, size = 0, [], 0
+            for i, text in enumerate(batch.column(2)):
+                waiting.append(_tokens(text.as_py()))
+                size += waiting[-1].size
+                if size >= _CHUNK or i + 1 == batch.num_rows:
+                    columns = _score_chunk(waiting, *table, cut, least, total)
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(waiting)).columns[:2], *columns], names)
+                    at, waiting, size = i + 1, [], 0
 
     return docs.select("doc_id", "fold", utf8()).mapInArrow(work, SCORED)
 
 
+def _score_chunk(docs: list[np.ndarray], words, counts, table, cut: int, least: int, total: float) -> list[pa.Array]:
+    """Columns of ``SCORED`` after the first two; the documents' tokens are worked on end to end.
+
+    Each document ends with the end token, which is just what stands before the first token of the next one.
+    """
+    tokens, size = np.concatenate(docs), np.array([d.size for d in docs])
+    begin = np.cumsum(size) - size
+    doc = np.repeat(np.arange(size.size), size)
+    if words.size:
+        at = np.minimum(np.searchsorted(words, tokens), words.size - 1)
+        c = np.where(words[at] == tokens, counts[at], 0)
+    else:
+        c = np.zeros(tokens.size, np.int64)
+    before = np.concatenate((_end_count(words, counts), c[:-1]))
+    share = np.minimum(lookup(table, _pairs(tokens), least), before) / np.maximum(before, 1)
+    usable, sure = before > 0, (c > 0) | (cut <= 1)
+    word = np.log10((c + 1) / total)
+    base = np.add.reduceat(np.where(sure, word, 0.0), begin)
+    backed = np.add.reduceat((sure & usable).astype(np.int64), begin)
+    paired = np.flatnonzero(sure & (share > 0))
+    plain, bonus = 10 ** word[paired], share[paired]
+    model = np.empty((size.size, len(WEIGHTS)))
+    for i, w in enumerate(WEIGHTS):
+        gain = np.log10(w * bonus + (1 - w) * plain) - word[paired] - np.log10(1 - w)
+        model[:, i] = base + backed * np.log10(1 - w) + np.bincount(doc[paired], gain, size.size)
+    rare = np.flatnonzero(~sure)
+    values = np.stack((share[rare], usable[rare].astype(np.float64)), 1).ravel()
+    pair = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * rare.size + 1, 2, dtype=np.int32)), pa.array(values))
+    items = pa.StructArray.from_arrays([pa.array(tokens[rare].view(np.int64)), pair], ["t", "b"])
+    offsets = np.searchsorted(rare, np.append(begin, tokens.size)).astype(np.int32)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, model.size + 1, len(WEIGHTS), dtype=np.int32)), pa.array(model.ravel()))
+    known = np.add.reduceat((c > 0).astype(np.int64), begin)
+    return [pa.array(size), pa.array(known), pa.array(base), flat, pa.ListArray.from_arrays(pa.array(offsets), items)]
+
+
 def _end_count(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     at = np.searchsorted(words, np.uint64(END))
     return counts[at : at + 1] if at < words.size and words[at] == np.uint64(END) else np.zeros(1, np.int64)
