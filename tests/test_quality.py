@@ -24,7 +24,7 @@ def test_checks_find_planted_violations(spark):
     }
     with pytest.raises(quality.QualityGateError) as error:
         quality.enforce(report)
-    assert str(error.value).count("\n") == 6
+    assert str(error.value).count("\n") == 7
 
 
 def test_empty_table(spark):
