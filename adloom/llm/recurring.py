@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from adloom.llm import grams
 from adloom.llm.shared import stored, utf8
 
-# Runs of one anchor that stay together; a more frequent anchor is split by segment.
-SPLIT_AT = 1000
+# Runs of one anchor that stay together, about the size of a shard; a more frequent anchor is split by segment.
+SPLIT_AT = 4000
 ANCHORS = "k1 long, k2 long, a long, span long"
 SEGMENTS = (
     "a long, salt int, open boolean, h long, n int, body binary, d1 long, e1 long, p1 long, d2 long, e2 long, p2 long"
