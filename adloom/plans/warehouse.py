@@ -35,10 +35,11 @@ class Warehouse:
         df = tables.read_table(self.spark, name, self.path(name))
         return df if days is None else df.where(F.col("dt").between(*days))
 
-    def store(self, name: str, df: DataFrame) -> None:
+    def store(self, name: str, df: DataFrame, days: Days = None) -> None:
+        """Store ``df``; a day of the range ``days`` that it has no rows of becomes empty."""
         table = TABLES[name]
         if table.partitioned:
-            sinks.store_days(df, table, self.path(name))
+            sinks.store_days(df, table, self.path(name), tables.days_between(*days) if days else ())
         else:
             sinks.write_whole(df, table, self.path(name))
 
@@ -50,11 +51,13 @@ class Warehouse:
                 sinks.register_partitions(self.spark, name)
 
 
-def land_all(warehouse: Warehouse, input_dir: str) -> None:
-    """Raw CSVs ``ods_<source>.csv`` below ``input_dir`` to typed Parquet; facts by day."""
+def land_all(warehouse: Warehouse, input_dir: str, days: Days = None) -> None:
+    """Raw CSVs ``ods_<source>.csv`` below ``input_dir`` to typed Parquet; facts by day, only those of the range."""
     for source in (*FACTS, *DIMENSIONS):
         landed = landing.land(warehouse.spark, source, f"{input_dir}/ods_{source}.csv")
-        warehouse.store(f"ods.{source}", landed)
+        if days and source in FACTS:
+            landed = landed.where(F.col("dt").between(*days))
+        warehouse.store(f"ods.{source}", landed, days)
 
 
 def _listed(df: DataFrame) -> list[str]:
@@ -76,10 +79,10 @@ def build_details(warehouse: Warehouse, days: Days = None) -> None:
     for name, dimension in (("dwd.dim_user", users), ("dwd.dim_ad", ads), ("dwd.dim_ad_slot", slots)):
         w.store(name, clean.daily_snapshot(dimension, listed))
 
-    w.store("dwd.ad_impression_detail", enrich.impression_detail(events, ads, slots))
-    w.store("dwd.ad_click_detail", enrich.click_detail(events, ads, slots))
-    w.store("dwd.ad_conversion_detail", enrich.conversion_detail(conversions, ads))
-    w.store("dwd.campaign_day_cost", clean.campaign_day_cost(cost))
+    w.store("dwd.ad_impression_detail", enrich.impression_detail(events, ads, slots), days)
+    w.store("dwd.ad_click_detail", enrich.click_detail(events, ads, slots), days)
+    w.store("dwd.ad_conversion_detail", enrich.conversion_detail(conversions, ads), days)
+    w.store("dwd.campaign_day_cost", clean.campaign_day_cost(cost), days)
 
 
 def build_daily(warehouse: Warehouse, days: Days = None, thresholds: tags.Thresholds = tags.Thresholds()) -> None:
@@ -88,13 +91,13 @@ def build_daily(warehouse: Warehouse, days: Days = None, thresholds: tags.Thresh
     seen = metrics.traffic(w.read("dwd.ad_impression_detail", days), w.read("dwd.ad_click_detail", days))
     conversions = w.read("dwd.ad_conversion_detail", days)
     cost = w.read("dwd.campaign_day_cost", days)
-    w.store("dws.campaign_daily", metrics.campaign_daily(seen, conversions, cost))
-    w.store("dws.advertiser_daily", metrics.advertiser_daily(seen, conversions, cost))
-    w.store("dws.user_daily", metrics.user_daily(seen, conversions))
+    w.store("dws.campaign_daily", metrics.campaign_daily(seen, conversions, cost), days)
+    w.store("dws.advertiser_daily", metrics.advertiser_daily(seen, conversions, cost), days)
+    w.store("dws.user_daily", metrics.user_daily(seen, conversions), days)
 
     w.store("dws.tag_dict", tags.tag_dictionary(w.spark))
-    w.store("dws.user_tag_snapshot", _snapshot(w, days, thresholds))
-    w.store("dws.tag_quality_daily", tags.tag_quality_daily(w.read("dws.user_tag_snapshot", days)))
+    w.store("dws.user_tag_snapshot", _snapshot(w, days, thresholds), days)
+    w.store("dws.tag_quality_daily", tags.tag_quality_daily(w.read("dws.user_tag_snapshot", days)), days)
 
 
 def _snapshot(w: Warehouse, days: Days, thresholds: tags.Thresholds) -> DataFrame:
@@ -110,15 +113,15 @@ def _snapshot(w: Warehouse, days: Days, thresholds: tags.Thresholds) -> DataFram
 def build_reports(warehouse: Warehouse, days: Days = None) -> None:
     w = warehouse
     campaigns = w.read("dws.campaign_daily", days)
-    w.store("ads.kpi_overview_daily", reports.kpi_overview(campaigns, w.read("dws.user_daily", days)))
-    w.store("ads.campaign_ranking_daily", reports.campaign_ranking(campaigns))
+    w.store("ads.kpi_overview_daily", reports.kpi_overview(campaigns, w.read("dws.user_daily", days)), days)
+    w.store("ads.campaign_ranking_daily", reports.campaign_ranking(campaigns), days)
     if days is None:
         dashboard = reports.advertiser_dashboard(w.read("dws.advertiser_daily"))
     else:
         history = w.read("dws.advertiser_daily", (tables.day_window(days[0], 2)[0], days[1]))
         dashboard = reports.advertiser_dashboard(history).where(F.col("dt").between(*days))
-    w.store("ads.advertiser_dashboard_daily", dashboard)
-    w.store("ads.tag_effectiveness_daily", reports.tag_effectiveness(w.read("dws.tag_quality_daily", days)))
+    w.store("ads.advertiser_dashboard_daily", dashboard, days)
+    w.store("ads.tag_effectiveness_daily", reports.tag_effectiveness(w.read("dws.tag_quality_daily", days)), days)
 
 
 def check(warehouse: Warehouse, days: Days = None) -> DataFrame:
@@ -129,7 +132,7 @@ def check(warehouse: Warehouse, days: Days = None) -> DataFrame:
 
 def build_all(warehouse: Warehouse, input_dir: str, days: Days = None, enforce: bool = True) -> DataFrame:
     """All steps in order. Returns the quality report; with ``enforce`` a violation raises after everything is stored."""
-    land_all(warehouse, input_dir)
+    land_all(warehouse, input_dir, days)
     build_details(warehouse, days)
     build_daily(warehouse, days)
     build_reports(warehouse, days)

@@ -7,6 +7,7 @@ through that many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from contextlib import contextmanager
 from datetime import date
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.schemas import Table
+from adloom.sources.tables import path_exists
 
 
 def _quoted(text: str) -> str:
@@ -89,14 +91,42 @@ def _replacing_days_only(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def store_days(df: DataFrame, table: Table, path: str) -> None:
-    """Replace the days present in ``df`` of table ``table``: by catalog name where declared, else by path."""
-    rows = conform(df, table)
-    if df.sparkSession.catalog.tableExists(table.full_name):
-        with _replacing_days_only(df.sparkSession):
+def store_days(df: DataFrame, table: Table, path: str, days: Sequence[str] = ()) -> None:
+    """Replace the days present in ``df`` of table ``table``: by catalog name where declared, else by path.
+
+    ``days`` are those the result is complete for: the ones it has no rows of are emptied. They are the days whose files
+    are the same before and after the write, which the file listing tells without computing anything twice.
+    """
+    spark, rows = df.sparkSession, conform(df, table)
+    before = _day_files(spark, path, days) if days else {}
+    if spark.catalog.tableExists(table.full_name):
+        with _replacing_days_only(spark):
             sized(rows, "dt").write.mode("overwrite").insertInto(table.full_name)
     else:
         write_days(rows, path)
+    if before:
+        after = _day_files(spark, path, days)
+        empty_days(spark, table, path, [day for day, file in before.items() if after.get(day) == file])
+
+
+def _day_files(spark: SparkSession, path: str, days: Sequence[str]) -> dict[str, str]:
+    """One data file of each of the given days that has rows; no data column is read."""
+    if not path_exists(spark, path):
+        return {}
+    files = spark.read.schema("dt string").parquet(path).where(F.col("dt").isin(*days))
+    return {r.dt: r.file for r in files.groupBy("dt").agg(F.max("_metadata.file_path").alias("file")).collect()}
+
+
+def empty_days(spark: SparkSession, table: Table, path: str, days: Sequence[str]) -> None:
+    """Leave the given days without rows, where they exist."""
+    none = spark.createDataFrame([], table.schema)
+    for day in days:
+        if not path_exists(spark, f"{path}/dt={day}"):
+            continue
+        if spark.catalog.tableExists(table.full_name):
+            insert_day(none.withColumn("dt", F.lit(day)), table, day)
+        else:
+            none.write.mode("overwrite").parquet(f"{path}/dt={day}")
 
 
 def write_result(df: DataFrame, path: str) -> None:

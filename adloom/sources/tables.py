@@ -50,6 +50,12 @@ def day_window(dt: str, days: int = 7) -> tuple[str, str]:
     return (last - timedelta(days=days - 1)).isoformat(), last.isoformat()
 
 
+def days_between(first: str, last: str) -> list[str]:
+    """All calendar days from ``first`` to ``last``."""
+    start = date.fromisoformat(first)
+    return [(start + timedelta(days=i)).isoformat() for i in range((date.fromisoformat(last) - start).days + 1)]
+
+
 def last_days(df: DataFrame, dt: str, days: int = 7) -> DataFrame:
     """Rows of the ``days`` days ending at ``dt``; a range on the partition column, so other days are never listed."""
     first, last = day_window(dt, days)

@@ -215,3 +215,14 @@ def test_files_are_sized_not_fixed(spark, tmp_path):
     df = spark.range(1000).select(F.col("id"), F.lit("2024-01-01").alias("dt"))
     sinks.write_days(df, str(tmp_path / "t"))
     assert len(list((tmp_path / "t" / "dt=2024-01-01").glob("*.parquet"))) == 1
+
+
+def test_rebuilding_a_day_without_rows_empties_it(spark, rows, tmp_path):
+    table, path = TABLES["dwd.campaign_day_cost"], str(tmp_path / "cost")
+    both = spark.createDataFrame([("2024-03-01", "c", 1.0), ("2024-03-02", "c", 2.0)], "dt string, campaign_id string, cost double")
+    days = ["2024-03-01", "2024-03-02", "2024-03-03"]
+    sinks.store_days(both, table, path, days)
+    assert len(rows(spark.read.parquet(path), "campaign_id", "cost")) == 2
+    sinks.store_days(both.where("dt = '2024-03-03'"), table, path, days[1:])
+    assert rows(spark.read.parquet(path), "dt", "cost")[0][1] == 1.0
+    assert spark.read.parquet(path).count() == 1
