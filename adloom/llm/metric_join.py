@@ -5,7 +5,7 @@ the nearest pivot. A vector at distance ``d`` from its own pivot and ``e`` from
 that other cell only if ``e - d <= 2r`` (triangle inequality); where both pivots' distance is known the plane between them
 gives ``(e*e - d*d) / (2 * between) <= r`` as well. Such vectors are copied to the other cell, and each cell joins its own
 vectors with all it holds, independently. A cell with many vectors is split into a grid of blocks, so no task holds more
-than two blocks. Blocks return sums and one edge per vector, never all pairs.
+than two blocks. Blocks return sums and one edge per vector asking or held, never all pairs.
 
 Equal vectors of a label are compared once and count with their number. Pivots are a bounded sample (``max_pivots``); the
 result does not depend on it.
@@ -64,8 +64,8 @@ def _place(distinct: DataFrame, pivots: dict[str, np.ndarray], radius: float) ->
     return distinct.select("node", "space", "w", "vec").mapInArrow(work, PLACED)
 
 
-def _local_roots(linked: np.ndarray, query: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """For each query the smallest node it is connected with inside the block."""
+def _local_roots(linked: np.ndarray, query: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query and each target the smallest node it is connected with inside the block."""
     mine, theirs = query.copy(), target.copy()
     rows, columns = np.nonzero(linked)
     while rows.size:
@@ -74,7 +74,7 @@ def _local_roots(linked: np.ndarray, query: np.ndarray, target: np.ndarray) -> n
         np.minimum.at(theirs, columns, mine[rows])
         if (mine == before[0]).all() and (theirs == before[1]).all():
             break
-    return mine
+    return mine, theirs
 
 
 def _join_block(min_cosine: float):
@@ -86,8 +86,12 @@ def _join_block(min_cosine: float):
         linked = unit[query] @ unit[target].T >= min_cosine
         linked &= node[query][:, None] != node[target][None, :]
         links = linked @ weight[target]
-        roots = _local_roots(linked, node[query], node[target])
-        return pa.table({"node": node[query], "links": pa.array(links, pa.int64()), "root": roots})
+        mine, theirs = _local_roots(linked, node[query], node[target])
+        # A target may be asked about in other cells only: without its edge the two ends of a link can fall apart.
+        held = np.flatnonzero(theirs != node[target])
+        nodes, roots = np.concatenate((node[query], node[target][held])), np.concatenate((mine, theirs[held]))
+        counts = np.concatenate((links, np.zeros(held.size, links.dtype)))
+        return pa.table({"node": nodes, "links": pa.array(counts, pa.int64()), "root": roots})
 
     return work
 
@@ -143,7 +147,7 @@ def range_links(
         "space", "cell", F.explode(F.expr("sequence(0L, asking - 1L)")).alias("i"), F.pmod(spot, "held").alias("j"), F.lit(False).alias("ask"), "node", "w", "vec"
     )
     joined = asks.union(holds).groupBy("space", "cell", "i", "j").applyInArrow(_join_block(min_cosine), BLOCK)
-    found = stored(joined.where("links > 0"), "links")
+    found = stored(joined.where("links > 0 OR root <> node"), "links")
     parts = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = distinct.select("node", "w", "id").join(linked, "node", "left").join(parts, "node", "left")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import brute
@@ -26,5 +27,19 @@ def test_links(spark, sizes):
     assert sorted(tuple(r) for r in found.collect()) == brute.vectors([r[:3] for r in rows])
 
 
+def test_chains_across_cells(spark):
+    """Chains whose ends are not linked, every vector in a cell of its own, the hashes in every order."""
+    step = math.radians(20)
+    rows = [(10 * label + i, [math.cos(i * step), math.sin(i * step)], label) for label in range(60) for i in range(3 + label % 3)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    hashes = vectors.where("vec_id % 10 < 3").selectExpr("label", "vec_id", "xxhash64(string(label), embedding) AS h").collect()
+    by_label: dict = {}
+    for r in sorted(hashes, key=lambda r: r.h):
+        by_label.setdefault(r.label, []).append(r.vec_id % 10)
+    assert len({tuple(order) for order in by_label.values()}) == 6
+    found = metric_join.range_links(vectors, cell=1, block=1)
+    assert sorted(tuple(r) for r in found.collect()) == brute.vectors(rows)
+
+
 def test_empty(spark):
     assert metric_join.range_links(spark.createDataFrame([], SCHEMA)).count() == 0
