@@ -3,8 +3,8 @@
 Windows of 35 words that may recur are gathered by anchor (see ``recurring``). A shard counts where each of its windows
 starts, joins consecutive recurring windows to passages, confirms them, compiles the distinct passages into an automaton
 and streams its segments through it, which gives every place a passage covers. Automata hold one shard's passages, so their
-size is bounded whatever the corpus. An anchor too frequent for one shard is spread over several, and what each has found
-once only is counted again over all of them.
+size is bounded whatever the corpus. An anchor too frequent for one shard is spread over several; each tells the distinct
+windows it saw, and what one has found once only recurs if any other has found it too.
 
 Defined cases: a null text has no words; fewer words than the window lose nothing; rows equal in id and text are one
 document listed twice; a null id is an id of its own; other columns are not looked at.
@@ -92,11 +92,13 @@ def _resolve(group: recurring.Shard, window: int) -> Iterator[pa.RecordBatch]:
     cover = recurring.covers(at[by], lo[by], hi[by], len(group))
     n, nulls = len(group), lambda size: pa.nulls(size, pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(group.a), pa.array(group.h), *[nulls(n)] * 3, cover, *[nulls(n)] * 2], NAMES)
-    single = np.flatnonzero(~hit & group.open[seg])
-    if single.size:
-        s = seg[single]
-        place = [pa.array(low[single, i]) for i in range(3)]
-        w = [pa.array(hashes[single].view(np.int64)), pa.array(offset[single])]
+    # Of an open anchor every distinct window is told: one seen once with where it stands in its segment, others without.
+    told = group.open[seg]
+    told = np.concatenate((np.flatnonzero(~hit & told), np.unique(first[hit & told])))
+    if told.size:
+        s = seg[told]
+        place = [pa.array(low[told, i]) for i in range(3)]
+        w = [pa.array(hashes[told].view(np.int64)), pa.array(offset[told], mask=hit[told])]
         yield pa.RecordBatch.from_arrays([pa.array(group.a[s]), pa.array(group.h[s]), *place, pa.nulls(s.size, pa.list_(pa.int32())), *w], NAMES)
 
 
@@ -121,11 +123,11 @@ def remove_recurring(
             yield from _resolve(group, window)
 
     found = stored(recurring.by_shard(suspect, grams.word_hashes, _cut, window, split_at).mapInArrow(settle, SHARD), "shards")
-    # Windows of a split anchor that one part saw once: they recur if another part saw them elsewhere.
-    single = found.where("w IS NOT NULL")
+    # Windows of a split anchor that one part saw once: they recur if another part saw them elsewhere, once or more often.
+    told = found.where("w IS NOT NULL")
     place = F.struct("k1", "k2", "p")
-    seen = single.groupBy("a", "w").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
-    hits = single.join(seen.select("a", "w"), ["a", "w"])
+    seen = told.groupBy("a", "w").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max(F.isnull("at")).alias("again"))
+    hits = told.where("at IS NOT NULL").join(seen.where("again OR x <> y").select("a", "w"), ["a", "w"])
     split = hits.select("a", "h", F.array(F.col("at").cast("int"), (F.col("at") + window).cast("int")).alias("cover"))
     covers = found.where("w IS NULL").select("a", "h", "cover").union(split).where(F.size("cover") > 0)
     runs = recurring.occurrences(suspect, grams.word_hashes, _cut, window, False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +33,27 @@ def test_phrases(docs, texts, same, split_at):
     same(found.select("id", "n_words", total(), F.sha2("kept", 256)).collect(), brute.phrases(texts))
 
 
+def test_phrases_split(spark, same):
+    """Three documents share a passage in different surroundings; the anchor has two parts, and they stand 2:1 in most."""
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    rows = []
+    for i in range(40):
+        shared = [word() for _ in range(36)]
+        rows += [(3 * i + k, " ".join([*(word() for _ in range(20)), *shared, *(word() for _ in range(20))])) for k in range(3)]
+    # Parts in different tasks, as those of a frequent anchor are.
+    apart = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in apart}
+    try:
+        for k, v in apart.items():
+            spark.conf.set(k, v)
+        found = phrase_dedup.remove_recurring(spark.createDataFrame(rows, "doc_id long, text string"), split_at=2)
+        same(found.select("id", "n_words", total(), F.sha2("kept", 256)).collect(), brute.phrases(rows))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("split_at", [1, 1000])
 def test_substrings(docs, texts, same, split_at):
     found = suffix_dedup.remove_repeats(docs, split_at=split_at)
