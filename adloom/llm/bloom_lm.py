@@ -3,13 +3,14 @@
 Word counts are exact. Word pairs are counted over the whole training part, their counts are quantised to powers of two, and
 a pair with count c is stored as the items (pair, 1) .. (pair, 1 + floor(log2 c)) of a blocked Bloom filter. A
 lookup probes level after level until one is missing, which gives the quantised count. The filter is broadcast; it never
-exceeds ``max_bits``: where the pairs need more, the rarest are left to the word model (the least count kept rises).
+exceeds ``max_bits``: where the pairs need more, the rarest stay in a table and are joined with the same quantised counts.
 
 A pair's probability is ``w * pair / history + (1 - w) * word`` with the add-one word probability of the base score, so it
-never vanishes. The weight w is fitted on one fold of the training part whose pairs are not counted.
+never vanishes. The weight w is fitted on one fold of the training part with the counts of its other folds; scores then use
+the counts of all of it.
 
-The most frequent words (at most ``max_words``) are broadcast with their counts. Every other word is joined by its hash,
-so words and pairs gathered grow with the corpus while what is broadcast does not.
+The most frequent words (at most ``max_words``) are broadcast with their counts. Every other word, also as a history, is
+joined by its hash, so words and pairs gathered grow with the corpus while what is broadcast does not.
 
 Defined cases: a null or blank text is the end token alone; rows equal in id and text are scored and counted each; a null
 id belongs to the training part; without training tokens every probability of the base is one; other columns are ignored.
@@ -72,14 +73,20 @@ def _counted(docs: DataFrame, make) -> DataFrame:
     return docs.select(utf8()).mapInArrow(work, "item long, n long")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    return _counted(docs, _tokens).groupBy("item").agg(F.sum("n").alias("c"))
+def _both(train: DataFrame, make) -> DataFrame:
+    """(item, n, m): counts over all of ``train``, and over it without the fold the weight is fitted on."""
+    rest = _counted(train.where(F.col("fold") != TUNING), make).withColumn("m", F.col("n"))
+    return rest.union(_counted(train.where(F.col("fold") == TUNING), make).withColumn("m", F.lit(0).cast("long")))
 
 
-def pair_counts(docs: DataFrame, least: int) -> DataFrame:
-    """(slice, item, c) of the pairs seen at least ``least`` times; dealt by the slice of the filter they go to."""
-    dealt = _counted(docs, lambda text: _pairs(_tokens(text))).withColumn("slice", _slice()).repartition("slice")
-    return dealt.groupBy("slice", "item").agg(F.sum("n").alias("c")).where(F.col("c") >= least)
+def word_counts(train: DataFrame) -> DataFrame:
+    return _both(train, _tokens).groupBy("item").agg(F.sum("n").alias("c"), F.sum("m").alias("m"))
+
+
+def pair_counts(train: DataFrame) -> DataFrame:
+    """(slice, item, c, m) of all pairs; dealt by the slice of the filter they go to."""
+    dealt = _both(train, lambda text: _pairs(_tokens(text))).withColumn("slice", _slice()).repartition("slice")
+    return dealt.groupBy("slice", "item").agg(F.sum("n").alias("c"), F.sum("m").alias("m"))
 
 
 def _slice() -> Column:
@@ -124,7 +131,7 @@ def build_filter(pairs: DataFrame, bits: int) -> np.ndarray:
 
     pieces = pairs.select("slice", "item", "c").repartition("slice").sortWithinPartitions("slice").mapInArrow(work, "slice long, piece binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in pieces.toLocalIterator():
+    for r in stored(pieces, "filter").toLocalIterator():
         out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["piece"], np.uint8)
     return out
 
@@ -133,7 +140,7 @@ def _piece(at: int, piece: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(at)]), pa.array([np.packbits(piece, bitorder="little").tobytes()])], ["slice", "piece"])
 
 
-def lookup(table: np.ndarray, item: np.ndarray, least: int = 1) -> np.ndarray:
+def lookup(table: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Quantised count of every item, 0 where it is not in the filter."""
     bits = table.size * 8
     base = (item >> np.uint64(52)) * np.uint64(bits // SLICES)
@@ -146,14 +153,15 @@ def lookup(table: np.ndarray, item: np.ndarray, least: int = 1) -> np.ndarray:
         active = active[held]
         level[active] = step
         step += 1
-    return np.where(level > 0, np.maximum(1 << np.maximum(level - 1, 0), least), 0)
+    return np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)
 
 
-SCORED = "doc_id long, fold long, n_tokens long, n_known long, base double, model array<double>, rare array<struct<t:long,b:array<double>>>"
+OPEN = "array<struct<t:long,h:long,x:long,c:long,b:long,p:long,k:long>>"
+SCORED = f"doc_id long, fold long, n_tokens long, n_known long, base double, model array<double>, open {OPEN}"
 
 
-def _score(docs: DataFrame, words, counts, table, cut: int, least: int, total: float) -> DataFrame:
-    names = [f.split()[0] for f in SCORED.split(", ")]
+def _score(docs: DataFrame, words, counts, table, cut: int, least: int, total: float, weights: list[float]) -> DataFrame:
+    names = ["doc_id", "fold", "n_tokens", "n_known", "base", "model", "open"]
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((words, counts, table))
 
@@ -165,17 +173,18 @@ def _score(docs: DataFrame, words, counts, table, cut: int, least: int, total: f
                 waiting.append(_tokens(text.as_py()))
                 size += waiting[-1].size
                 if size >= _CHUNK or i + 1 == batch.num_rows:
-                    columns = _score_chunk(waiting, *table, cut, least, total)
+                    columns = _score_chunk(waiting, *table, cut, least, total, weights)
                     yield pa.RecordBatch.from_arrays([*batch.slice(at, len(waiting)).columns[:2], *columns], names)
                     at, waiting, size = i + 1, [], 0
 
     return docs.select("doc_id", "fold", utf8()).mapInArrow(work, SCORED)
 
 
-def _score_chunk(docs: list[np.ndarray], words, counts, table, cut: int, least: int, total: float) -> list[pa.Array]:
+def _score_chunk(docs: list[np.ndarray], words, counts, table, cut: int, least: int, total: float, weights: list[float]) -> list[pa.Array]:
     """Columns of ``SCORED`` after the first two; the documents' tokens are worked on end to end.
 
-    Each document ends with the end token, which is just what stands before the first token of the next one.
+    Each document ends with the end token, which is just what stands before the first token of the next one. Tokens whose
+    word, history or pair may be in a table only are left open, equal ones of a document once with their number ``k``.
     """
     tokens, size = np.concatenate(docs), np.array([d.size for d in docs])
     begin = np.cumsum(size) - size
@@ -186,24 +195,37 @@ def _score_chunk(docs: list[np.ndarray], words, counts, table, cut: int, least:
     else:
         c = np.zeros(tokens.size, np.int64)
     before = np.concatenate((_end_count(words, counts), c[:-1]))
-    share = np.minimum(lookup(table, _pairs(tokens), least), before) / np.maximum(before, 1)
-    usable, sure = before > 0, (c > 0) | (cut <= 1)
+    pairs = _pairs(tokens)
+    p = lookup(table, pairs)
+    p[p < 1 << (least.bit_length() - 1)] = 0  # less than the filter holds of any pair: found by chance
+    share = np.minimum(p, before) / np.maximum(before, 1)
+    word_open, history_open = (c == 0) & (cut > 1), (before == 0) & (cut > 1)
+    pair_open = (p == 0) & (least > 1) & ((before > 0) | history_open)
+    sure = ~(word_open | history_open | pair_open)
     word = np.log10((c + 1) / total)
     base = np.add.reduceat(np.where(sure, word, 0.0), begin)
-    backed = np.add.reduceat((sure & usable).astype(np.int64), begin)
+    backed = np.add.reduceat((sure & (before > 0)).astype(np.int64), begin)
     paired = np.flatnonzero(sure & (share > 0))
     plain, bonus = 10 ** word[paired], share[paired]
-    model = np.empty((size.size, len(WEIGHTS)))
-    for i, w in enumerate(WEIGHTS):
+    model = np.empty((size.size, len(weights)))
+    for i, w in enumerate(weights):
         gain = np.log10(w * bonus + (1 - w) * plain) - word[paired] - np.log10(1 - w)
         model[:, i] = base + backed * np.log10(1 - w) + np.bincount(doc[paired], gain, size.size)
-    rare = np.flatnonzero(~sure)
-    values = np.stack((share[rare], usable[rare].astype(np.float64)), 1).ravel()
-    pair = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * rare.size + 1, 2, dtype=np.int32)), pa.array(values))
-    items = pa.StructArray.from_arrays([pa.array(tokens[rare].view(np.int64)), pair], ["t", "b"])
-    offsets = np.searchsorted(rare, np.append(begin, tokens.size)).astype(np.int32)
-    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, model.size + 1, len(WEIGHTS), dtype=np.int32)), pa.array(model.ravel()))
-    known = np.add.reduceat((c > 0).astype(np.int64), begin)
+    known = np.add.reduceat((sure & (c > 0)).astype(np.int64), begin)
+    rest = np.flatnonzero(~sure)
+    rest = rest[np.lexsort((pairs[rest], doc[rest]))]
+    new = np.ones(rest.size, bool)
+    new[1:] = (pairs[rest][1:] != pairs[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1])
+    k = np.diff(np.append(np.flatnonzero(new), rest.size))
+    rest = rest[new]
+    previous = np.concatenate((np.array([END], np.uint64), tokens[:-1]))
+    keys = [
+        pa.array(x[rest].view(np.int64), mask=~is_open[rest])
+        for x, is_open in ((tokens, word_open), (previous, history_open), (pairs, pair_open))
+    ]
+    items = pa.StructArray.from_arrays([*keys, *(pa.array(x.astype(np.int64)) for x in (c[rest], before[rest], p[rest], k))], list("thxcbpk"))
+    offsets = np.searchsorted(doc[rest], np.arange(size.size + 1)).astype(np.int32)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, model.size + 1, len(weights), dtype=np.int32)), pa.array(model.ravel()))
     return [pa.array(size), pa.array(known), pa.array(base), flat, pa.ListArray.from_arrays(pa.array(offsets), items)]
 
 
@@ -217,56 +239,78 @@ def _threshold(columns: dict[int, int], limit: int) -> int:
     return min((t for t, n in columns.items() if n <= limit), default=max(columns))
 
 
-def score_documents(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    max_bits: int = 1 << 28,
-    max_words: int = 1 << 20,
-    bits_per_item: int = 12,
-) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, weight) per row."""
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), _fold(id_col).cast("long").alias("fold"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
-    train = rows.where(F.col("fold") != HELD_OUT)
-    words = stored(word_counts(train), "word-counts")
+def _totals(
+    rows: DataFrame, words: DataFrame, pairs: DataFrame, weights: list[float], max_bits: int, max_words: int, bits_per_item: int
+) -> tuple[DataFrame, int]:
+    """(doc_id, fold, n_tokens, n_known, base_score, m0, m1, ..) per row, one m per weight; and the tokens counted in ``words``."""
     steps = [1, 2, 3, *(2**i for i in range(2, 40))]
     stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *[F.count_if(F.col("c") >= t).alias(f"t{t}") for t in steps]).first()
-    tokens, vocabulary = stats["n"], stats["t1"]
+    total = float(stats["n"] + stats["t1"] + 1)
     cut = _threshold({t: stats[f"t{t}"] for t in steps}, max_words)
     common = words.where(F.col("c") >= cut).toArrow()
     known = common.column("item").to_numpy().view(np.uint64)
     order = np.argsort(known)
     known, counts = known[order], common.column("c").to_numpy()[order]
 
-    pairs = stored(pair_counts(train.where(F.col("fold") != TUNING), 2), "pair-counts")
-    level = F.floor(F.log2("c")) + 1
-    sizes = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("c") >= t, level)), F.lit(0)).alias(f"t{t}") for t in steps[1:]]).first()
-    least = _threshold({t: sizes[f"t{t}"] for t in steps[1:]}, max_bits // bits_per_item)
+    level = F.length(F.bin("c"))
+    sizes = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("c") >= t, level)), F.lit(0)).alias(f"t{t}") for t in steps]).first()
+    least = _threshold({t: sizes[f"t{t}"] for t in steps}, max_bits // bits_per_item)
     need = max(sizes[f"t{least}"] * bits_per_item, SLICES * BLOCK_BITS)
     bits = min(max_bits, 1 << (int(need) - 1).bit_length())
     table = build_filter(pairs.where(F.col("c") >= least), bits)
 
-    total = float(tokens + vocabulary + 1)
-    scored = _score(rows, known, counts, table, cut, least, total).withColumn("row", F.monotonically_increasing_id())
+    scored = _score(rows, known, counts, table, cut, least, total, weights).withColumn("row", F.monotonically_increasing_id())
     scored = stored(scored, "scores")
-    gone = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.t").alias("item"), F.col("r.b").alias("b"))
-    joined = gone.join(words.where(F.col("c") < cut), "item", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    word = (F.col("c") + 1) / F.lit(total)
-    share, usable = F.col("b")[0], F.col("b")[1]
-    sums = [F.sum(F.log10(w * usable * share + (1 - w * usable) * word)).alias(f"w{i}") for i, w in enumerate(WEIGHTS)]
-    extra = joined.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("more"), F.sum(F.log10(word)).alias("rest"), *sums)
-    complete = scored.drop("rare").join(extra, "row", "left")
-    models = [(F.col("model")[i] + F.coalesce(f"w{i}", F.lit(0.0))).alias(f"m{i}") for i in range(len(WEIGHTS))]
-    complete = stored(
-        complete.select(
-            "doc_id", "fold", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), *models
-        ),
-        "totals",
+    models = [F.col("model")[i] for i in range(len(weights))]
+    base, n_known = F.col("base"), F.col("n_known")
+    complete = scored
+    if cut > 1 or least > 1:
+        gone = scored.select("row", F.posexplode("open").alias("i", "o")).select("row", "i", "o.*")
+        kinds = [kind for kind, is_left in (("t", cut > 1), ("h", cut > 1), ("x", least > 1)) if is_left]
+        keys = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).alias("item"))) for k in kinds]))
+        gone = gone.select("row", "i", "c", "b", "p", "k", F.explode(keys).alias("key")).select("row", "i", "c", "b", "p", "k", "key.*")
+        quantised = F.expr("shiftleft(1L, length(bin(c)) - 1)")
+        rare = words.where(F.col("c") < cut).select("item", F.col("c").alias("n"))
+        tables = {"t": rare, "h": rare, "x": pairs.where(F.col("c") < least).select("item", quantised.alias("n"))}
+        found = [gone.where(F.col("kind") == k).join(tables[k], "item", "left") for k in kinds]
+        every = found[0]
+        for other in found[1:]:
+            every = every.union(other)
+        # What a key stood for was 0 so far; a token can have several keys.
+        values = [F.max(F.greatest(v, F.when(F.col("kind") == k, F.col("n")))).alias(v) for v, k in zip("cbp", "thx", strict=True)]
+        token = every.groupBy("row", "i").agg(*values, F.first("k").alias("k"))
+        word = (F.col("c") + 1) / F.lit(total)
+        usable = F.when(F.col("b") > 0, 1.0).otherwise(0.0)
+        share = F.least("p", "b") / F.greatest(F.col("b"), F.lit(1))
+        sums = [F.sum(F.col("k") * F.log10(w * usable * share + (1 - w * usable) * word)).alias(f"w{i}") for i, w in enumerate(weights)]
+        extra = token.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("more"), F.sum(F.col("k") * F.log10(word)).alias("rest"), *sums)
+        complete = scored.drop("open").join(extra, "row", "left")
+        models = [m + F.coalesce(f"w{i}", F.lit(0.0)) for i, m in enumerate(models)]
+        base, n_known = base + F.coalesce("rest", F.lit(0.0)), n_known + F.coalesce("more", F.lit(0))
+    named = [m.alias(f"m{i}") for i, m in enumerate(models)]
+    return complete.select("doc_id", "fold", "n_tokens", n_known.alias("n_known"), base.alias("base_score"), *named), stats["n"]
+
+
+def score_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_bits: int = 1 << 28,
+    max_words: int = 1 << 20,
+    bits_per_item: int = 12,
+) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, weight) per row."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), _fold(id_col).cast("long").alias("fold"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    fits = complete.where(F.col("fold") == TUNING).agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(WEIGHTS))]).first()
+    train = rows.where(F.col("fold") != HELD_OUT)
+    words, pairs = stored(word_counts(train), "word-counts"), stored(pair_counts(train), "pair-counts")
+    limits = (max_bits, max_words, bits_per_item)
+    rest = [t.where("m > 0").withColumn("c", F.col("m")) for t in (words, pairs)]
+    tuned, _ = _totals(rows.where(F.col("fold") == TUNING), *rest, WEIGHTS, *limits)
+    fits = stored(tuned, "tuned").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(WEIGHTS))]).first()
     best = max(range(len(WEIGHTS)), key=lambda i: (fits[f"m{i}"] is not None, fits[f"m{i}"] or 0.0))
+    complete, tokens = _totals(rows, words, pairs, [WEIGHTS[best]], *limits)
     return complete.select(
         "doc_id",
         (F.col("fold") == HELD_OUT).alias("held_out"),
@@ -274,6 +318,6 @@ def score_documents(
         "n_known",
         F.lit(tokens).cast("long").alias("train_tokens"),
         "base_score",
-        F.col(f"m{best}").alias("score"),
+        F.col("m0").alias("score"),
         F.lit(WEIGHTS[best]).alias("weight"),
     )

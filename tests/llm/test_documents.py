@@ -139,6 +139,24 @@ def test_scores(docs, texts):
     assert all(r["score"] < 0 for r in bloom_lm.score_documents(docs).collect())
 
 
+@pytest.mark.parametrize("sizes", [{}, {"max_words": 5, "bits_per_item": 1 << 22}], ids=["broadcast", "joined"])
+def test_scores_use_all_counts(spark, sizes):
+    """Pairs of every fold but the held-out one and pairs seen once count, whatever is broadcast and whatever joined."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        w = [rng.randrange(60)]
+        for _ in range(rng.randrange(60)):
+            w.append((7 * w[-1] + 1) % 60 if rng.random() < 0.7 else rng.randrange(90))
+        rows.append((i, " ".join(f"w{x}" for x in w)))
+    rows += [(500, ""), (501, None), (502, "zz zz zz zz unseen zz zz")]
+    weight, want = brute.pair_model(rows, bloom_lm.WEIGHTS)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in bloom_lm.score_documents(table, **sizes).collect()}
+    assert {r.weight for r in got.values()} == {weight} and weight > 0
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want, abs=1e-6)
+
+
 def test_filter_counts():
     import numpy as np
 
