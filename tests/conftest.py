@@ -10,8 +10,6 @@ ROOT = Path(__file__).resolve().parents[1]
 for folder in (ROOT, ROOT / "tests"):
     sys.path.insert(0, str(folder))
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -5,7 +5,7 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
-from conftest import SMALL
+from support import SMALL
 from pyspark.sql import functions as F
 
 from adloom.plans.queries import REGISTRY, Layers
