@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from adloom.llm import (
     bloom_lm,
     fingerprints,
+    histogram_shards,
     language_id,
     lattice_sampling,
     license_scan,
     metric_join,
     minmax_dedup,
+    oracles,
     packing,
+    periodic_runs,
     phrase_dedup,
     suffix_dedup,
 )
@@ -102,6 +105,27 @@ def _vectors(rows: DataFrame) -> DataFrame:
 register("op10_log_frequency_bloom")(bloom_lm.score_documents)
 
 
+@register("op12_internal_matching")
+def _periodic(docs: DataFrame) -> DataFrame:
+    found = periodic_runs.collapse_runs(periodic_runs.planted(docs))
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *best,
+        F.expr("best.length * 1000 DIV best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed("runs"), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+@register("op13_histogram_sort")
+def _sharded(docs: DataFrame) -> DataFrame:
+    placed = histogram_shards.shard_documents(docs, tolerance=0.0)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", law, "shard", "slot", grown)
+
+
 REGISTRY["pipeline"] = corpus_pipeline.run
 
 
@@ -110,4 +134,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

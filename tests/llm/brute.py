@@ -204,3 +204,67 @@ def licenses(docs: list[tuple]) -> list[tuple]:
         span = (min(starts), max(starts)) if starts else (None, None)
         out.append((doc_id, len(words), len(base), *span, ",".join(labels), ",".join(every), score))
     return out
+
+
+def words(text: str | None) -> list[str]:
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def runs(w: list[str], shortest: int = 24, exponent: int = 3) -> list[tuple]:
+    """(start, length, period) of every run, from comparing each word with the one a period later, for every period."""
+    import numpy as np
+
+    number: dict[str, int] = {}
+    x = np.array([number.setdefault(v, len(number)) for v in w], np.int64)
+    found: dict[tuple, int] = {}
+    for q in range(1, len(w) // exponent + 1):
+        step = np.diff(np.concatenate(([0], (x[q:] == x[:-q]).astype(np.int8), [0])))
+        for i, j in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
+            if j + q - i >= max(shortest, exponent * q):
+                found.setdefault((i, j + q - i), q)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapse(w: list[str], found: list[tuple]) -> str:
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def periodic(doc_id: int | None, text: str | None) -> tuple:
+    """The row of the periodic query."""
+    import zlib
+    from fractions import Fraction
+
+    w = words(text)
+    if doc_id is not None and w:
+        h = zlib.crc32(str(doc_id).encode())
+        if h % 10 == 0:
+            g, n = h // 10, len(w)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+    found = runs(w)
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if found else (None, None, None)
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    milli = best[1] * 1000 // best[2] if found else None
+    return (doc_id, len(found), *best, milli, sha(lines.encode()), sha(collapse(w, found).encode()))
+
+
+def shards(rows: list[tuple], n: int) -> list[tuple]:
+    """(doc_id, text, size, crc32, shard, slot): rows in the order of their digests, cut at the row nearest to equal bytes."""
+    import hashlib
+    import zlib
+
+    def digest(*values) -> int:
+        return int(hashlib.md5("\n".join("-" if v is None else f"={v}" for v in values).encode()).hexdigest()[:15], 16)
+
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (digest(r[1]), digest(*r)))
+    below = [0]
+    for _, t in ordered:
+        below.append(below[-1] + len(t.encode()) + 1)
+    cuts = [min(range(len(below)), key=lambda k: (abs(below[k] - i * below[-1] / n), k)) for i in range(1, n)]
+    out = []
+    for at, (i, t) in enumerate(ordered):
+        before = [c for c in cuts if c <= at]
+        out.append((i, t, len(t.encode()) + 1, zlib.crc32(t.encode()), len(before), at - max(before, default=0)))
+    return out
