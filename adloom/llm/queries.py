@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adloom.llm import (
     bloom_lm,
+    conversation_trie,
     fingerprints,
     histogram_shards,
     language_id,
@@ -23,6 +24,7 @@ from adloom.llm import (
     phrase_dedup,
     suffix_dedup,
 )
+from adloom.llm.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -105,6 +107,13 @@ def _vectors(rows: DataFrame) -> DataFrame:
 register("op10_log_frequency_bloom")(bloom_lm.score_documents)
 
 
+@register("op11_truncation_peeling", "conversations")
+def _trie(conversations: DataFrame) -> DataFrame:
+    turns, members = conversation_trie.rebuilt(stored(conversation_trie.ordered_turns(conversations), "ordered-turns"))
+    nodes = conversation_trie.prefix_trie(stored(turns, "rebuilt"), members)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 @register("op12_internal_matching")
 def _periodic(docs: DataFrame) -> DataFrame:
     found = periodic_runs.collapse_runs(periodic_runs.planted(docs))

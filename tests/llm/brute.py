@@ -268,3 +268,53 @@ def shards(rows: list[tuple], n: int) -> list[tuple]:
         before = [c for c in cuts if c <= at]
         out.append((i, t, len(t.encode()) + 1, zlib.crc32(t.encode()), len(before), at - max(before, default=0)))
     return out
+
+
+def conversations(rows: list[tuple]) -> dict[int, list[tuple]]:
+    """Turns (role, text) of each conversation in order, from (conv_id, turn, role, text) rows."""
+    import hashlib
+
+    def digest(role: str, text: str) -> str:
+        return hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+
+    out: dict[int, list[tuple]] = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            out.setdefault(c, []).append(((turn is not None, turn or 0), digest(role, text), role, text))
+    return {c: [(r, t) for *_, r, t in sorted(turns)] for c, turns in out.items()}
+
+
+def rebuilt(all_turns: dict[int, list[tuple]]) -> dict[int, list[tuple]]:
+    import zlib
+
+    out = {}
+    for c, own in all_turns.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (abs(c) % 20) * (1 if c >= 0 else -1)
+        out[c] = all_turns.get(base, [])[:h] + own[h:]
+    return out
+
+
+def trie(all_turns: dict[int, list[tuple]]) -> list[tuple]:
+    """One row per node, from all prefixes of all conversations."""
+    inside: dict[tuple, list[int]] = {}
+    for c, turns in all_turns.items():
+        for d in range(len(turns) + 1):
+            inside.setdefault(tuple(turns[:d]), []).append(c)
+    children: dict[tuple, int] = {}
+    for node in inside:
+        if node:
+            children[node[:-1]] = children.get(node[:-1], 0) + 1
+    leaves, saved = dict.fromkeys(inside, 0), dict.fromkeys(inside, 0)
+    for node, cs in inside.items():
+        gain = (len(cs) - 1) * len(words(node[-1][1])) if node else 0
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += node not in children
+            saved[node[:d]] += gain
+    out = []
+    for node, cs in inside.items():
+        ends = ",".join(str(c) for c in sorted(cs) if len(all_turns[c]) == len(node))
+        parent = min(inside[node[:-1]]) if node else None
+        out.append((min(cs), len(node), parent, len(cs), children.get(node, 0), leaves[node], saved[node], sha(ends.encode())))
+    return out
