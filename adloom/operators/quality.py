@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.functions.parsing import is_time_type
@@ -155,19 +155,27 @@ class QualityGateError(RuntimeError):
     """At least one check found violating rows."""
 
 
+def verdict(report: DataFrame) -> DataFrame:
+    """One row: whether every check passed, how many failed, and a line for each of these. A check without outcome is neither."""
+    line = F.concat("layer", F.lit("."), "table_name", F.lit(": "), "check_name", F.lit(": "), F.col("bad_rows").cast("string"), F.lit(" rows"))
+    failed = report.where(~F.col("passed")).agg(
+        F.count(F.lit(1)).alias("failed_checks"), F.sort_array(F.collect_list(line)).alias("lines")
+    )
+    return failed.select((F.col("failed_checks") == 0).alias("passed"), "failed_checks", F.array_join("lines", "\n").alias("messages"))
+
+
 def enforce(report: DataFrame) -> None:
     """Run the whole report, then fail once with every violation. The report holds one row per check."""
-    failures = report.where(~F.col("passed")).orderBy("layer", "table_name", "check_name").collect()
-    if failures:
-        lines = [f"{r.layer}.{r.table_name}: {r.check_name}: {r.bad_rows} rows" for r in failures]
-        raise QualityGateError("data quality gate failed\n" + "\n".join(lines))
+    outcome = verdict(report).first()
+    if not outcome.passed:
+        raise QualityGateError(f"data quality gate failed\n{outcome.messages}")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] = REQUIRED_EVENT_COLUMNS) -> DataFrame:
-    """``(column_name, null_rows)`` for each of the columns the table has."""
-    names = [c for c in columns if c in df.columns]
-    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])
-    return _to_rows(counted, {c: F.col(c) for c in names}, [], "column_name", "null_rows")
+    """``(column_name, null_rows)`` for each of the columns; one that the table lacks is NULL in all rows."""
+    null = {c: F.col(c).isNull() if c in df.columns else F.lit(True) for c in columns}
+    counted = df.agg(*[F.count_if(n).alias(c) for c, n in null.items()])
+    return _to_rows(counted, {c: F.col(c) for c in columns}, [], "column_name", "null_rows")
 
 
 def key_unique_rate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -207,34 +215,116 @@ def missing_rate(detail: DataFrame, columns: Sequence[str] = ("advertiser_id", "
     return counted.withColumns(rates)
 
 
+# Relations between metrics that do not hold, with the columns each needs.
+LOGIC = {
+    "clicks > impressions": ("clicks", "impressions"),
+    "conversions > clicks": ("conversions", "clicks"),
+    "cost < 0": ("cost",),
+    "gmv_amount < 0": ("gmv_amount",),
+}
+
+
 def logic_violations(daily: DataFrame) -> DataFrame:
     """``(rule, bad_rows)`` of the relations between metrics, for the columns the table has."""
-    c = F.col
-    rules = {
-        "clicks > impressions": (("clicks", "impressions"), lambda: c("clicks") > c("impressions")),
-        "conversions > clicks": (("conversions", "clicks"), lambda: c("conversions") > c("clicks")),
-        "cost < 0": (("cost",), lambda: c("cost") < 0),
-        "gmv_amount < 0": (("gmv_amount",), lambda: c("gmv_amount") < 0),
-    }
-    usable = {name: rule for name, (needs, rule) in rules.items() if set(needs) <= set(daily.columns)}
+    usable = [name for name, needs in LOGIC.items() if set(needs) <= set(daily.columns)]
     slots = {f"c{i}": name for i, name in enumerate(usable)}
-    counted = daily.agg(*[F.count_if(usable[name]()).alias(s) for s, name in slots.items()])
+    counted = daily.agg(*[F.count_if(F.expr(name)).alias(s) for s, name in slots.items()])
     return _to_rows(counted, {name: F.col(s) for s, name in slots.items()}, [], "rule", "bad_rows")
 
 
+def within(name: str, low: float | None, high: float | None) -> Column:
+    """Whether a metric lies within its bounds; NULL does not."""
+    ok = F.col(name).isNotNull()
+    if low is not None:
+        ok = ok & (F.col(name) >= low)
+    return ok if high is None else ok & (F.col(name) <= high)
+
+
 def metric_sanity(daily: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
     """``(metric, ok_rows, total_rows, ok_rate)``: rows whose metric lies within its bounds. NULL is not within."""
     wanted = bounds or {"ctr": (0.0, 1.0), "cvr": (0.0, 1.0), "roi": (0.0, None)}
     usable = {m: b for m, b in wanted.items() if m in daily.columns}
 
-    def within(name: str, low: float | None, high: float | None) -> Column:
-        ok = F.col(name).isNotNull()
-        if low is not None:
-            ok = ok & (F.col(name) >= low)
-        return ok if high is None else ok & (F.col(name) <= high)
-
     counted = daily.agg(
         F.count(F.lit(1)).alias("total_rows"), *[F.count_if(within(m, *b)).alias(m) for m, b in usable.items()]
     )
     rows = _to_rows(counted, {m: F.col(m) for m in usable}, ["total_rows"], "metric", "ok_rows")
     return rows.select("metric", "ok_rows", "total_rows", safe_ratio(F.col("ok_rows"), F.col("total_rows")).alias("ok_rate"))
+
+
+# ---------------------------------------------------------------- measures taken while tables are built
+
+
+@dataclass(frozen=True)
+class Measure:
+    """What a step of the build counted on the rows it wrote. ``good`` tells which rows the count is of."""
+
+    table: str
+    measure: str
+    matching_rows: int
+    total_rows: int
+    good: bool = False
+
+
+@dataclass(frozen=True)
+class BuildChecks:
+    """What is counted on a table as it is written: rows without a value, metrics within bounds, broken relations."""
+
+    key: tuple[str, ...] = ()
+    missing: tuple[str, ...] = ()
+    bounds: Mapping[str, tuple[float | None, float | None]] = field(default_factory=dict)
+    logic: bool = False
+    distinct: tuple[str, ...] = ()
+
+    def conditions(self, columns: Sequence[str]) -> dict[str, tuple[Column, bool]]:
+        """Condition and kind (good or bad rows) of each measure."""
+        found = {f"{c} missing": (F.col(c).isNull(), False) for c in self.missing}
+        found |= {f"{m} within bounds": (within(m, *b), True) for m, b in self.bounds.items()}
+        if self.logic:
+            found |= {name: (F.expr(name), False) for name, needs in LOGIC.items() if set(needs) <= set(columns)}
+        return found
+
+
+_RATES = {"ctr": (0.0, 1.0), "cvr": (0.0, 1.0)}
+
+# The measures of every table the build writes.
+BUILD_CHECKS = {
+    "dwd.ad_impression_detail": BuildChecks(("dt", "event_id"), ("advertiser_id", "slot_type"), distinct=("advertiser_id",)),
+    "dwd.ad_click_detail": BuildChecks(("dt", "event_id"), ("advertiser_id", "slot_type")),
+    "dwd.ad_conversion_detail": BuildChecks(("dt", "conv_id"), ("advertiser_id",)),
+    "dws.campaign_daily": BuildChecks(("dt", "campaign_id"), bounds={**_RATES, "roi": (0.0, None)}, logic=True),
+    "dws.advertiser_daily": BuildChecks(("dt", "advertiser_id"), bounds={**_RATES, "roi": (0.0, None)}, logic=True),
+    "dws.user_daily": BuildChecks(("dt", "user_id"), bounds={**_RATES, "gmv_amount": (0.0, None)}),
+    "dws.tag_quality_daily": BuildChecks(("dt", "tag_name"), bounds={"coverage_rate": (0.0, 1.0)}),
+    "ads.kpi_overview_daily": BuildChecks(("dt",), bounds={**_RATES, "roi": (0.0, None)}),
+    "ads.campaign_ranking_daily": BuildChecks(("dt", "campaign_id"), bounds=_RATES),
+    "ads.advertiser_dashboard_daily": BuildChecks(("dt", "advertiser_id")),
+    "ads.tag_effectiveness_daily": BuildChecks(("dt", "tag_name"), bounds={"coverage_rate": (0.0, 1.0)}),
+}
+
+
+def distinct_rows(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """``(name, total_rows, distinct_keys)`` of each (table, key columns), all in one pass; only the keys are read.
+
+    Rows of equal keys are combined before the exchange, so a frequent key costs one row per task.
+    """
+    keyed = [
+        df.select(F.lit(name).alias("name"), F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias("key"))
+        for name, (df, keys) in tables.items()
+    ]
+    per_key = reduce(DataFrame.unionByName, keyed).groupBy("name", "key").agg(F.count(F.lit(1)).alias("n"))
+    return per_key.groupBy("name").agg(F.sum("n").alias("total_rows"), F.count(F.lit(1)).alias("distinct_keys"))
+
+
+def measures_report(spark: SparkSession, measures: Sequence[Measure]) -> DataFrame:
+    """``(layer, table_name, measure, matching_rows, total_rows, rate)``; of no rows the rate is 1.0 for good ones, else 0.0."""
+    rows = [(*m.table.split(".", 1), m.measure, m.matching_rows, m.total_rows, m.good) for m in measures]
+    df = spark.createDataFrame(rows, "layer string, table_name string, measure string, matching_rows bigint, total_rows bigint, good boolean")
+    rate = F.when((F.col("total_rows") == 0) & F.col("good"), F.lit(1.0)).otherwise(safe_ratio(F.col("matching_rows"), F.col("total_rows")))
+    return df.withColumn("rate", rate).drop("good")
+
+
+def as_checks(spark: SparkSession, measures: Sequence[Measure]) -> DataFrame:
+    """The measures as rows of a report, without outcome: they inform and do not fail a run."""
+    rows = [(*m.table.split(".", 1), m.measure, m.total_rows - m.matching_rows if m.good else m.matching_rows, None) for m in measures]
+    return spark.createDataFrame(rows, "layer string, table_name string, check_name string, bad_rows bigint, passed boolean")

@@ -7,9 +7,10 @@ A range is handled in one job, not day by day: the rolling tags of many days com
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.operators import clean, enrich, metrics, quality, reports, tags
@@ -25,8 +26,11 @@ Days = tuple[str, str] | None
 
 @dataclass(frozen=True)
 class Warehouse:
+    """Tables below ``root``. ``measures`` gathers what the steps of a build count on the rows they write."""
+
     spark: SparkSession
     root: str
+    measures: list[quality.Measure] = field(default_factory=list, compare=False)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{TABLES[name].path}"
@@ -35,13 +39,28 @@ class Warehouse:
         df = tables.read_table(self.spark, name, self.path(name))
         return df if days is None else df.where(F.col("dt").between(*days))
 
-    def store(self, name: str, df: DataFrame, days: Days = None) -> None:
-        """Store ``df``; a day of the range ``days`` that it has no rows of becomes empty."""
+    def store(self, name: str, df: DataFrame, days: Days = None, losses: Mapping[str, Column] | None = None) -> int:
+        """Store ``df``; a day of the range ``days`` that it has no rows of becomes empty. Returns the rows written.
+
+        The measures of the table (see ``quality.BUILD_CHECKS``) and ``losses`` are counted by the tasks that write.
+        """
         table = TABLES[name]
+        known = quality.BUILD_CHECKS.get(name, quality.BuildChecks()).conditions(df.columns)
+        wanted = {**{label: c for label, (c, _) in known.items()}, **(losses or {})}
         if table.partitioned:
-            sinks.store_days(df, table, self.path(name), tables.days_between(*days) if days else ())
+            listed = tables.days_between(*days) if days else ()
+            counted = sinks.store_days(df, table, self.path(name), listed, wanted)
         else:
-            sinks.write_whole(df, table, self.path(name))
+            counted = sinks.write_whole(df, table, self.path(name), wanted)
+        total, held = counted.counts()
+        good = {label for label, (_, is_good) in known.items() if is_good}
+        self.measures.extend(quality.Measure(name, label, n, total, label in good) for label, n in held.items())
+        return total
+
+    def days(self, name: str, days: Days = None) -> list[str]:
+        """The days a table has, within the range; from metadata alone."""
+        listed = tables.partition_days(self.spark, name, self.path(name))
+        return [d for d in listed if days is None or days[0] <= d <= days[1]]
 
     def declare(self) -> None:
         """Create the catalog tables over the directories, and register the days already there."""
@@ -54,15 +73,10 @@ class Warehouse:
 def land_all(warehouse: Warehouse, input_dir: str, days: Days = None) -> None:
     """Raw CSVs ``ods_<source>.csv`` below ``input_dir`` to typed Parquet; facts by day, only those of the range."""
     for source in (*FACTS, *DIMENSIONS):
-        landed = landing.land(warehouse.spark, source, f"{input_dir}/ods_{source}.csv")
+        landed, losses = landing.land_counted(warehouse.spark, source, f"{input_dir}/ods_{source}.csv")
         if days and source in FACTS:
             landed = landed.where(F.col("dt").between(*days))
-        warehouse.store(f"ods.{source}", landed, days)
-
-
-def _listed(df: DataFrame) -> list[str]:
-    """The days of a table; a few strings, whatever its size."""
-    return [row.dt for row in tables.days_present(df).collect()]
+        warehouse.store(f"ods.{source}", landed, days, losses)
 
 
 def build_details(warehouse: Warehouse, days: Days = None) -> None:
@@ -75,12 +89,15 @@ def build_details(warehouse: Warehouse, days: Days = None) -> None:
     ads = clean.ad_dimension(w.read("ods.ad_meta"))
     slots = clean.slot_dimension(w.read("ods.ad_slot"))
 
-    listed = _listed(w.read("ods.ad_event_log", days))
+    listed = w.days("ods.ad_event_log", days)
     for name, dimension in (("dwd.dim_user", users), ("dwd.dim_ad", ads), ("dwd.dim_ad_slot", slots)):
         w.store(name, clean.daily_snapshot(dimension, listed))
 
-    w.store("dwd.ad_impression_detail", enrich.impression_detail(events, ads, slots), days)
-    w.store("dwd.ad_click_detail", enrich.click_detail(events, ads, slots), days)
+    before = {r.event_type: r.n for r in events.where(F.col("event_type").isin(*enrich.EVENT_TYPES)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for kind, detail in (("impression", enrich.impression_detail), ("click", enrich.click_detail)):
+        name = f"dwd.ad_{kind}_detail"
+        kept = w.store(name, detail(events, ads, slots), days)
+        w.measures.append(quality.Measure(name, "kept by filter and deduplication", kept, before.get(kind, 0), True))
     w.store("dwd.ad_conversion_detail", enrich.conversion_detail(conversions, ads), days)
     w.store("dwd.campaign_day_cost", clean.campaign_day_cost(cost), days)
 
@@ -130,13 +147,34 @@ def check(warehouse: Warehouse, days: Days = None) -> DataFrame:
     return quality.dq_report({name: warehouse.read(name, days) for name in names})
 
 
+def measure_keys(warehouse: Warehouse, days: Days = None) -> None:
+    """Adds how many rows of every built table have a key of their own, and the distinct values asked for, in one pass."""
+    w = warehouse
+    wanted = {}
+    for name, checks in quality.BUILD_CHECKS.items():
+        df = w.read(name, days)
+        wanted[name, f"distinct ({', '.join(checks.key)})"] = (df, checks.key)
+        wanted |= {(name, f"distinct {c}"): (df, (c,)) for c in checks.distinct}
+    numbered = {str(i): pair for i, pair in enumerate(wanted.values())}
+    found = {r["name"]: r for r in quality.distinct_rows(numbered).collect()}
+    for i, (name, label) in enumerate(wanted):
+        row = found.get(str(i))
+        w.measures.append(quality.Measure(name, label, row.distinct_keys if row else 0, row.total_rows if row else 0, True))
+
+
 def build_all(warehouse: Warehouse, input_dir: str, days: Days = None, enforce: bool = True) -> DataFrame:
-    """All steps in order. Returns the quality report; with ``enforce`` a violation raises after everything is stored."""
+    """All steps in order. Returns the quality report; with ``enforce`` a violation raises after everything is stored.
+
+    The report holds the checks of the gate and, without outcome, what the steps counted on the rows they wrote: values and lines
+    lost on landing, missing attributes, metrics within bounds, rows kept and distinct keys.
+    """
+    warehouse.measures.clear()
     land_all(warehouse, input_dir, days)
     build_details(warehouse, days)
     build_daily(warehouse, days)
     build_reports(warehouse, days)
-    report = check(warehouse, days)
+    measure_keys(warehouse, days)
+    report = check(warehouse, days).unionByName(quality.as_checks(warehouse.spark, warehouse.measures))
     if enforce:
         quality.enforce(report)
     return report

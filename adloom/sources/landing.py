@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.functions.parsing import as_date, as_timestamp, blank_to_null
 from adloom.schemas import CSV_SCHEMAS
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header and a declared schema. A missing path is an error; nothing is inferred."""
+# Where a line that does not fit the schema is kept as it stands.
+MALFORMED = "malformed_line"
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, malformed: bool = False) -> DataFrame:
+    """CSV with a header and a declared schema. A missing path is an error; nothing is inferred.
+
+    A line with too few or too many fields, or a field that its column cannot hold, is read as far as it goes; with
+    ``malformed`` the whole line is kept in the column of that name.
+    """
+    reader = spark.read.option("header", True)
+    if malformed:
+        schema = f"{schema}, {MALFORMED} string"
+        reader = reader.option("columnNameOfCorruptRecord", MALFORMED)
     try:
-        return spark.read.schema(schema).option("header", True).csv(path)
+        return reader.schema(schema).csv(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no raw CSV at {path}") from error
@@ -66,3 +78,24 @@ TYPERS = {
 def land(spark: SparkSession, source: str, path: str) -> DataFrame:
     """Read raw source ``source`` (a key of ``CSV_SCHEMAS``) and give its columns their types."""
     return TYPERS[source](read_csv(spark, path, CSV_SCHEMAS[source]))
+
+
+def with_losses(source: str, raw: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The typed rows of ``raw`` and, by name, the condition for every way in which a row lost something by that.
+
+    A value is lost where text was present and the typed column is NULL. Raw text is carried in extra columns until the
+    conditions have been counted (see ``sinks.store_days``).
+    """
+    landed = TYPERS[source](raw)
+    typed = [f.name for f in raw.schema if landed.schema[f.name].dataType != f.dataType]
+    kept = TYPERS[source](raw.withColumns({f"raw_{c}": F.col(c) for c in typed}))
+    present = {c: F.nullif(F.trim(F.col(f"raw_{c}").cast("string")), F.lit("")).isNotNull() for c in typed}
+    losses = {f"{c} lost": present[c] & F.col(c).isNull() for c in typed}
+    if MALFORMED in raw.columns:
+        losses["malformed line"] = F.col(MALFORMED).isNotNull()
+    return kept, losses
+
+
+def land_counted(spark: SparkSession, source: str, path: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``land`` with what was lost on the way."""
+    return with_losses(source, read_csv(spark, path, CSV_SCHEMAS[source], malformed=True))

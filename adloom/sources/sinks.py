@@ -7,11 +7,12 @@ through that many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from datetime import date
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.schemas import Table
@@ -42,21 +43,41 @@ def sized(df: DataFrame, *columns: str) -> DataFrame:
     return df.hint("rebalance", *columns)
 
 
-def conform(df: DataFrame, table: Table) -> DataFrame:
-    """The columns of ``table`` in table order with their declared types, and ``dt`` last where partitioned."""
+def conform(df: DataFrame, table: Table, *extra: str) -> DataFrame:
+    """The columns of ``table`` in table order with their declared types, ``extra`` ones, and ``dt`` last where partitioned."""
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields]
-    return df.select(*columns, "dt") if table.partitioned else df.select(*columns)
+    return df.select(*columns, *extra, *(["dt"] if table.partitioned else []))
+
+
+class Counted:
+    """Rows on their way to a table, in its form and sized, with counts that are taken as they are written.
+
+    ``measures`` are conditions on the rows of ``df``, also on columns the table does not have. They are counted behind the
+    exchange that sizes the files, in the tasks that write: Spark counts those exactly once, even where a lost
+    executor makes it repeat earlier stages. No second look at the data is needed.
+    """
+
+    def __init__(self, df: DataFrame, table: Table, measures: Mapping[str, Column] | None = None):
+        self.names = list(measures or {})
+        flags = {f"_holds_{i}": F.coalesce(c, F.lit(False)).cast("tinyint") for i, c in enumerate((measures or {}).values())}
+        rows = sized(conform(df.withColumns(flags), table, *flags), *(["dt"] if table.partitioned else []))
+        self._seen = Observation()
+        counters = [F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in flags]
+        self.rows = rows.observe(self._seen, F.count(F.lit(1)).alias("rows"), *counters).drop(*flags)
+
+    def counts(self) -> tuple[int, dict[str, int]]:
+        """Rows written, and rows for which each measure held; to be asked for after the write."""
+        found = self._seen.get
+        return int(found["rows"]), {name: int(found[f"_holds_{i}"]) for i, name in enumerate(self.names)}
 
 
 def write_days(df: DataFrame, path: str) -> None:
     """Replace the days present in ``df``; every other day of the directory stays as it is."""
-    (
-        sized(df, "dt")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt")
-        .parquet(path)
-    )
+    _write_days(sized(df, "dt"), path)
+
+
+def _write_days(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
 
 
 def insert_day(df: DataFrame, table: Table, dt: str) -> None:
@@ -70,13 +91,34 @@ def insert_day(df: DataFrame, table: Table, dt: str) -> None:
     )
 
 
-def write_whole(df: DataFrame, table: Table, path: str) -> None:
-    """Replace a whole table: the catalog table where declared, else the directory."""
-    rows = sized(conform(df, table))
+def write_whole(df: DataFrame, table: Table, path: str, measures: Mapping[str, Column] | None = None) -> Counted:
+    """Replace a whole table: the catalog table where declared (see ``swap_in``), else the directory."""
+    counted = Counted(df, table, measures)
     if df.sparkSession.catalog.tableExists(table.full_name):
-        rows.write.mode("overwrite").insertInto(table.full_name)
+        swap_in(counted.rows, table, path)
     else:
-        rows.write.mode("overwrite").parquet(path)
+        counted.rows.write.mode("overwrite").parquet(path)
+    return counted
+
+
+def location_of(spark: SparkSession, name: str) -> str:
+    """The directory of a catalog table."""
+    listed = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:name)", args={"name": name})
+    return listed.where("col_name = 'Location'").first().data_type
+
+
+def swap_in(rows: DataFrame, table: Table, path: str) -> str:
+    """Replace all rows of a declared table without partitions; returns the directory they were in.
+
+    The rows are written to a directory of their own beside ``path``, and the table is pointed at it once they are
+    complete. A query that has begun goes on with the files it knows, and a write that fails leaves the table as it was.
+    """
+    spark, before = rows.sparkSession, location_of(rows.sparkSession, table.full_name)
+    aside = f"{path.rstrip('/')}__{uuid4().hex}"
+    rows.write.parquet(aside)
+    spark.sql(f"ALTER TABLE {table.full_name} SET LOCATION {_quoted(aside)}")
+    spark.catalog.refreshTable(table.full_name)
+    return before
 
 
 @contextmanager
@@ -91,22 +133,25 @@ def _replacing_days_only(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def store_days(df: DataFrame, table: Table, path: str, days: Sequence[str] = ()) -> None:
+def store_days(
+    df: DataFrame, table: Table, path: str, days: Sequence[str] = (), measures: Mapping[str, Column] | None = None
+) -> Counted:
     """Replace the days present in ``df`` of table ``table``: by catalog name where declared, else by path.
 
     ``days`` are those the result is complete for: the ones it has no rows of are emptied. They are the days whose files
     are the same before and after the write, which the file listing tells without computing anything twice.
     """
-    spark, rows = df.sparkSession, conform(df, table)
+    spark, counted = df.sparkSession, Counted(df, table, measures)
     before = _day_files(spark, path, days) if days else {}
     if spark.catalog.tableExists(table.full_name):
         with _replacing_days_only(spark):
-            sized(rows, "dt").write.mode("overwrite").insertInto(table.full_name)
+            counted.rows.write.mode("overwrite").insertInto(table.full_name)
     else:
-        write_days(rows, path)
+        _write_days(counted.rows, path)
     if before:
         after = _day_files(spark, path, days)
         empty_days(spark, table, path, [day for day, file in before.items() if after.get(day) == file])
+    return counted
 
 
 def _day_files(spark: SparkSession, path: str, days: Sequence[str]) -> dict[str, str]:
@@ -132,3 +177,9 @@ def empty_days(spark: SparkSession, table: Table, path: str, days: Sequence[str]
 def write_result(df: DataFrame, path: str) -> None:
     """Plain overwrite of an aggregate result."""
     df.write.mode("overwrite").parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a directory, on any file system Spark can write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -105,3 +105,25 @@ def table_days(spark: SparkSession, name: str) -> DataFrame:
     """The days of a catalog table, from partition metadata alone."""
     listed = spark.sql("SHOW PARTITIONS IDENTIFIER(:name)", args={"name": name})
     return listed.select(F.split_part("partition", F.lit("="), F.lit(2)).alias("dt")).orderBy("dt")
+
+
+def partition_days(spark: SparkSession, name: str, path: str) -> list[str]:
+    """The days of a table, sorted: from the catalog where it is declared, else from the names of its directories.
+
+    No file is opened or even listed, and no job runs. A day that has been emptied is still a partition.
+    """
+    if spark.catalog.tableExists(name):
+        return [r.dt for r in table_days(spark, name).collect()]
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/dt=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(status.getPath().getName().removeprefix("dt=") for status in found)
+
+
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """Per day of a directory: its files with rows, their rows and their bytes. Only file metadata is read."""
+    files = spark.read.schema("dt string").parquet(path).groupBy("dt", "_metadata.file_path").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size")
+    )
+    return files.groupBy("dt").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("n").alias("row_cnt"), F.sum("size").alias("bytes"), F.max("size").alias("largest_file")
+    )
