@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from adloom.operators.tags import TAG_RULES, UPDATE_FREQ, Thresholds
+from adloom.plans.stored_queries import OTHER_DAY
 from adloom.plans.queries import DAY, HOT, HOT_SHARE, PLACES, SCALED, SKEW_KEYS
 
 TIME = "%Y-%m-%d %H:%M:%S.%f"
@@ -348,6 +349,93 @@ def _gate_sql() -> str:
     return f"SELECT *, bad_rows = 0 AS passed FROM ({unions})"
 
 
+def _lost(table: str, source: str, conditions: dict[str, str]) -> str:
+    """Rows of the landing report of one source."""
+    return " UNION ALL ".join(
+        f"SELECT 'ods' AS layer, '{table}' AS table_name, '{name}' AS measure, count_if({bad}) AS matching_rows, count(*) AS total_rows FROM {source}"
+        for name, bad in conditions.items()
+    )
+
+
+def _turn(column: str, *remainders: int) -> str:
+    return f"CAST({column} AS BIGINT) % 50 IN ({', '.join(map(str, remainders))})"
+
+
+_LOSSES = " UNION ALL ".join(
+    [
+        _lost("ad_event_log", "ev", {"event_time lost": _turn("event_id", 7), "malformed line": _turn("event_id", 3, 4)}),
+        _lost("conversion_log", "conv", {"conv_time lost": _turn("conv_id", 8), "gmv_amount lost": _turn("conv_id", 9), "malformed line": "false"}),
+        _lost("user_profile", "users", {"age lost": _turn("user_id", 5), "register_dt lost": _turn("user_id", 7), "malformed line": "false"}),
+        _lost("ad_slot", "slots", {"price_factor lost": "false", "malformed line": "ad_slot_id = '3'"}),
+    ]
+)
+
+
+def _measures_sql() -> str:
+    """One row for everything the steps of a build count; the rate of no rows is 1 where good rows are counted."""
+    rows: list[str] = []
+
+    def add(table: str, measure: str, matching: str, total: str, source: str, good: bool) -> None:
+        layer, name = table.split(".")
+        rows.append(
+            f"SELECT '{layer}' AS layer, '{name}' AS table_name, '{measure}' AS measure, {matching} AS matching_rows, "
+            f"{total} AS total_rows, {good} AS good FROM {source}"
+        )
+
+    def bounds(table: str, source: str, **limits: str) -> None:
+        for metric, condition in limits.items():
+            add(table, f"{metric} within bounds", f"count_if({metric} {condition})", "count(*)", source, True)
+
+    def keyed(table: str, source: str, *keys: str) -> None:
+        listed = ", ".join(keys)
+        distinct = f"(SELECT count(*) FROM (SELECT DISTINCT {listed} FROM {source}))"
+        add(table, f"distinct ({listed})", distinct, "count(*)", source, True)
+
+    unit, positive = "BETWEEN 0 AND 1", ">= 0"
+    for kind, source in (("impression", "imp"), ("click", "clk")):
+        table = f"dwd.ad_{kind}_detail"
+        for c in ("advertiser_id", "slot_type"):
+            add(table, f"{c} missing", f"count_if({c} IS NULL)", "count(*)", source, False)
+        before = f"(SELECT count(*) FROM ev WHERE event_type = '{kind}')"
+        add(table, "kept by filter and deduplication", "count(*)", before, source, True)
+        keyed(table, source, "dt", "event_id")
+    distinct = "(SELECT count(*) FROM (SELECT DISTINCT advertiser_id FROM imp))"
+    add("dwd.ad_impression_detail", "distinct advertiser_id", distinct, "count(*)", "imp", True)
+    add("dwd.ad_conversion_detail", "advertiser_id missing", "count_if(advertiser_id IS NULL)", "count(*)", "cvd", False)
+    keyed("dwd.ad_conversion_detail", "cvd", "dt", "conv_id")
+    for table, source, key in (
+        ("dws.campaign_daily", "campaign_rates", "campaign_id"),
+        ("dws.advertiser_daily", "advertiser_rates", "advertiser_id"),
+    ):
+        bounds(table, source, ctr=unit, cvr=unit, roi=positive)
+        for rule in ("clicks > impressions", "conversions > clicks", "cost < 0", "gmv_amount < 0"):
+            add(table, rule, f"count_if({rule})", "count(*)", source, False)
+        keyed(table, source, "dt", key)
+    bounds("dws.user_daily", "user_raw", ctr=unit, cvr=unit, gmv_amount=positive)
+    keyed("dws.user_daily", "user_raw", "dt", "user_id")
+    bounds("dws.tag_quality_daily", "quality_scaled", coverage_rate=unit)
+    keyed("dws.tag_quality_daily", "quality_scaled", "dt", "tag_name")
+    bounds("ads.kpi_overview_daily", "kpi", ctr=unit, cvr=unit, roi=positive)
+    keyed("ads.kpi_overview_daily", "kpi", "dt")
+    bounds("ads.campaign_ranking_daily", "ranking", ctr=unit, cvr=unit)
+    keyed("ads.campaign_ranking_daily", "ranking", "dt", "campaign_id")
+    keyed("ads.advertiser_dashboard_daily", "dashboard", "dt", "advertiser_id")
+    bounds("ads.tag_effectiveness_daily", "quality_scaled", coverage_rate=unit)
+    keyed("ads.tag_effectiveness_daily", "quality_scaled", "dt", "tag_name")
+    rate = f"CASE WHEN total_rows = 0 AND good THEN 1.0 ELSE {ratio('matching_rows', 'total_rows')} END"
+    return f"SELECT * EXCLUDE (good), {rate} AS rate FROM ({' UNION ALL '.join(rows)})"
+
+
+_VERDICT = """
+    SELECT count(*) = 0 AS passed, count(*) AS failed_checks, coalesce(string_agg(line, chr(10) ORDER BY line), '') AS messages FROM (
+      SELECT 'dws.campaign_daily: ' || name || ': ' || n || ' rows' AS line, n FROM (
+        SELECT 'cost >= 0' AS name, count_if(campaign_id = 'cmp_3' AND -cost - 1 < 0) AS n FROM campaign_rates UNION ALL
+        SELECT 'ctr in [0,1]' AS name, count_if(campaign_id = 'cmp_4' OR ctr NOT BETWEEN 0 AND 1) AS n FROM campaign_rates UNION ALL
+        SELECT 'cvr in [0,1]' AS name, count_if(cvr NOT BETWEEN 0 AND 1) AS n FROM campaign_rates) UNION ALL
+      SELECT 'dwd.ad_event_detail: unique (dt, event_id): ' || n || ' rows' AS line, n FROM (
+        SELECT count(*) AS n FROM (SELECT dt, event_id FROM ev GROUP BY ALL HAVING count(*) > 1))
+    ) WHERE n > 0"""
+
 _DICTIONARY = ", ".join(
     f"('{r.tag_id}', '{r.tag_name}', '{r.tag_type}', '{r.rule_desc}', '{UPDATE_FREQ}')" for r in TAG_RULES
 )
@@ -484,6 +572,20 @@ SELECTS: dict[str, str] = {
               WINDOW o AS (ORDER BY product_cnt DESC, product_id))
         WHERE rank <= 10""",
     "dq_report": _gate_sql(),
+    "dq_landing_losses": f"SELECT *, {ratio('matching_rows', 'total_rows')} AS rate FROM ({_LOSSES})",
+    "dq_build_measures": _measures_sql(),
+    "dq_verdict": _VERDICT,
+    "csv_files": f"""SELECT event_id, CASE WHEN {_turn("event_id", 7)} THEN NULL ELSE {shown_time("event_time")} END AS event_time, dt, user_id, ad_id,
+        CASE WHEN {_turn("event_id", 3)} THEN NULL ELSE is_valid END AS is_valid, ip,
+        CASE WHEN {_turn("event_id", 4)} THEN 'one' ELSE user_agent END AS user_agent, {_turn("event_id", 3, 4)} AS malformed FROM ev""",
+    "catalog_read": "SELECT campaign_id, cost, dt FROM day_cost",
+    "insert_day": f"""SELECT campaign_id, CASE WHEN dt = '{DAY}' THEN cost * 3 ELSE cost END AS cost, dt FROM day_cost
+        WHERE dt <> '{OTHER_DAY}'""",
+    "replace_table": """SELECT *, 'before' AS version FROM slots UNION ALL
+        SELECT * REPLACE (price_factor + 1 AS price_factor), 'after' AS version FROM slots WHERE app <> '0'""",
+    "file_sizing": "SELECT dt, CAST(1 AS BIGINT) AS files, count(*) AS row_cnt, true AS has_bytes FROM day_cost GROUP BY dt",
+    "partition_days": "SELECT source, dt FROM (SELECT DISTINCT dt FROM day_cost), (VALUES ('path'), ('catalog')) s(source)",
+    "first_nonempty_stored": f"SELECT * FROM day_cost WHERE dt = '{DAY}'",
     "dq_nulls": _NULLS,
     "dq_duplicates": "SELECT dt, event_id, count(*) AS row_cnt FROM ev GROUP BY ALL HAVING count(*) > 1",
     "dq_pk_rate": f"""SELECT total_rows, distinct_keys, {ratio("distinct_keys", "total_rows")} AS unique_rate

@@ -176,7 +176,7 @@ def register(name: str, digits: int | None = None):
 # ---------------------------------------------------------------- sources and sinks
 
 
-def _through_csv(layers: Layers, raw: DataFrame, source: str) -> DataFrame:
+def through_csv(layers: Layers, raw: DataFrame, source: str) -> DataFrame:
     """``raw`` as CSV lines in the raw layout of ``source``, read with its schema and given its types; no file is written."""
     layout = T.StructType.fromDDL(CSV_SCHEMAS[source])
     text = []
@@ -194,12 +194,12 @@ def _through_csv(layers: Layers, raw: DataFrame, source: str) -> DataFrame:
     return landing.TYPERS[source](raw.select(F.from_csv(line, CSV_SCHEMAS[source]).alias("c")).select("c.*"))
 
 
-register("land_events")(lambda x: _through_csv(x, x.raw("events"), "ad_event_log"))
-register("land_conversions")(lambda x: _through_csv(x, x.raw("conversions"), "conversion_log"))
-register("land_cost")(lambda x: _through_csv(x, x.raw("cost"), "ad_cost"))
-register("land_user_profile")(lambda x: _through_csv(x, x.raw("users"), "user_profile"))
-register("land_ad_meta")(lambda x: _through_csv(x, x.raw("ads"), "ad_meta"))
-register("land_ad_slot")(lambda x: _through_csv(x, x.raw("slots"), "ad_slot"))
+register("land_events")(lambda x: through_csv(x, x.raw("events"), "ad_event_log"))
+register("land_conversions")(lambda x: through_csv(x, x.raw("conversions"), "conversion_log"))
+register("land_cost")(lambda x: through_csv(x, x.raw("cost"), "ad_cost"))
+register("land_user_profile")(lambda x: through_csv(x, x.raw("users"), "user_profile"))
+register("land_ad_meta")(lambda x: through_csv(x, x.raw("ads"), "ad_meta"))
+register("land_ad_slot")(lambda x: through_csv(x, x.raw("slots"), "ad_slot"))
 
 
 @register("first_nonempty_cost")

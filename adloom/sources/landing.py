@@ -23,7 +23,8 @@ def read_csv(spark: SparkSession, path: str, schema: str, malformed: bool = Fals
     reader = spark.read.option("header", True)
     if malformed:
         schema = f"{schema}, {MALFORMED} string"
-        reader = reader.option("columnNameOfCorruptRecord", MALFORMED)
+        # Without its unused columns a line would not be seen to have too many.
+        reader = reader.option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False)
     try:
         return reader.schema(schema).csv(path)
     except AnalysisException as error:
