@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adloom.functions.ratios import ctr, cvr, roi, rpm
+from adloom.functions.ratios import AMOUNT, ctr, cvr, roi, rpm
 
 COUNTERS = ["impressions", "clicks", "conversions", "gmv_amount", "cost"]
 
@@ -32,7 +32,9 @@ def key_spine(key: str, *facts: DataFrame, drop_null: bool = False) -> DataFrame
     return keys.where(F.col(key).isNotNull()) if drop_null else keys
 
 
-_KINDS = dict(zip(COUNTERS, ["bigint", "bigint", "bigint", "double", "double"]))
+# Counters as they are added up: money is exact. Tables hold it as DOUBLE.
+_KINDS = dict(zip(COUNTERS, ["bigint", "bigint", "bigint", AMOUNT, AMOUNT]))
+_STORED = dict(zip(COUNTERS, ["bigint", "bigint", "bigint", "double", "double"]))
 
 
 def traffic(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
@@ -46,8 +48,8 @@ def traffic(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
 
 # SQL of the counters a fact row contributes to.
 _TRAFFIC = {"impressions": "event_type <=> 'impression'", "clicks": "event_type <=> 'click'"}
-_CONVERSION = {"conversions": "1", "gmv_amount": "coalesce(CAST(gmv_amount AS DOUBLE), 0.0)"}
-_COST = {"cost": "coalesce(CAST(cost AS DOUBLE), 0.0)"}
+_CONVERSION = {"conversions": "1", "gmv_amount": f"coalesce(try_cast(gmv_amount AS {AMOUNT}), 0)"}
+_COST = {"cost": f"coalesce(try_cast(cost AS {AMOUNT}), 0)"}
 
 
 def _counters(fact: DataFrame, keys: list[str], filled: dict[str, str]) -> DataFrame:
@@ -60,8 +62,9 @@ def _sums(*names: str) -> list[Column]:
 
 
 def _with_rates(df: DataFrame) -> DataFrame:
+    """Rates of the exact sums, then the sums in the types of the table."""
     c = F.col
-    return df.withColumns(
+    rated = df.withColumns(
         {
             "ctr": ctr(c("clicks"), c("impressions")),
             "cvr": cvr(c("conversions"), c("clicks")),
@@ -69,6 +72,7 @@ def _with_rates(df: DataFrame) -> DataFrame:
             "roi": roi(c("gmv_amount"), c("cost")),
         }
     )
+    return rated.withColumns({name: c(name).cast(kind) for name, kind in _STORED.items()})
 
 
 def campaign_daily(seen: DataFrame, conversions: DataFrame, cost: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def campaign_daily(seen: DataFrame, conversions: DataFrame, cost: DataFrame) ->
     )
     totals = facts.groupBy(*keys).agg(*_sums(*COUNTERS))
     return _with_rates(
-        totals.selectExpr(*keys, *[f"CAST(if(campaign_id IS NULL, 0, {c}) AS {k}) AS {c}" for c, k in _KINDS.items()])
+        totals.selectExpr(*keys, *[f"if(campaign_id IS NULL, 0, {c}) AS {c}" for c in COUNTERS])
     )
 
 
@@ -128,14 +132,14 @@ def _attributed(seen: DataFrame, conversions: DataFrame | None, cost: DataFrame)
 
     campaign = W.partitionBy("dt", "campaign_id")
     due = F.max("spent").over(campaign) == 1
-    total = F.sum("cost").over(campaign)
+    # Types that leave sixteen digits to a share, where Spark's own would leave six.
+    total = F.sum("cost").over(campaign).try_cast("decimal(24, 6)")
 
     def share(basis: str) -> Column:
         takes_part = _in_map() & (F.col(basis) > 0)
         advertisers = F.count_if(takes_part).over(campaign)
-        return F.when(due & takes_part, total / advertisers).when(
-            due & (advertisers == 0) & (F.col("spent") == 1), total
-        )
+        even = total / F.nullif(advertisers, F.lit(0)).cast("decimal(9, 0)")
+        return F.when(due & takes_part, even).when(due & (advertisers == 0) & (F.col("spent") == 1), total)
 
     shared = cube.withColumns(
         {
@@ -155,13 +159,14 @@ def _attributed(seen: DataFrame, conversions: DataFrame | None, cost: DataFrame)
 
 def advertiser_cost_split(seen: DataFrame, cost: DataFrame) -> DataFrame:
     """Cost per (dt, advertiser); the cost of campaigns without an advertiser is on the NULL advertiser."""
-    return _attributed(seen, None, cost).where(F.col("cost").isNotNull()).select("dt", "advertiser_id", "cost")
+    due = _attributed(seen, None, cost).where(F.col("cost").isNotNull())
+    return due.select("dt", "advertiser_id", F.col("cost").cast("double").alias("cost"))
 
 
 def advertiser_daily(seen: DataFrame, conversions: DataFrame, cost: DataFrame) -> DataFrame:
     """Counters and rates per (dt, advertiser_id); cost is the evenly split campaign cost."""
     known = _attributed(seen, conversions, cost).where(F.col("advertiser_id").isNotNull())
-    return _with_rates(known.withColumn("cost", F.coalesce("cost", F.lit(0.0))))
+    return _with_rates(known.withColumn("cost", F.coalesce("cost", F.lit(0))))
 
 
 def user_daily(seen: DataFrame, conversions: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def _totals() -> list[Column]:
 def kpi_overview(campaign_daily: DataFrame, user_daily: DataFrame) -> DataFrame:
     """One row per day: totals over campaigns, rates of the totals, revenue per active user."""
     totals = campaign_daily.groupBy("dt").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in _COUNTS], F.sum("gmv_amount").alias("gmv"), F.sum("cost").alias("cost")
+        *[F.sum(c).cast("bigint").alias(c) for c in _COUNTS], F.sum(money(F.col("gmv_amount"))).alias("gmv"), F.sum(money(F.col("cost"))).alias("cost")
     )
     active = user_daily.groupBy("dt").agg(F.count(F.lit(1)).alias("active"))
     c = F.col
@@ -37,7 +37,7 @@ def kpi_overview(campaign_daily: DataFrame, user_daily: DataFrame) -> DataFrame:
         rpm(c("gmv"), c("impressions")).alias("rpm"),
         money_ratio(c("gmv"), c("active")).alias("arpu"),
         F.coalesce("active", F.lit(0).cast("bigint")).alias("active_users"),
-        roi(c("gmv"), money(c("cost"))).alias("roi"),
+        roi(c("gmv"), c("cost")).alias("roi"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adloom.functions.ratios import ctr, cvr, safe_ratio, stable_round
+from adloom.functions.ratios import ctr, cvr, money, safe_ratio, stable_round
 from adloom.schemas import TABLES
 from adloom.sources.tables import last_days
 
@@ -126,7 +126,7 @@ _DAY = {
 def _summed() -> dict[str, Column]:
     """What is added up over the window. A day with an impression or a click is an active day."""
     active = (F.col("imp_cnt") > 0) | (F.col("clk_cnt") > 0)
-    values = [F.col("imp_cnt"), F.col("clk_cnt"), F.col("conv_cnt"), F.coalesce("gmv_amount", F.lit(0.0))]
+    values = [F.col("imp_cnt"), F.col("clk_cnt"), F.col("conv_cnt"), F.coalesce(money(F.col("gmv_amount")), F.lit(0))]
     return dict(zip(_SUMMED, [*values, active.cast("int")]))
 
 
@@ -143,6 +143,7 @@ def _with_7d_rates(features: DataFrame) -> DataFrame:
         {
             "feature_7d_ctr": ctr(F.col("feature_7d_clicks"), F.col("feature_7d_impressions")),
             "feature_7d_cvr": cvr(F.col("feature_7d_conversions"), F.col("feature_7d_clicks")),
+            "feature_7d_gmv": F.col("feature_7d_gmv").cast("double"),
         }
     )
 
