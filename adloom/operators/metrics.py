@@ -207,3 +207,23 @@ def user_daily(seen: DataFrame, conversions: DataFrame) -> DataFrame:
     return totals.withColumns(
         {"ctr": ctr(F.col("clk_cnt"), F.col("imp_cnt")), "cvr": cvr(F.col("conv_cnt"), F.col("clk_cnt"))}
     )
+
+
+def day_totals(seen: DataFrame, conversions: DataFrame, cost: DataFrame) -> DataFrame:
+    """Counters over all campaigns, and active users, per day: both from one aggregate by user, so the facts are gone through once.
+
+    A user is active with any event or conversion, also one without campaign; a missing user counts as one. ``active`` and the counters are
+    what summing ``campaign_daily`` and counting ``user_daily`` gives.
+    """
+
+    def counters(fact: DataFrame, user: str, spent: bool, filled: dict[str, str]) -> DataFrame:
+        known = {c: f"if(campaign_id IS NULL, 0, CAST({e} AS {_KINDS[c]}))" for c, e in filled.items()}
+        return _counters(fact, ["dt", f"{user} AS user_id", f"{spent} AS spent"], known)
+
+    facts = stack(
+        counters(seen, "user_id", False, _TRAFFIC),
+        counters(conversions, "user_id", False, _CONVERSION),
+        counters(cost, "CAST(NULL AS STRING)", True, _COST),
+    )
+    per_user = facts.groupBy("dt", "user_id", "spent").agg(*_sums(*COUNTERS))
+    return per_user.groupBy("dt").agg(*_sums(*COUNTERS), F.count_if(~F.col("spent")).alias("active"))

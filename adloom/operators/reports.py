@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adloom.functions.ratios import ctr, cvr, growth_rate, money, money_ratio, roi, rpm, spend_flag, stable_round
+from adloom.operators.metrics import day_totals
 from adloom.sources.tables import last_days, one_day
 
 _COUNTS = ["impressions", "clicks", "conversions"]
@@ -21,23 +22,32 @@ def _totals() -> list[Column]:
 
 
 def kpi_overview(campaign_daily: DataFrame, user_daily: DataFrame) -> DataFrame:
-    """One row per day: totals over campaigns, rates of the totals, revenue per active user."""
+    """One row per day: totals over campaigns, rates of the totals, revenue per active user. From stored daily tables."""
     totals = campaign_daily.groupBy("dt").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in _COUNTS], F.sum(money(F.col("gmv_amount"))).alias("gmv"), F.sum(money(F.col("cost"))).alias("cost")
+        *[F.sum(c).cast("bigint").alias(c) for c in _COUNTS], *[F.sum(money(F.col(c))).alias(c) for c in ("gmv_amount", "cost")]
     )
     active = user_daily.groupBy("dt").agg(F.count(F.lit(1)).alias("active"))
+    return _overview(totals.join(active, "dt", "left"))
+
+
+def kpi_overview_of_facts(seen: DataFrame, conversions: DataFrame, cost: DataFrame) -> DataFrame:
+    """``kpi_overview`` straight from the facts, which are gone through once (see ``metrics.day_totals``)."""
+    return _overview(day_totals(seen, conversions, cost))
+
+
+def _overview(totals: DataFrame) -> DataFrame:
     c = F.col
-    return totals.join(active, "dt", "left").select(
+    return totals.select(
         "dt",
         *_COUNTS,
-        _rounded("gmv"),
+        _rounded("gmv_amount", "gmv"),
         _rounded("cost"),
         ctr(c("clicks"), c("impressions")).alias("ctr"),
         cvr(c("conversions"), c("clicks")).alias("cvr"),
-        rpm(c("gmv"), c("impressions")).alias("rpm"),
-        money_ratio(c("gmv"), c("active")).alias("arpu"),
+        rpm(c("gmv_amount"), c("impressions")).alias("rpm"),
+        money_ratio(c("gmv_amount"), c("active")).alias("arpu"),
         F.coalesce("active", F.lit(0).cast("bigint")).alias("active_users"),
-        roi(c("gmv"), c("cost")).alias("roi"),
+        roi(c("gmv_amount"), c("cost")).alias("roi"),
     )
 
 

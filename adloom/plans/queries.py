@@ -142,7 +142,7 @@ class Layers:
 
     @cached_property
     def overview(self) -> DataFrame:
-        return reports.kpi_overview(self.campaign_daily, self.user_daily)
+        return reports.kpi_overview_of_facts(self.traffic, self.converted, self.day_cost)
 
     @cached_property
     def ranking(self) -> DataFrame:
@@ -157,8 +157,8 @@ class Layers:
         return F.col("event_id").cast("bigint")
 
     @cached_property
-    def hot(self) -> DataFrame:
-        return skew.hot_buckets(self.events, min_share=HOT_SHARE)
+    def hot(self) -> dict[str, int]:
+        return skew.found_buckets(skew.hot_buckets(self.events, min_share=HOT_SHARE))
 
     @cached_property
     def skewed(self) -> DataFrame:

@@ -98,3 +98,17 @@ def test_map_reads_the_facts_once(spark, tmp_path):
     df.collect()
     final = plan(df).split("Initial Plan")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_overview_goes_through_the_facts_once(spark):
+    """Copies of events are removed once, and one exchange by user serves the totals and the active users."""
+    text = plan(Layers(spark, SMALL).overview)
+    # Events and conversions: a window each, with a group limit on both sides of its exchange.
+    assert text.count("WindowGroupLimit") == 4 and "Join" not in text
+
+
+def test_salt_needs_no_join(spark):
+    x = Layers(spark, SMALL)
+    from adloom.operators import skew
+
+    assert "Join" not in plan(skew.campaign_totals_salted(x.events, {"cmp_1": 4, "cmp_2": 2}, distributed=True))
