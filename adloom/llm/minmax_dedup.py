@@ -4,11 +4,15 @@ Of every hash function both the minimum and the maximum over a document's shingl
 values. Bands of six values are hashed to buckets; two sets of similarity 0.8 miss each other in all 48 bands
 with probability 5e-7.
 
-Documents with equal sets form one class, and only classes are compared. A bucket does not emit all its pairs: each class is
-compared with one leader of its buckets first. Where a bucket then still holds several components, its leaders follow, four
-times as many each round, and only pairs across components that were not compared before. So every pair of a bucket is
-either inside one component or has been compared, and a large group of near copies costs about one comparison per
-member.
+Unlike pairs are ruled out while buckets are joined, before anything is written or a text is looked at: first by a sketch of one bit of
+each of 256 values, then by one byte of each of the 288. Two sets of similarity s agree in a bit with probability (1 + s) / 2, in a byte with
+s + (1 - s) / 256; a pair that agrees in fewer than five standard deviations below what the wanted similarity gives is unlike. This misses a
+pair at the limit with probability 6e-7.
+
+Documents with equal sets form one class, and only classes are compared. First each class is compared with one leader: of those in its
+buckets that may be similar, the one that meets most others, such as the original of many near copies. Where a bucket then still holds
+several components, the rest of its pairs follow, those with its next leaders first; only pairs across components that are not
+ruled out and were not compared before. So every pair of a bucket is inside one component, unlike or compared.
 
 Defined cases: a null or blank text has no set and is linked with nothing; rows that repeat an id share its result; a row
 without id can link others but has a null component unless a row with an id is reachable; other columns are ignored.
@@ -17,6 +21,7 @@ without id can link others but has a null component unless a row with an id is r
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +33,12 @@ from adloom.llm import grams
 from adloom.llm.shared import components, keyed, stored, utf8
 
 FUNCTIONS, BANDS, ROWS = 144, 48, 6
-SETS = "k1 long, k2 long, n long, class long, bands array<long>"
+WORDS = 4
+SKETCH = [f"x{i}" for i in range(WORDS)]
+SETS = "k1 long, k2 long, n long, class long, bands array<long>, bytes array<long>, " + ", ".join(f"{x} long" for x in SKETCH)
+# How far below its mean the agreement of a similar pair may be, and how many leaders the rounds across components compare with.
+DEVIATIONS = 5.0
+LEADERS = (8, 1 << 40)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _ODD = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,8 +53,8 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(grams.window_hashes(words, min(size, words.size), min(size, words.size)))
 
 
-def band_keys(items: np.ndarray) -> np.ndarray:
-    """One bucket key per band of the min-max signature."""
+def band_keys(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One bucket key per band of the min-max signature, a byte of each value (eight to a number) and a sketch of one bit of each."""
     low = np.full(FUNCTIONS, np.iinfo(np.uint64).max)
     high = np.zeros(FUNCTIONS, np.uint64)
     for at in range(0, items.size, _CHUNK):
@@ -53,7 +63,9 @@ def band_keys(items: np.ndarray) -> np.ndarray:
         np.maximum(high, image.max(1), out=high)
     signature = grams.mix(np.stack((low, high), 1).reshape(BANDS, ROWS))
     keys = (signature * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    return grams.mix(keys).view(np.int64)
+    bits = (signature.ravel()[: 64 * WORDS] & np.uint64(1)).astype(np.uint8)
+    octets = ((signature.ravel() >> np.uint64(8)) & np.uint64(255)).astype(np.uint8)
+    return grams.mix(keys).view(np.int64), octets.view(np.int64), np.packbits(bits).view(np.int64)
 
 
 def document_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -61,24 +73,44 @@ def document_sets(rows: DataFrame, size: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, classes, bands = [], [], []
+            n, classes, bands, octets, sketches = [], [], [], [], []
             for text in batch.column(2):
                 items = shingles(text.as_py(), size)
                 n.append(items.size)
                 digest = hashlib.blake2b(items.tobytes(), digest_size=8).digest()
                 classes.append(int.from_bytes(digest, "little", signed=True) if items.size else None)
-                bands.append(band_keys(items) if items.size else None)
-            columns = [pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["k1", "k2", "n", "class", "bands"])
+                keys, values, sketch = band_keys(items) if items.size else (None, None, np.zeros(WORDS, np.int64))
+                bands.append(keys)
+                octets.append(values)
+                sketches.append(sketch)
+            columns = [pa.array(n, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, octets))]
+            columns += [pa.array(x) for x in np.array(sketches, np.int64).reshape(-1, WORDS).T]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["k1", "k2", "n", "class", "bands", "bytes", *SKETCH])
 
     return rows.select("k1", "k2", utf8()).mapInArrow(work, SETS)
 
 
-_SIZES = "100 * least({0}, {1}) >= {2} * greatest({0}, {1})"
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether two sets, given by their size and sketch, can have the similarity."""
+    differing = " + ".join(f"bit_count({a}{x} ^ {b}{x})" for x in SKETCH)
+    most = _most_differing(64 * WORDS, (1 + percent / 100) / 2)
+    return F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {differing} <= {most}")
+
 
+def _close(a: str, b: str, percent: int) -> Column:
+    """The same by all values: whether enough of their bytes are equal. The lowest bit of every byte tells whether any of its bits differ."""
+    lowest = 0x0101010101010101
+    folded = f"zip_with({a}, {b}, (x, y) -> x ^ y)"
+    for step in (4, 2, 1):
+        folded = f"transform({folded}, x -> x | shiftrightunsigned(x, {step}))"
+    differing = f"aggregate({folded}, 0, (n, x) -> n + CAST(bit_count(x & {lowest}) AS INT))"
+    share = percent / 100
+    return F.expr(f"{differing} <= {_most_differing(2 * FUNCTIONS, share + (1 - share) / 256)}")
 
-def _similar_sizes(a: str, b: str, percent: int) -> Column:
-    return F.expr(_SIZES.format(a, b, percent))
+
+def _most_differing(values: int, share: float) -> int:
+    """In how many of the values a pair may differ that agrees in each with probability ``share``."""
+    return values - math.floor(values * share - DEVIATIONS * math.sqrt(values * share * (1 - share)))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -104,25 +136,24 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def _mixed(members: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, each with its component and its bands. Stored."""
+    """Members of the buckets that hold several components, each with its component. Stored."""
     placed = members.join(parts.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.select("key", "band", "class", "n", F.coalesce("component", "class").alias("part"))
+    placed = placed.select("key", "class", "n", *SKETCH, "meets", F.coalesce("component", "class").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    return stored(placed.join(mixed, "key").join(classes.select("class", "bands"), "class"), "mixed")
-
-
-def _across(opened: DataFrame, tested: DataFrame, before: int, leaders: int, percent: int) -> DataFrame:
-    """Pairs of members of different components with the leaders number ``before + 1`` to ``leaders``, not yet tested. Stored.
-
-    A pair that meets in several buckets is taken from the first one only.
-    """
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("class"), "class"))
-    heads = opened.withColumn("rank", rank).where(F.col("rank") <= leaders).where(F.col("rank") > before)
-    heads = heads.select("key", F.col("class").alias("v"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("bands").alias("theirs"))
-    earlier = "exists(zip_with(slice(bands, 1, band), slice(theirs, 1, band), (x, y) -> x = y), same -> same)"
-    apart = F.expr(f"part <> other AND {_SIZES.format('n', 'm', percent)} AND NOT {earlier}")
-    met = opened.alias("o").join(heads.alias("h"), (F.col("o.key") == F.col("h.key")) & apart)
-    pairs = met.select(F.least("class", "v").alias("u"), F.greatest("class", "v").alias("v")).distinct()
+    return stored(placed.join(mixed, "key").join(classes.select("class", "bytes"), "class"), "mixed")
+
+
+def _across(opened: DataFrame, tested: DataFrame, leaders: int, percent: int) -> DataFrame:
+    """Pairs of members of different components with the first ``leaders`` of their bucket that may be similar and are not yet
+    tested. Stored."""
+    order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("meets"), F.xxhash64("class"), "class"))
+    heads = opened.withColumn("order", order).where(F.col("order") <= leaders).drop("order", "meets")
+    heads = heads.select("key", *[F.col(c).alias(f"h_{c}") for c in ("class", "n", *SKETCH, "bytes", "part")])
+    # Where all are leaders a pair would be found from both sides.
+    once = F.lit(True) if leaders < LEADERS[-1] else F.expr("class < h_class")
+    apart = F.expr("part <> h_part") & _alike("", "h_", percent) & once & _close("bytes", "h_bytes", percent)
+    met = opened.join(heads, (opened["key"] == heads["key"]) & apart)
+    pairs = met.select(F.least("class", "h_class").alias("u"), F.greatest("class", "h_class").alias("v")).distinct()
     done = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return stored(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
 
@@ -137,36 +168,31 @@ def near_duplicates(
     rows = keyed(docs, id_col, text_col)
     sets = stored(document_sets(rows, size), "sets")
     ids = sets.where("class IS NOT NULL").withColumn("id", F.expr(f"nullif(k1, {-(1 << 63)})"))
-    grouped = ids.groupBy("class").agg(
-        F.min("id").alias("id"), F.min(F.struct("k1", "k2")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")
-    )
+    same = [F.first(c).alias(c) for c in ("n", "bands", "bytes", *SKETCH)]
+    grouped = ids.groupBy("class").agg(F.min("id").alias("id"), F.min(F.struct("k1", "k2")).alias("row"), *same)
     classes = stored(grouped, "classes")
-    banded = classes.select("class", "n", F.posexplode("bands").alias("band", "key"))
-    leader = F.min(F.struct(F.xxhash64("class").alias("h"), "class", "n")).alias("leader")
-    buckets = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), leader).where("c > 1"), "buckets")
-    members = stored(banded.join(buckets, "key"), "members")
+    banded = classes.select("class", "n", *SKETCH, F.explode("bands").alias("key"))
+    buckets = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
+    met = stored(banded.join(buckets, "key"), "met")
+    members = met.join(met.groupBy("class").agg(F.sum(F.col("c") - 1).alias("meets")), "class")
+    leader = F.max(F.struct("meets", F.xxhash64("class").alias("h"), "class", "n", *SKETCH)).alias("leader")
+    members = stored(members, "members")
     wanted = members.select("class").distinct().join(classes.select("class", "row.*"), "class")
     texts = stored(rows.drop("id").join(wanted, ["k1", "k2"]).select("class", "text").dropDuplicates(["class"]), "texts")
 
-    # One comparison per class: with the leader of all its buckets that comes first.
-    near = members.where("class <> leader.class").where(_similar_sizes("n", "leader.n", percent))
-    best = near.groupBy("class").agg(F.min("leader").alias("leader"))
+    # One comparison per class: with the leader of its buckets that meets most others.
+    led = members.join(members.groupBy("key").agg(leader), "key").where("class <> leader.class")
+    best = led.where(_alike("", "leader.", percent)).groupBy("class").agg(F.max("leader").alias("leader"))
     tested = stored(best.select(F.col("class").alias("u"), F.col("leader.class").alias("v")), "pairs")
     links = stored(confirm(tested, texts, size, percent), "links")
-    parts, before, leaders = stored(components(links), "components"), 0, 1
-    while True:
-        opened = _mixed(members.where(F.col("c") > before), parts, classes)
-        fresh = _across(opened, tested, before, leaders, percent)
-        if fresh.isEmpty():
-            if opened.isEmpty():
-                break
-        else:
-            tested = tested.union(fresh)
-            more = stored(confirm(fresh, texts, size, percent), "links")
-            if not more.isEmpty():
-                links = links.union(more)
-                parts = stored(components(links), "components")
-        before, leaders = leaders, leaders * 4
+    parts = stored(components(links), "components")
+    for leaders in LEADERS:
+        fresh = _across(_mixed(members, parts, classes), tested, leaders, percent)
+        tested = tested.union(fresh)
+        more = stored(confirm(fresh, texts, size, percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            parts = stored(components(links), "components")
 
     joined = classes.select("class", "id").join(parts.withColumnRenamed("node", "class"), "class", "left")
     joined = joined.withColumn("component", F.coalesce("component", "class"))

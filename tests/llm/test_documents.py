@@ -282,3 +282,39 @@ def test_sample_frequencies():
 )
 def test_empty_table(none, apply):
     assert apply(none).count() == 0
+
+
+def test_near_copies_of_an_original(spark, same):
+    """Many edited copies of one text, most of them too far from each other, and unlike texts that share most of their words' pairs."""
+    rng = random.Random(21)
+    base = [f"n{rng.randrange(900)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        copy = base.copy()
+        for k in rng.sample(range(200), rng.randrange(1, 16)):
+            copy[k] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(base[: 120 + i] + [f"z{rng.randrange(10**6)}" for _ in range(60)])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minmax_dedup.near_duplicates(docs, size=2)
+    got = found.select("id", "n_shingles", "component_id", "kept").collect()
+    same(got, brute.near(rows, 2))
+
+
+def test_what_is_ruled_out(spark):
+    """The tests by sketch and by bytes keep every similar pair and drop the unlike ones."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        other = words.copy()
+        for k in rng.sample(range(300), 12 if i % 2 else 120):
+            other[k] = "x" + other[k]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = minmax_dedup.document_sets(minmax_dedup.keyed(docs, "doc_id", "text"), 2)
+    a = sets.where("k1 % 2 = 0").select((F.col("k1") + 1).alias("pair"), *[F.col(c).alias(f"a_{c}") for c in ("n", "bytes", *minmax_dedup.SKETCH)])
+    met = sets.withColumnsRenamed({c: f"b_{c}" for c in ("n", "bytes", *minmax_dedup.SKETCH)}).join(a, F.col("k1") == F.col("pair"))
+    told = met.select("k1", minmax_dedup._alike("a_", "b_", 80).alias("sketch"), minmax_dedup._close("a_bytes", "b_bytes", 80).alias("bytes")).collect()
+    assert len(told) == 60
+    assert all(r.sketch and r.bytes for r in told if (r.k1 // 2) % 2) and not any(r.bytes for r in told if not (r.k1 // 2) % 2)
