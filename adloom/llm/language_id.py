@@ -12,7 +12,8 @@ Sums are kept in thousandths as integers, so they do not depend on the order of
 per host; the text itself is never shuffled.
 
 Defined cases: a null text, or one without letters, is ``und`` and not kept; a null host or declaration is no evidence; repeated
-rows count each; without labelled rows every text is ``und``; other columns are ignored.
+rows count each; declared tags count by their primary part (en of en-US); a text of any length is read whole; equal posteriors go to
+the language first in the alphabet; without labelled rows every text is ``und``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from adloom.llm.shared import stored
 
 FIT_ROWS = 2000  # expected number of rows per language that the text model is fitted on
-LEAST_SHARE = 0.002  # of the labelled rows, for a language to be known
+LEAST_ROWS = 5  # declared rows that a language needs to be known, however many others there are
 BUCKETS = 1 << 14
 TEXT_CAP, TEXT_SHARE = 300, 1 / 3
 STRENGTH = 5.0  # rows that the level above counts for
@@ -53,13 +54,16 @@ def trigrams(text: str) -> tuple[np.ndarray, int]:
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(50)).astype(np.int64), int(letter.sum())
 
 
+def primary(column: str) -> Column:
+    """The language of a declared tag such as ``en`` or ``en-US``, in lower case; NULL if it is none."""
+    return F.nullif(F.lower(F.regexp_extract(F.col(column).cast("string"), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1)), F.lit(""))
+
+
 def fit_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of every bucket in each. The sample is chosen by a hash of the text."""
-    rows = labelled.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("text IS NOT NULL AND lang RLIKE '^[a-z]{2,3}$'")
+    rows = labelled.select(primary(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    known = sorted(x for x, n in counts.items() if n >= LEAST_SHARE * total)
+    known = sorted(x for x, n in counts.items() if n >= LEAST_ROWS)
     if not known:
         return [], np.zeros((0, BUCKETS))
     share = F.create_map(*[F.lit(v) for x in known for v in (x, min(1.0, FIT_ROWS / counts[x]))])
@@ -175,14 +179,14 @@ def from_documents(docs: DataFrame, *keys: Column) -> DataFrame:
     """Evidence of documents: their declared language, and the source in place of a host."""
     source = F.col("source").cast("string")
     return docs.select(
-        *keys, F.lower(F.col("lang").cast("string")).alias("declared"), source.alias("host"), source.alias("domain"), F.lit("").alias("suffix"), F.col("text").cast("string").alias("text")
+        *keys, primary("lang").alias("declared"), source.alias("host"), source.alias("domain"), F.lit("").alias("suffix"), F.col("text").cast("string").alias("text")
     )
 
 
 def from_pages(pages: DataFrame, *keys: Column) -> DataFrame:
-    """Evidence of web pages: text of the article (or the page), language of the markup, host, domain and suffix of the address."""
+    """Evidence of web pages: text of all articles (or of the page), language of the markup, host, domain and suffix of the address."""
     html = F.col("html").cast("string")
-    article = F.regexp_extract(html, r"(?is)<(article|main)\b[^>]*>(.*?)</\1>", 2)
+    article = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<(article|main)\b[^>]*>(.*?)</\1>"), F.lit(2)), " ")
     body = F.regexp_replace(F.when(article != "", article).otherwise(html), r"(?is)<(script|style|head|nav)\b[^>]*>.*?</\1>", " ")
     text = F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), "&#?[A-Za-z0-9]+;", " ")
     declared = F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))

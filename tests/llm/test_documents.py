@@ -318,3 +318,24 @@ def test_what_is_ruled_out(spark):
     told = met.select("k1", minmax_dedup._alike("a_", "b_", 80).alias("sketch"), minmax_dedup._close("a_bytes", "b_bytes", 80).alias("bytes")).collect()
     assert len(told) == 60
     assert all(r.sketch and r.bytes for r in told if (r.k1 // 2) % 2) and not any(r.bytes for r in told if not (r.k1 // 2) % 2)
+
+
+def test_rare_languages_and_tags(spark):
+    """A language with few rows beside a hundred times as many others is known; tags count by their primary part."""
+    rng = random.Random(2)
+    english = [" ".join(rng.choice("the of and house river light water people under morning".split()) for _ in range(40)) for _ in range(3000)]
+    swedish = [" ".join(rng.choice("och att det är inte från människor vatten ljus på morgonen".split()) for _ in range(40)) for _ in range(30)]
+    rows = [(i, t, rng.choice(["en", "en-US", "EN_gb"]), "a") for i, t in enumerate(english)] + [(9000 + i, t, "sv", "a") for i, t in enumerate(swedish)]
+    table = spark.createDataFrame([*rows, (1, "x", "not a tag", "a")], "doc_id long, text string, lang string, source string")
+    languages, model = language_id.fit_text_model(table)
+    assert languages == ["en", "sv"]
+    found = language_id.identify(language_id.from_documents(table, F.col("doc_id")), languages, model)
+    assert {r.lang for r in found.where("doc_id >= 9000").collect()} == {"sv"}
+    assert found.where("doc_id < 3000 AND doc_id <> 1 AND lang = 'en' AND kept").count() == 2999
+
+
+def test_all_articles_of_a_page(spark):
+    html = '<html lang="sv-SE"><body><article>one</article><nav>menu</nav><article>two <b>three</b></article></body></html>'
+    pages = spark.createDataFrame([(1, "https://www.example.se/a", html)], "page_id long, url string, html string")
+    row = language_id.from_pages(pages, F.col("page_id")).first()
+    assert row.text.split() == ["one", "two", "three"] and row.declared == "sv"
