@@ -46,10 +46,22 @@ def build_session(
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder path for intermediate tables, where every executor can read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the session's warehouse where that is not set.
 
-    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``, or else in the session's warehouse.
+    A warehouse on the driver's own disk serves only a local session; on a cluster it is refused, as no executor could read back
+    what another has written there.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    master = spark.sparkContext.master
+    if warehouse.startswith("file:") and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is a local one")
+    return warehouse.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path for intermediate tables below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

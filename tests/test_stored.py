@@ -100,3 +100,26 @@ def test_verdict(spark):
 def test_null_counts_of_absent_columns(spark):
     found = quality.null_counts(spark.createDataFrame([(1, None), (2, None)], "a int, b int"), ["a", "b", "c"])
     assert {r.column_name: r.null_rows for r in found.collect()} == {"a": 0, "b": 2, "c": 2}
+
+
+def test_local_warehouse_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from adloom.session import shared_folder
+
+    def session(master, **conf):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d)))
+
+    local = {"spark_sql_warehouse_dir": "file:/here/warehouse/"}
+    assert shared_folder(session("local[8]", **local)) == "file:/here/warehouse"
+    assert shared_folder(session("yarn", **local, spark_checkpoint_dir="s3a://b/c/")) == "s3a://b/c"
+    assert shared_folder(session("yarn", spark_sql_warehouse_dir="hdfs:/w")) == "hdfs:/w"
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(session(master, **local))
+
+
+def test_files_are_sized_by_a_rebalance(spark):
+    df = spark.range(10).selectExpr("CAST(id AS INT) AS a", "'x' AS dt")
+    plan = sinks.sized(df, "dt")._jdf.queryExecution().toString()
+    assert "RebalancePartitions [dt" in plan or "REBALANCE_PARTITIONS_BY_COL" in plan
