@@ -5,16 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NO_ID = -(1 << 63)
-
+from adloom.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is not set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
+NO_ID = -(1 << 63)
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
