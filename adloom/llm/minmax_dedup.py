@@ -4,10 +4,12 @@ Of every hash function both the minimum and the maximum over a document's shingl
 values. Bands of six values are hashed to buckets; two sets of similarity 0.8 miss each other in all 48 bands
 with probability 5e-7.
 
-Unlike pairs are ruled out while buckets are joined, before anything is written or a text is looked at: first by a sketch of one bit of
-each of 256 values, then by one byte of each of the 288. Two sets of similarity s agree in a bit with probability (1 + s) / 2, in a byte with
-s + (1 - s) / 256; a pair that agrees in fewer than five standard deviations below what the wanted similarity gives is unlike. This misses a
-pair at the limit with probability 6e-7.
+Unlike pairs are ruled out while buckets are joined, before anything is written or a text is looked at. First by one bit of each of 256 of
+the values: sets of similarity s agree in a bit with probability (1 + s) / 2, so a pair that agrees in fewer, by five standard
+deviations, than the wanted similarity gives is unlike. Then by the parity of the shingles that fall on each of 2304 places: two sets differ in
+no more places than they have shingles apart, so a pair that differs in more than the wanted similarity allows is unlike for certain; in
+long texts, where several of these fall on one place, five standard deviations above the mean count again. Together this misses
+a pair at the limit with probability 6e-7.
 
 Documents with equal sets form one class, and only classes are compared. First each class is compared with one leader: of those in its
 buckets that may be similar, the one that meets most others, such as the original of many near copies. Where a bucket then still holds
@@ -35,9 +37,10 @@ from adloom.llm.shared import components, keyed, stored, utf8
 FUNCTIONS, BANDS, ROWS = 144, 48, 6
 WORDS = 4
 SKETCH = [f"x{i}" for i in range(WORDS)]
-SETS = "k1 long, k2 long, n long, class long, bands array<long>, bytes array<long>, " + ", ".join(f"{x} long" for x in SKETCH)
+SETS = "k1 long, k2 long, n long, class long, bands array<long>, parity array<long>, " + ", ".join(f"{x} long" for x in SKETCH)
 # How far below its mean the agreement of a similar pair may be, and how many leaders the rounds across components compare with.
 DEVIATIONS = 5.0
+PLACES = 2304
 LEADERS = (8, 1 << 40)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _ODD = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,7 +57,7 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 def band_keys(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One bucket key per band of the min-max signature, a byte of each value (eight to a number) and a sketch of one bit of each."""
+    """One bucket key per band of the min-max signature, the parity of the items on each place, and one bit of each value."""
     low = np.full(FUNCTIONS, np.iinfo(np.uint64).max)
     high = np.zeros(FUNCTIONS, np.uint64)
     for at in range(0, items.size, _CHUNK):
@@ -64,8 +67,9 @@ def band_keys(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     signature = grams.mix(np.stack((low, high), 1).reshape(BANDS, ROWS))
     keys = (signature * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
     bits = (signature.ravel()[: 64 * WORDS] & np.uint64(1)).astype(np.uint8)
-    octets = ((signature.ravel() >> np.uint64(8)) & np.uint64(255)).astype(np.uint8)
-    return grams.mix(keys).view(np.int64), octets.view(np.int64), np.packbits(bits).view(np.int64)
+    places = (grams.mix(items + np.uint64(1)) % np.uint64(PLACES)).astype(np.int64)
+    parity = (np.bincount(places, minlength=PLACES) & 1).astype(np.uint8)
+    return grams.mix(keys).view(np.int64), np.packbits(parity).view(np.int64), np.packbits(bits).view(np.int64)
 
 
 def document_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -73,19 +77,19 @@ def document_sets(rows: DataFrame, size: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, classes, bands, octets, sketches = [], [], [], [], []
+            n, classes, bands, parities, sketches = [], [], [], [], []
             for text in batch.column(2):
                 items = shingles(text.as_py(), size)
                 n.append(items.size)
                 digest = hashlib.blake2b(items.tobytes(), digest_size=8).digest()
                 classes.append(int.from_bytes(digest, "little", signed=True) if items.size else None)
-                keys, values, sketch = band_keys(items) if items.size else (None, None, np.zeros(WORDS, np.int64))
+                keys, parity, sketch = band_keys(items) if items.size else (None, None, np.zeros(WORDS, np.int64))
                 bands.append(keys)
-                octets.append(values)
+                parities.append(parity)
                 sketches.append(sketch)
-            columns = [pa.array(n, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, octets))]
+            columns = [pa.array(n, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, parities))]
             columns += [pa.array(x) for x in np.array(sketches, np.int64).reshape(-1, WORDS).T]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["k1", "k2", "n", "class", "bands", "bytes", *SKETCH])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["k1", "k2", "n", "class", "bands", "parity", *SKETCH])
 
     return rows.select("k1", "k2", utf8()).mapInArrow(work, SETS)
 
@@ -93,24 +97,19 @@ def document_sets(rows: DataFrame, size: int) -> DataFrame:
 def _alike(a: str, b: str, percent: int) -> Column:
     """Whether two sets, given by their size and sketch, can have the similarity."""
     differing = " + ".join(f"bit_count({a}{x} ^ {b}{x})" for x in SKETCH)
-    most = _most_differing(64 * WORDS, (1 + percent / 100) / 2)
-    return F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {differing} <= {most}")
+    bits, share = 64 * WORDS, (1 + percent / 100) / 2
+    least = math.floor(bits * share - DEVIATIONS * math.sqrt(bits * share * (1 - share)))
+    return F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {differing} <= {bits - least}")
 
 
 def _close(a: str, b: str, percent: int) -> Column:
-    """The same by all values: whether enough of their bytes are equal. The lowest bit of every byte tells whether any of its bits differ."""
-    lowest = 0x0101010101010101
-    folded = f"zip_with({a}, {b}, (x, y) -> x ^ y)"
-    for step in (4, 2, 1):
-        folded = f"transform({folded}, x -> x | shiftrightunsigned(x, {step}))"
-    differing = f"aggregate({folded}, 0, (n, x) -> n + CAST(bit_count(x & {lowest}) AS INT))"
-    share = percent / 100
-    return F.expr(f"{differing} <= {_most_differing(2 * FUNCTIONS, share + (1 - share) / 256)}")
-
-
-def _most_differing(values: int, share: float) -> int:
-    """In how many of the values a pair may differ that agrees in each with probability ``share``."""
-    return values - math.floor(values * share - DEVIATIONS * math.sqrt(values * share * (1 - share)))
+    """The same by the places in which two sets differ: at most as many as shingles that only one has."""
+    apart = f"floor(({a}n + {b}n) * {100 - percent} / {100 + percent})"
+    even, both = (f"pow({1 - k / PLACES!r}D, {apart})" for k in (2, 4))
+    mean = f"{PLACES / 2}D * (1 - {even})"
+    spread = f"sqrt(greatest(0, {PLACES / 4}D * (1 - {even} * {even}) + {PLACES * (PLACES - 1) / 4}D * ({both} - {even} * {even})))"
+    differing = f"aggregate(zip_with({a}parity, {b}parity, (x, y) -> x ^ y), 0, (n, x) -> n + CAST(bit_count(x) AS INT))"
+    return F.expr(f"{differing} <= least({apart}, {mean} + {DEVIATIONS} * {spread} + 1)")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -140,7 +139,7 @@ def _mixed(members: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFram
     placed = members.join(parts.withColumnRenamed("node", "class"), "class", "left")
     placed = placed.select("key", "class", "n", *SKETCH, "meets", F.coalesce("component", "class").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    return stored(placed.join(mixed, "key").join(classes.select("class", "bytes"), "class"), "mixed")
+    return stored(placed.join(mixed, "key").join(classes.select("class", "parity"), "class"), "mixed")
 
 
 def _across(opened: DataFrame, tested: DataFrame, leaders: int, percent: int) -> DataFrame:
@@ -148,10 +147,10 @@ def _across(opened: DataFrame, tested: DataFrame, leaders: int, percent: int) ->
     tested. Stored."""
     order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("meets"), F.xxhash64("class"), "class"))
     heads = opened.withColumn("order", order).where(F.col("order") <= leaders).drop("order", "meets")
-    heads = heads.select("key", *[F.col(c).alias(f"h_{c}") for c in ("class", "n", *SKETCH, "bytes", "part")])
+    heads = heads.select("key", *[F.col(c).alias(f"h_{c}") for c in ("class", "n", *SKETCH, "parity", "part")])
     # Where all are leaders a pair would be found from both sides.
     once = F.lit(True) if leaders < LEADERS[-1] else F.expr("class < h_class")
-    apart = F.expr("part <> h_part") & _alike("", "h_", percent) & once & _close("bytes", "h_bytes", percent)
+    apart = F.expr("part <> h_part") & _alike("", "h_", percent) & once & _close("", "h_", percent)
     met = opened.join(heads, (opened["key"] == heads["key"]) & apart)
     pairs = met.select(F.least("class", "h_class").alias("u"), F.greatest("class", "h_class").alias("v")).distinct()
     done = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
@@ -168,7 +167,7 @@ def near_duplicates(
     rows = keyed(docs, id_col, text_col)
     sets = stored(document_sets(rows, size), "sets")
     ids = sets.where("class IS NOT NULL").withColumn("id", F.expr(f"nullif(k1, {-(1 << 63)})"))
-    same = [F.first(c).alias(c) for c in ("n", "bands", "bytes", *SKETCH)]
+    same = [F.first(c).alias(c) for c in ("n", "bands", "parity", *SKETCH)]
     grouped = ids.groupBy("class").agg(F.min("id").alias("id"), F.min(F.struct("k1", "k2")).alias("row"), *same)
     classes = stored(grouped, "classes")
     banded = classes.select("class", "n", *SKETCH, F.explode("bands").alias("key"))

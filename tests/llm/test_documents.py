@@ -302,7 +302,7 @@ def test_near_copies_of_an_original(spark, same):
 
 
 def test_what_is_ruled_out(spark):
-    """The tests by sketch and by bytes keep every similar pair and drop the unlike ones."""
+    """The tests by sketch and by parity keep every similar pair and drop the unlike ones."""
     rng = random.Random(22)
     rows = []
     for i in range(60):
@@ -313,11 +313,11 @@ def test_what_is_ruled_out(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = minmax_dedup.document_sets(minmax_dedup.keyed(docs, "doc_id", "text"), 2)
-    a = sets.where("k1 % 2 = 0").select((F.col("k1") + 1).alias("pair"), *[F.col(c).alias(f"a_{c}") for c in ("n", "bytes", *minmax_dedup.SKETCH)])
-    met = sets.withColumnsRenamed({c: f"b_{c}" for c in ("n", "bytes", *minmax_dedup.SKETCH)}).join(a, F.col("k1") == F.col("pair"))
-    told = met.select("k1", minmax_dedup._alike("a_", "b_", 80).alias("sketch"), minmax_dedup._close("a_bytes", "b_bytes", 80).alias("bytes")).collect()
+    a = sets.where("k1 % 2 = 0").select((F.col("k1") + 1).alias("pair"), *[F.col(c).alias(f"a_{c}") for c in ("n", "parity", *minmax_dedup.SKETCH)])
+    met = sets.withColumnsRenamed({c: f"b_{c}" for c in ("n", "parity", *minmax_dedup.SKETCH)}).join(a, F.col("k1") == F.col("pair"))
+    told = met.select("k1", minmax_dedup._alike("a_", "b_", 80).alias("sketch"), minmax_dedup._close("a_", "b_", 80).alias("parity")).collect()
     assert len(told) == 60
-    assert all(r.sketch and r.bytes for r in told if (r.k1 // 2) % 2) and not any(r.bytes for r in told if not (r.k1 // 2) % 2)
+    assert all(r.sketch and r.parity for r in told if (r.k1 // 2) % 2) and not any(r.parity for r in told if not (r.k1 // 2) % 2)
 
 
 def test_rare_languages_and_tags(spark):
