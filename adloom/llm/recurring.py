@@ -140,6 +140,13 @@ class Shard:
     def __len__(self) -> int:
         return len(self.bodies)
 
+    def part(self, rows: np.ndarray) -> Shard:
+        """The segments of the given numbers."""
+        out = object.__new__(Shard)
+        out.a, out.h, out.n, out.open, out.low, out.high = (x[rows] for x in (self.a, self.h, self.n, self.open, self.low, self.high))
+        out.bodies = [self.bodies[i] for i in rows.tolist()]
+        return out
+
 
 def shards(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[Shard]:
     """Whole (anchor, salt) groups of a sorted stream, gathered up to about ``limit`` bytes; equal segments combined."""

@@ -113,8 +113,39 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
 NAMES = [f.split()[0] for f in SHARD.split(", ")]
 
 
+def _alone(group: recurring.Shard, window: int) -> np.ndarray:
+    """Which segments are the only one of their anchor and repeat nothing within themselves.
+
+    Their windows are equal to none of another segment, so at the least occurrence of the segment nothing is a repeat, and
+    there is nothing to sort. Windows are compared by hash here: a segment with two equal hashes is not among them.
+    """
+    _, anchor, n = np.unique(group.a, return_inverse=True, return_counts=True)
+    alone = (n[anchor] == 1) & ~group.open
+    chosen = np.flatnonzero(alone)
+    if chosen.size:
+        size = np.array([len(group.bodies[i]) for i in chosen.tolist()])
+        data = np.frombuffer(b"".join([group.bodies[i] for i in chosen.tolist()]), np.uint8)
+        windows = group.n[chosen].astype(np.int64)
+        seg = np.repeat(np.arange(chosen.size), windows)
+        offset = np.arange(seg.size) - np.repeat(np.cumsum(windows) - windows, windows)
+        key = grams.window_hashes(data, window)[(np.cumsum(size) - size)[seg] + offset] ^ grams.mix(seg.astype(np.uint64) + np.uint64(1))
+        order = np.argsort(key)
+        twice = order[1:][key[order[1:]] == key[order[:-1]]]
+        alone[chosen[seg[twice]]] = False
+    return alone
+
+
 def _resolve(group: recurring.Shard, window: int) -> Iterator[pa.RecordBatch]:
     """What one shard finds: per segment the repeats at its least occurrence, and of open anchors the first windows."""
+    alone = _alone(group, window)
+    if alone.any():
+        settled, group = group.part(np.flatnonzero(alone)), group.part(np.flatnonzero(~alone))
+        n = len(settled)
+        low = [pa.array(settled.low[:, i]) for i in range(3)]
+        empty = pa.array([[]] * n, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(settled.a), pa.array(settled.h), *low, empty, pa.nulls(n, pa.binary())], NAMES)
+        if not len(group):
+            return
     data = np.frombuffer(b"".join(group.bodies), np.uint8)
     size = np.array([len(b) for b in group.bodies])
     stop = np.cumsum(size)

@@ -23,7 +23,7 @@ def turns() -> list[tuple]:
     for c in range(0, 160):
         length = rng.randrange(0, 6)
         rows += [(c, t, *rng.choice(pool)) for t in range(length)]
-    rows += [(c, t, "user", f"turn {t} of many") for c in range(200, 230) for t in range(c - 198)]
+    rows += [(c, t, "user", f"turn {t} of many") for c in range(200, 210) for t in range(c - 198)]
     rows += [(c, t, "user", f"long {t}") for c in (300, 301, 340) for t in range(120)]
     rows += [(400, None, "system", "first"), (400, 0, "user", "second"), (400, 0, "user", "tie"), (400, 0, "user", "tie")]
     rows += [(-7, 1, "user", "below zero"), (-40, 1, "user", "x y z"), (None, 0, "user", "nobody's"), (500, 0, None, None), (520, 3, "user", "w " * 4000)]
