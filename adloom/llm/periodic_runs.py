@@ -184,6 +184,8 @@ def find_runs(words: np.ndarray, sizes: Sequence[int], shortest: int = 24, expon
             periodic = np.flatnonzero(new)
             candidates.append(np.stack((x[periodic], step[periodic])))
             y = z
+    if not candidates:  # what stands twice begins at no multiple of a block's length: too short for a run
+        return np.zeros((0, 4), np.int64)
     x, period = np.unique(np.concatenate(candidates, 1), axis=1)
     doc = owner[x]
     fits = x + period < ends[doc]

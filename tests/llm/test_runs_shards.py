@@ -44,6 +44,13 @@ def test_runs_of_sequences(shortest):
         assert found(some, shortest) == [(i, *r) for i, s in enumerate(some) for r in brute.runs(s, shortest)]
 
 
+def test_no_block_stands_twice():
+    """Eight words stand twice, but nowhere from a multiple of eight on."""
+    again = [f"w{i}" for i in range(8)]
+    assert found([["a", *again, "b", "c", *again]], 24) == []
+    assert found([[], ["a", *again, "b", "c", *again], ["z"]], 24) == []
+
+
 def test_range_successor():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 1000, 500)
