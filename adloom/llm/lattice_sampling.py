@@ -8,11 +8,11 @@ by that of their parent. What the best node left over would have reached is the
 
 The vocabulary is that of a SentencePiece model; its merge ranks give the pieces Zipf probabilities. A text is cut into units
 before every blank and around every line break; no piece crosses such a cut, so the lattice of a text is the chain of
-its units' lattices, and a batch builds one lattice per distinct unit. Random numbers depend on the row's key only.
+its units' lattices, and a batch builds one lattice per distinct unit, whatever its length. Random numbers depend on the row's
+key only. A batch of documents is worked out at once, up to ``BATCH`` characters; memory follows the longest document.
 
 Defined cases: a null or empty text has one sample without pieces; texts with fewer than k segmentations give all of them;
-characters outside the vocabulary become byte pieces; units are cut after 64 characters; rows with equal id and text get equal
-samples; a null id is a key of its own; other columns are ignored.
+characters outside the vocabulary become byte pieces; rows with equal id and text get equal samples; a null id is a key of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,10 @@ from adloom.llm import grams
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, BREAK = 0x2581, 0x0A
-UNIT, ZIPF = 64, 2.7
+ZIPF = 2.7
 BYTE_LOG = -25.0
-BATCH_UNITS = 1 << 19
+# Characters worked out at once, unless one document is longer.
+BATCH = 1 << 20
 _NEGLIGIBLE = 30.0  # a noise this large has a probability of 1e-13
 SAMPLES = "id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 
@@ -78,15 +80,16 @@ def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     cut[1:] |= points[:-1] == BREAK
     cut[begin[size > 0]] = True
     starts = np.flatnonzero(cut)
-    lengths = np.diff(np.append(starts, points.size))
-    parts = -(-lengths // UNIT)
-    inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts = np.repeat(starts, parts) + inner * UNIT
     ends = np.append(starts[1:], points.size)
     owner = np.searchsorted(begin + size, starts, side="right")
     return points, starts, ends, owner
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in two bytes where they fit: those are sorted by counting."""
+    return x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x
+
+
 class Lattice:
     """Lattices of distinct units: nodes are positions, edges are pieces with their probability given the node."""
 
@@ -123,16 +126,24 @@ class Lattice:
         to.append(node[odd] + 1)
         ids.append(np.where(text[odd] < 0x80, vocabulary["bytes"][np.minimum(text[odd], 0x7F)], -text[odd].astype(np.int64)))
         logs.append(BYTE_LOG * width)
-        frm, to, ids, logs = (np.concatenate(x) for x in (frm, to, ids, logs))
-        order = np.argsort(frm, kind="stable")
-        frm, self.to, self.ids, logs = frm[order], to[order], ids[order], logs[order]
         nodes = int((size + 1).sum())
-        self.first = np.searchsorted(frm, np.arange(nodes + 1))
+        # Each list is sorted by node, so the edges get their places by counting.
+        self.first = np.zeros(nodes + 1, np.int64)
+        for part in frm:
+            self.first[part + 1] += 1
+        np.cumsum(self.first, out=self.first)
+        free, edges = self.first[:-1].copy(), int(self.first[-1])
+        self.to, self.ids, score = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
+        for part in zip(frm, to, ids, logs, strict=True):
+            slot = free[part[0]]
+            free[part[0]] += 1
+            self.to[slot], self.ids[slot], score[slot] = part[1:]
+        frm, logs = np.repeat(np.arange(nodes), np.diff(self.first)), score
         self.start, self.end = base, base + size
         # log of the sum over all ways to the end, from the end backwards
         rest = np.zeros(nodes)
         gap = np.repeat(self.end, size + 1) - np.arange(nodes)
-        distance = gap[frm]
+        distance = _small(gap)[frm]
         by = np.argsort(distance, kind="stable")
         cuts = np.searchsorted(distance[by], np.arange(1, int(gap.max(initial=0)) + 2))
         for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -154,31 +165,44 @@ def _uniform(seed: np.ndarray, draw: int, depth: int) -> np.ndarray:
 
 
 class _Paths:
-    """One path per text: per depth, the units still open there, their node and the edge chosen."""
+    """One path per text: its choices as (unit, node, edge), depth after depth, those of one depth by unit.
+
+    ``cuts`` are the places where the depths begin; ``order`` sorts the choices by text and leaves a text's in this order.
+    """
 
     def __init__(self, lattice: Lattice, kind: np.ndarray, owner: np.ndarray, seed: np.ndarray, draw: int, fixed: dict | None):
-        self.levels = []
+        most = int((lattice.end[kind] - lattice.start[kind]).sum())
+        self.unit, self.node, self.edge = (np.empty(most, np.int64) for _ in range(3))
+        self.cuts = [0]
         unit = np.arange(kind.size)
         node = lattice.start[kind]
         depth = 0
         while unit.size:
-            edge = lattice.first[node].copy()
+            edge = lattice.first[node]
             u = _uniform(seed[unit], draw, depth)
             open_ = np.flatnonzero(u >= lattice.upto[edge])
             while open_.size:
                 edge[open_] += 1
                 open_ = open_[u[open_] >= lattice.upto[edge[open_]]]
             if fixed:
-                level, at, by_text, old = fixed["level"], fixed["unit"], owner[unit], fixed["old"](depth, unit)
-                kept = (depth < level[by_text]) | ((depth == level[by_text]) & (unit < at[by_text]))
-                edge = np.where(kept, old, edge)
+                level, at, by_text = fixed["level"], fixed["unit"], owner[unit]
+                kept = np.flatnonzero((depth < level[by_text]) | ((depth == level[by_text]) & (unit < at[by_text])))
+                if kept.size:
+                    edge[kept] = fixed["old"](depth, unit[kept])
                 swapped = (depth == level[by_text]) & (unit == at[by_text])
                 edge[swapped] = fixed["edge"][by_text[swapped]]
-            self.levels.append((unit, node, edge))
+            lo, hi = self.cuts[-1], self.cuts[-1] + unit.size
+            self.unit[lo:hi], self.node[lo:hi], self.edge[lo:hi] = unit, node, edge
+            self.cuts.append(hi)
             node = lattice.to[edge]
-            more = node < lattice.end[kind[unit]]
+            more = np.flatnonzero(node < lattice.end[kind[unit]])
             unit, node = unit[more], node[more]
             depth += 1
+        self.unit, self.node, self.edge = (x[: self.cuts[-1]].copy() for x in (self.unit, self.node, self.edge))
+        self.depth = np.repeat(np.arange(depth), np.diff(self.cuts))
+        self.text = owner[self.unit]
+        self.order = np.argsort(_small(self.text), kind="stable")
+        self.begin = np.searchsorted(self.text[self.order], np.arange(int(owner.max(initial=-1)) + 2))
 
 
 class _Search:
@@ -193,47 +217,48 @@ class _Search:
         self.first_unit = np.searchsorted(owner, np.arange(self.n))
 
 
-def _alternatives(lattice: Lattice, paths: _Paths, spans: list, search: _Search, draw: int, keep: int, width: int) -> dict[int, list]:
+def _alternatives(lattice: Lattice, paths: _Paths, kind: np.ndarray, search: _Search, draw: int, keep: int, width: int) -> dict[int, list]:
     """The best ``keep`` nodes beside the path of every text: (perturbed, depth, unit, edge, log-probability with the edge).
 
     Nodes far down a path have lost so much probability that their noise cannot make up for it, so the first ``width`` choices
-    of each depth are looked at, and more only for texts where that does not settle the best ones.
+    that are free are looked at, and more only for texts where that does not settle the best ones.
     """
-    parts, cut = [], np.zeros(search.n, bool)
-    alive = np.flatnonzero(search.alive)
-    for depth, (unit, node, edge) in enumerate(paths.levels):
-        lo, hi = spans[depth][alive], spans[depth][alive + 1]
-        after = np.searchsorted(unit, search.unit[alive], side="right")
-        lo = np.where(search.depth[alive] < depth, lo, np.where(search.depth[alive] > depth, hi, np.clip(after, lo, hi)))
-        size = np.minimum(hi - lo, width)
-        # Choices come depth after depth: behind a cut nothing is known any more.
-        size = np.where(cut[alive], 0, size)
-        cut[alive[hi - lo > size]] = True
-        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        parts.append((np.repeat(alive, size), np.full(at.size, depth), unit[at], node[at], edge[at]))
-    if not parts:
+    n = search.n
+    # Free are the choices after the last fixed one.
+    by = paths.text
+    fixed = (paths.depth < search.depth[by]) | ((paths.depth == search.depth[by]) & (paths.unit <= search.unit[by]))
+    begin = np.concatenate((paths.begin, np.full(n + 1 - paths.begin.size, by.size)))
+    lo, hi = begin[:-1] + np.bincount(by[fixed], minlength=n), begin[1:]
+    alive = np.flatnonzero(search.alive & (lo < hi))
+    if not alive.size:
         return {}
-    text, depth, unit, node, edge = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(text, kind="stable")
-    text, depth, unit, node, edge = (x[order] for x in (text, depth, unit, node, edge))
+    size = np.zeros(n, np.int64)
+    size[alive] = np.minimum(hi[alive] - lo[alive], width)
+    cut = size < hi - lo
+    text = np.repeat(np.arange(n), size)
+    begin = np.cumsum(size) - size
+    at = paths.order[np.repeat(lo - begin, size) + np.arange(text.size)]
+    depth, unit, node, edge = (x[at] for x in (paths.depth, paths.unit, paths.node, paths.edge))
     spent = np.concatenate(([0.0], np.cumsum(lattice.log[edge])))
-    begin = np.searchsorted(text, np.arange(search.n + 1))
     before = spent[:-1] - spent[begin[text]] + search.known[text]
-    after_all = spent[begin[1:]] - spent[begin[:-1]] + search.known
+    after_all = spent[begin + size] - spent[begin] + search.known
 
     degree = lattice.first[node + 1] - lattice.first[node]
     choice = np.repeat(np.arange(text.size), degree)
-    other = lattice.first[node][choice] + np.arange(choice.size) - np.repeat(np.cumsum(degree) - degree, degree)
-    beside = other != edge[choice]
-    choice, other = choice[beside], other[beside]
+    index = np.arange(choice.size) - np.repeat(np.cumsum(degree) - degree, degree)
+    other = lattice.first[node][choice] + index
+    beside = np.flatnonzero(other != edge[choice])
+    choice, other, index = choice[beside], other[beside], index[beside]
     whose = text[choice]
     phi = before[choice] + lattice.log[other]
-    spot = (unit[choice] - search.first_unit[whose]).astype(np.uint64) << np.uint64(16) | (other - lattice.first[node[choice]]).astype(np.uint64)
-    noise = -np.log1p(-_uniform(search.seed[whose] + grams.mix(spot), draw + 1000, 0 ) * (1 - 2.0**-53))
+    # The place of the edge: unit of the text, position in the unit, number among the edges there.
+    place = grams.mix((unit - search.first_unit[text]).astype(np.uint64)) + ((node - lattice.start[kind[unit]]).astype(np.uint64) << np.uint64(12))
+    spot = grams.mix(place[choice] + index.astype(np.uint64))
+    noise = -np.log1p(-_uniform(search.seed[whose] + spot, draw + 1000, 0) * (1 - 2.0**-53))
     noise = np.maximum(noise, 1e-300)
     value = phi - np.log(np.exp(np.minimum(phi - search.best[whose], 700.0)) + noise)
     near = value > search.best[whose] - 8
-    near |= (np.bincount(whose[near], minlength=search.n) < keep)[whose]
+    near |= (np.bincount(whose[near], minlength=n) < keep)[whose]
     pick = np.flatnonzero(near)
     pick = pick[np.lexsort((-value[pick], whose[pick]))]
     rank = np.arange(pick.size) - np.searchsorted(whose[pick], whose[pick])
@@ -243,8 +268,8 @@ def _alternatives(lattice: Lattice, paths: _Paths, spans: list, search: _Search,
         found.setdefault(i, []).append(tuple(item))
     unsure = [i for i in np.flatnonzero(cut & search.alive).tolist() if len(found.get(i, ())) < keep or after_all[i] > found[i][-1][0] - _NEGLIGIBLE]
     if unsure:
-        alive_before, search.alive = search.alive, np.isin(np.arange(search.n), unsure)
-        found.update(_alternatives(lattice, paths, spans, search, draw, keep, width * 8))
+        alive_before, search.alive = search.alive, np.isin(np.arange(n), unsure)
+        found.update(_alternatives(lattice, paths, kind, search, draw, keep, width * 8))
         search.alive = alive_before
     return found
 
@@ -264,12 +289,9 @@ def sample_batch(texts: list[str], seeds: list[int], vocabulary: dict, k: int) -
     for draw in range(k):
         paths = _Paths(lattice, kind, owner, seed, draw, fixed)
         rounds.append(paths)
-        spans = [np.searchsorted(owner[level[0]], np.arange(n + 1)) for level in paths.levels]
-        score = np.zeros(n)
-        for unit, _, edge in paths.levels:
-            score += np.bincount(owner[unit], lattice.log[edge], n)
+        score = np.bincount(paths.text, lattice.log[paths.edge], n)
         ids = _ids(lattice, paths, owner, n, vocabulary)
-        beside = _alternatives(lattice, paths, spans, search, draw, k + 1 - draw, 128)
+        beside = _alternatives(lattice, paths, kind, search, draw, k + 1 - draw, 128)
         level, at, swap, source = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for i in np.flatnonzero(search.alive).tolist():
             done[i].append((ids[i], float(score[i]), float(search.best[i])))
@@ -291,28 +313,26 @@ def sample_batch(texts: list[str], seeds: list[int], vocabulary: dict, k: int) -
 
 
 def _recall(rounds: list[_Paths], source: np.ndarray, owner: np.ndarray):
-    """Edges that the units' texts chose in the rounds they descend from."""
+    """Edges that the units' texts chose in the rounds they descend from; those rounds had the choice."""
 
     def old(depth: int, unit: np.ndarray) -> np.ndarray:
         edge = np.zeros(unit.size, np.int64)
+        whence = source[owner[unit]]
         for number, paths in enumerate(rounds):
-            if depth < len(paths.levels):
-                units, _, edges = paths.levels[depth]
-                wanted = np.flatnonzero(source[owner[unit]] == number)
-                spot = np.minimum(np.searchsorted(units, unit[wanted]), max(units.size - 1, 0))
-                edge[wanted] = edges[spot]
+            wanted = np.flatnonzero(whence == number)
+            if wanted.size:
+                lo, hi = paths.cuts[depth], paths.cuts[depth + 1]
+                edge[wanted] = paths.edge[lo + np.searchsorted(paths.unit[lo:hi], unit[wanted])]
         return edge
 
     return old
 
 
 def _ids(lattice: Lattice, paths: _Paths, owner: np.ndarray, n: int, vocabulary: dict) -> list[np.ndarray]:
-    if not paths.levels:
-        return [np.zeros(0, np.int32)] * n
-    unit = np.concatenate([level[0] for level in paths.levels])
-    ids = lattice.ids[np.concatenate([level[2] for level in paths.levels])]
-    order = np.argsort(unit, kind="stable")
-    unit, ids = unit[order], ids[order]
+    length = np.bincount(paths.unit, minlength=owner.size)
+    slot = (np.cumsum(length) - length)[paths.unit] + paths.depth
+    unit, ids = np.repeat(np.arange(owner.size), length), np.empty(slot.size, np.int64)
+    ids[slot] = lattice.ids[paths.edge]
     odd = np.flatnonzero(ids < 0)
     if odd.size:
         raw = [chr(-x).encode("utf-8", "surrogatepass") for x in ids[odd].tolist()]
@@ -342,12 +362,13 @@ def sample_segmentations(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seeds, texts = (c.to_pylist() for c in batch.columns)
-            at, size = 0, 0
-            for i, text in enumerate(texts):
-                size += text.count(" ") + 1
-                if size >= BATCH_UNITS or i + 1 == len(texts):
-                    yield emit(ids[at : i + 1], texts[at : i + 1], seeds[at : i + 1])
-                    at, size = i + 1, 0
+            size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) + 1)
+            at = 0
+            while at < batch.num_rows:
+                done = size[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(size, done + BATCH, side="right")))
+                ids, seeds, texts = (c.to_pylist() for c in batch.slice(at, end - at).columns)
+                yield emit(ids, texts, seeds)
+                at = end
 
     return rows.mapInArrow(work, SAMPLES)

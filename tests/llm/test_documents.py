@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,47 @@ def test_sample_frequencies():
         assert any_of[key] / n == pytest.approx(p + later, abs=0.02)
 
 
+def test_long_units():
+    """A unit of any length is one lattice: pieces stand across every place, and the probabilities are those of the whole unit."""
+    import sentencepiece
+
+    vocabulary = lattice_sampling.load_vocabulary()
+    model = sentencepiece.SentencePieceProcessor(model_file=lattice_sampling.MODEL)
+    logs = {}
+    for _, ids, scores, _ in vocabulary["pieces"].values():
+        logs.update({model.id_to_piece(i): (i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)})
+    text = "thecatison" * 30
+    marked = chr(lattice_sampling.BLANK) + text
+    ways = [0.0]
+    for end in range(1, len(marked) + 1):
+        ends = [ways[a] + logs[marked[a:end]][1] for a in range(max(0, end - 16), end) if marked[a:end] in logs]
+        ways.append(float(np.logaddexp.reduce(ends)))
+    crossed = 0
+    others = ["a cat", "", "thecatison" * 9]
+    for found in lattice_sampling.sample_batch([text, *others] * 20, list(range(80)), vocabulary, 3)[::4]:
+        assert len({tuple(ids.tolist()) for ids, *_ in found}) == 3
+        for ids, score, *_ in found:
+            pieces = [model.id_to_piece(i) for i in ids.tolist()]
+            assert "".join(pieces) == marked
+            assert score == pytest.approx(sum(logs[p][1] for p in pieces) - ways[-1])
+            crossed += 64 not in np.cumsum([len(p) for p in pieces])
+    assert crossed > 0
+
+
+def test_sample_pairs_inside_a_unit():
+    """Samples without replacement of one unit: which two are drawn is as likely as drawing one after the other makes it."""
+    from collections import Counter
+    from math import exp
+
+    vocabulary = lattice_sampling.load_vocabulary()
+    n, pairs, share = 20000, Counter(), {}
+    for samples in lattice_sampling.sample_batch(["thecat"] * n, list(range(n)), vocabulary, 2):
+        pairs[tuple(tuple(ids.tolist()) for ids, *_ in samples)] += 1
+        share.update({tuple(ids.tolist()): exp(score) for ids, score, *_ in samples})
+    for (a, b), seen in pairs.most_common(12):
+        assert seen / n == pytest.approx(share[a] * share[b] / (1 - share[a]), abs=0.012)
+
+
 @pytest.mark.parametrize(
     "apply",
     [
