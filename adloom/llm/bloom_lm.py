@@ -10,7 +10,8 @@ never vanishes. The weight w is fitted on one fold of the training part with the
 the counts of all of it.
 
 The most frequent words (at most ``max_words``) are broadcast with their counts. Every other word, also as a history, is
-joined by its hash, so words and pairs gathered grow with the corpus while what is broadcast does not.
+joined by its hash, so words and pairs gathered grow with the corpus while what is broadcast does not. A row that was counted
+itself needs no join where only items that stand once are left out: what it holds and the broadcast does not, stands once.
 
 Defined cases: a null or blank text is the end token alone; rows equal in id and text are scored and counted each; a null
 id belongs to the training part; without training tokens every probability of the base is one; other columns are ignored.
@@ -160,7 +161,7 @@ OPEN = "array<struct<t:long,h:long,x:long,c:long,b:long,p:long,k:long>>"
 SCORED = f"doc_id long, fold long, n_tokens long, n_known long, base double, model array<double>, open {OPEN}"
 
 
-def _score(docs: DataFrame, words, counts, table, cut: int, least: int, total: float, weights: list[float]) -> DataFrame:
+def _score(docs: DataFrame, words, counts, table, cut: int, least: int, total: float, weights: list[float], counted: bool) -> DataFrame:
     names = ["doc_id", "fold", "n_tokens", "n_known", "base", "model", "open"]
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((words, counts, table))
@@ -169,22 +170,26 @@ def _score(docs: DataFrame, words, counts, table, cut: int, least: int, total: f
         table = shared.value
         for batch in batches:
             at, waiting, size = 0, [], 0
+            inside = counted & (batch.column(1).to_numpy() != HELD_OUT)
             for i, text in enumerate(batch.column(2)):
                 waiting.append(_tokens(text.as_py()))
                 size += waiting[-1].size
                 if size >= _CHUNK or i + 1 == batch.num_rows:
-                    columns = _score_chunk(waiting, *table, cut, least, total, weights)
+                    columns = _score_chunk(waiting, inside[at : i + 1], *table, cut, least, total, weights)
                     yield pa.RecordBatch.from_arrays([*batch.slice(at, len(waiting)).columns[:2], *columns], names)
                     at, waiting, size = i + 1, [], 0
 
     return docs.select("doc_id", "fold", utf8()).mapInArrow(work, SCORED)
 
 
-def _score_chunk(docs: list[np.ndarray], words, counts, table, cut: int, least: int, total: float, weights: list[float]) -> list[pa.Array]:
+def _score_chunk(
+    docs: list[np.ndarray], inside: np.ndarray, words, counts, table, cut: int, least: int, total: float, weights: list[float]
+) -> list[pa.Array]:
     """Columns of ``SCORED`` after the first two; the documents' tokens are worked on end to end.
 
     Each document ends with the end token, which is just what stands before the first token of the next one. Tokens whose
     word, history or pair may be in a table only are left open, equal ones of a document once with their number ``k``.
+    Documents ``inside`` the counts have only words and pairs that were counted: what stands below a threshold of two, stands once.
     """
     tokens, size = np.concatenate(docs), np.array([d.size for d in docs])
     begin = np.cumsum(size) - size
@@ -198,6 +203,12 @@ def _score_chunk(docs: list[np.ndarray], words, counts, table, cut: int, least:
     pairs = _pairs(tokens)
     p = lookup(table, pairs)
     p[p < 1 << (least.bit_length() - 1)] = 0  # less than the filter holds of any pair: found by chance
+    own = inside[doc]
+    if cut == 2:
+        c[own & (c == 0)] = 1
+        before[own & (before == 0)] = 1
+    if least == 2:
+        p[own & (p == 0)] = 1
     share = np.minimum(p, before) / np.maximum(before, 1)
     word_open, history_open = (c == 0) & (cut > 1), (before == 0) & (cut > 1)
     pair_open = (p == 0) & (least > 1) & ((before > 0) | history_open)
@@ -240,9 +251,12 @@ def _threshold(columns: dict[int, int], limit: int) -> int:
 
 
 def _totals(
-    rows: DataFrame, words: DataFrame, pairs: DataFrame, weights: list[float], max_bits: int, max_words: int, bits_per_item: int
+    rows: DataFrame, words: DataFrame, pairs: DataFrame, weights: list[float], max_bits: int, max_words: int, bits_per_item: int, counted: bool
 ) -> tuple[DataFrame, int]:
-    """(doc_id, fold, n_tokens, n_known, base_score, m0, m1, ..) per row, one m per weight; and the tokens counted in ``words``."""
+    """(doc_id, fold, n_tokens, n_known, base_score, m0, m1, ..) per row, one m per weight; and the tokens counted in ``words``.
+
+    ``counted``: the counts are those of all ``rows`` that are not held out.
+    """
     steps = [1, 2, 3, *(2**i for i in range(2, 40))]
     stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *[F.count_if(F.col("c") >= t).alias(f"t{t}") for t in steps]).first()
     total = float(stats["n"] + stats["t1"] + 1)
@@ -259,7 +273,7 @@ def _totals(
     bits = min(max_bits, 1 << (int(need) - 1).bit_length())
     table = build_filter(pairs.where(F.col("c") >= least), bits)
 
-    scored = _score(rows, known, counts, table, cut, least, total, weights).withColumn("row", F.monotonically_increasing_id())
+    scored = _score(rows, known, counts, table, cut, least, total, weights, counted).withColumn("row", F.monotonically_increasing_id())
     scored = stored(scored, "scores")
     models = [F.col("model")[i] for i in range(len(weights))]
     base, n_known = F.col("base"), F.col("n_known")
@@ -307,10 +321,10 @@ def score_documents(
     words, pairs = stored(word_counts(train), "word-counts"), stored(pair_counts(train), "pair-counts")
     limits = (max_bits, max_words, bits_per_item)
     rest = [t.where("m > 0").withColumn("c", F.col("m")) for t in (words, pairs)]
-    tuned, _ = _totals(rows.where(F.col("fold") == TUNING), *rest, WEIGHTS, *limits)
+    tuned, _ = _totals(rows.where(F.col("fold") == TUNING), *rest, WEIGHTS, *limits, False)
     fits = stored(tuned, "tuned").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(WEIGHTS))]).first()
     best = max(range(len(WEIGHTS)), key=lambda i: (fits[f"m{i}"] is not None, fits[f"m{i}"] or 0.0))
-    complete, tokens = _totals(rows, words, pairs, [WEIGHTS[best]], *limits)
+    complete, tokens = _totals(rows, words, pairs, [WEIGHTS[best]], *limits, True)
     return complete.select(
         "doc_id",
         (F.col("fold") == HELD_OUT).alias("held_out"),

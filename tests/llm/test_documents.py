@@ -158,6 +158,31 @@ def test_scores_use_all_counts(spark, sizes):
     assert {i: r.score for i, r in got.items()} == pytest.approx(want, abs=1e-6)
 
 
+def test_counted_rows_need_no_join(spark, monkeypatch):
+    """Where only words and pairs that stand once are not broadcast, rows of the training part leave nothing open."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(f"w{rng.randrange(300) if rng.random() < 0.7 else rng.randrange(10**6)}" for _ in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scores, store = [], bloom_lm.stored
+
+    def kept(df, label):
+        out = store(df, label)
+        if label == "scores":
+            scores.append(out)
+        return out
+
+    full = {r.doc_id: r for r in bloom_lm.score_documents(docs).collect()}
+    monkeypatch.setattr(bloom_lm, "stored", kept)
+    # Words that stand twice fit, and so do pairs, but not all of either.
+    got = bloom_lm.score_documents(docs, max_words=600, bits_per_item=(1 << 28) // 1200).collect()
+    assert len(scores) == 2
+    left = {r.fold == bloom_lm.HELD_OUT: r.n for r in scores[1].groupBy("fold").agg(F.sum(F.size("open")).alias("n")).collect() if r.n}
+    assert set(left) == {True}
+    for r in got:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (full[r.doc_id].n_tokens, full[r.doc_id].n_known, full[r.doc_id].train_tokens)
+        assert r.base_score == pytest.approx(full[r.doc_id].base_score) and r.score == pytest.approx(full[r.doc_id].score, rel=1e-6)
+
+
 def test_filter_counts():
     import numpy as np
 
