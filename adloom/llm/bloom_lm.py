@@ -4,6 +4,7 @@ Word counts are exact. Word pairs are counted over the whole training part, thei
 a pair with count c is stored as the items (pair, 1) .. (pair, 1 + floor(log2 c)) of a blocked Bloom filter. A
 lookup probes level after level until one is missing, which gives the quantised count. The filter is broadcast; it never
 exceeds ``max_bits``: where the pairs need more, the rarest stay in a table and are joined with the same quantised counts.
+The levels that every pair left in the filter has are then not stored, save the last one or two of them, so more pairs fit.
 
 A pair's probability is ``w * pair / history + (1 - w) * word`` with the add-one word probability of the base score, so it
 never vanishes. The weight w is fitted on one fold of the training part with the counts of its other folds; scores then use
@@ -12,6 +13,7 @@ the counts of all of it.
 The most frequent words (at most ``max_words``) are broadcast with their counts. Every other word, also as a history, is
 joined by its hash, so words and pairs gathered grow with the corpus while what is broadcast does not. A row that was counted
 itself needs no join where only items that stand once are left out: what it holds and the broadcast does not, stands once.
+The table of pairs is then joined only as far as held-out rows have them, which is marked as pairs are counted.
 
 Defined cases: a null or blank text is the end token alone; rows equal in id and text are scored and counted each; a null
 id belongs to the training part; without training tokens every probability of the base is one; other columns are ignored.
@@ -20,6 +22,7 @@ id belongs to the training part; without training tokens every probability of th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ WEIGHTS = [0.0, 0.05, 0.15, 0.3, 0.45, 0.6]
 END = 0x5EED
 SLICES, BLOCK_BITS, PROBES = 4096, 512, 6
 _FLUSH = 1 << 21
-_CHUNK = 1 << 18
+GROUP_BITS = 20
 _LEVEL = 0x9FB21C651E98DF25
 
 
@@ -52,42 +55,71 @@ def _pairs(tokens: np.ndarray) -> np.ndarray:
     return grams.mix(before * np.uint64(0xD6E8FEB86659FD93) + tokens)
 
 
-def _counted(docs: DataFrame, make) -> DataFrame:
-    """(item, n): how often ``make(text)`` gives each item; combined in every task before anything is shuffled."""
+def _together(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens of consecutive texts end to end, and how many each text has; texts are taken together up to ``SLICE`` bytes."""
+    at = 0
+    while at < len(texts):
+        end, length = at + 1, len(texts[at]) + 1
+        while end < len(texts) and length + len(texts[end]) < grams.SLICE:
+            length += len(texts[end]) + 1
+            end += 1
+        if end == at + 1:
+            tokens = _tokens(texts[at])
+            yield tokens, np.array([tokens.size])
+        else:
+            data = np.frombuffer(b"\n".join(texts[at:end]).lower(), np.uint8)
+            starts, ends = grams.word_bounds(data)
+            until = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts[at:end]]))
+            yield np.insert(grams.span_hashes(data, starts, ends), until, np.uint64(END)), np.diff(until, prepend=0) + 1
+        at = end
+
+
+def _counted(rows: DataFrame, make) -> DataFrame:
+    """(item, n, m, asked): how often ``make(tokens)`` gives each item in the training part, and in it without the fold the weight
+    is fitted on; and whether a held-out row has the item.
+
+    Combined in every task before anything is shuffled.
+    """
 
-    def flush(parts: list) -> pa.RecordBatch:
-        item, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(item.view(np.int64)), pa.array(n)], ["item", "n"])
+    def flush(parts: list, folds: list) -> pa.RecordBatch:
+        every, fold = np.concatenate(parts), np.concatenate(folds)
+        item, n = np.unique(every, return_counts=True)
+        held, k = np.unique(every[fold == HELD_OUT], return_counts=True)
+        held = np.searchsorted(item, held)
+        n[held] -= k
+        asked = np.zeros(item.size, bool)
+        asked[held] = True
+        without, k = np.unique(every[fold == TUNING], return_counts=True)
+        m = n.copy()
+        m[np.searchsorted(item, without)] -= k
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (item.view(np.int64), n, m, asked)], ["item", "n", "m", "asked"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, folds, size = [], [], 0
         for batch in batches:
-            for text in batch.column(0):
-                parts.append(make(text.as_py()))
-                size += parts[-1].size
+            fold, at = batch.column(0).to_numpy().astype(np.int8), 0
+            for tokens, sizes in _together(batch.column(1).to_pylist()):
+                parts.append(make(tokens))
+                folds.append(np.repeat(fold[at : at + sizes.size], sizes))
+                at, size = at + sizes.size, size + tokens.size
                 if size >= _FLUSH:
-                    yield flush(parts)
-                    parts, size = [], 0
+                    yield flush(parts, folds)
+                    parts, folds, size = [], [], 0
         if parts:
-            yield flush(parts)
-
-    return docs.select(utf8()).mapInArrow(work, "item long, n long")
+            yield flush(parts, folds)
 
-
-def _both(train: DataFrame, make) -> DataFrame:
-    """(item, n, m): counts over all of ``train``, and over it without the fold the weight is fitted on."""
-    rest = _counted(train.where(F.col("fold") != TUNING), make).withColumn("m", F.col("n"))
-    return rest.union(_counted(train.where(F.col("fold") == TUNING), make).withColumn("m", F.lit(0).cast("long")))
+    return rows.select("fold", utf8()).mapInArrow(work, "item long, n long, m long, asked boolean")
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    return _both(train, _tokens).groupBy("item").agg(F.sum("n").alias("c"), F.sum("m").alias("m"))
+    return _counted(train, lambda tokens: tokens).groupBy("item").agg(F.sum("n").alias("c"), F.sum("m").alias("m"))
 
 
-def pair_counts(train: DataFrame) -> DataFrame:
-    """(slice, item, c, m) of all pairs; dealt by the slice of the filter they go to."""
-    dealt = _both(train, lambda text: _pairs(_tokens(text))).withColumn("slice", _slice()).repartition("slice")
-    return dealt.groupBy("slice", "item").agg(F.sum("n").alias("c"), F.sum("m").alias("m"))
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(item, c, m, asked) of all pairs of the training part; dealt by the slice of the filter they go to."""
+    dealt = _counted(rows, _pairs).withColumn("slice", _slice()).repartition("slice")
+    counts = dealt.groupBy("slice", "item").agg(F.sum("n").alias("c"), F.sum("m").alias("m"), F.bool_or("asked").alias("asked"))
+    return counts.where("c > 0").drop("slice")
 
 
 def _slice() -> Column:
@@ -107,8 +139,17 @@ def _levels(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(c)).astype(np.int64)
 
 
-def build_filter(pairs: DataFrame, bits: int) -> np.ndarray:
-    """The filter as bytes. Each slice is built in one task from its own items; the driver lays ``SLICES`` pieces together."""
+def _skipped(least: int) -> int:
+    """Levels left out of a filter of pairs with at least this count, as all have them: one is stored below four, else two."""
+    level = least.bit_length()
+    return max(min(level - 1, 1), level - 2)
+
+
+def build_filter(pairs: DataFrame, bits: int, skipped: int = 0) -> np.ndarray:
+    """The filter as bytes, of the levels above ``skipped``.
+
+    Each slice is built in one task from its own items; the driver lays ``SLICES`` pieces together.
+    """
     size = bits // SLICES // 8
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +165,7 @@ def build_filter(pairs: DataFrame, bits: int) -> np.ndarray:
                     if piece is not None:
                         yield _piece(at, piece)
                     at, piece = where[lo], np.zeros(size * 8, bool)
-                for level in range(1, int(levels[lo:hi].max()) + 1):
+                for level in range(skipped + 1, int(levels[lo:hi].max()) + 1):
                     block, inner = _positions(items[lo:hi][levels[lo:hi] >= level], level, bits)
                     piece[(block + inner).ravel()] = True
         if piece is not None:
@@ -141,12 +182,12 @@ def _piece(at: int, piece: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(at)]), pa.array([np.packbits(piece, bitorder="little").tobytes()])], ["slice", "piece"])
 
 
-def lookup(table: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Quantised count of every item, 0 where it is not in the filter."""
+def lookup(table: np.ndarray, item: np.ndarray, skipped: int = 0) -> np.ndarray:
+    """Quantised count of every item, 0 where it is not in the filter; ``skipped`` as the filter was built."""
     bits = table.size * 8
     base = (item >> np.uint64(52)) * np.uint64(bits // SLICES)
     level = np.zeros(item.size, np.int64)
-    active, step = np.arange(item.size), 1
+    active, step = np.arange(item.size), skipped + 1
     while active.size:
         block, inner = _positions(item[active], step, bits)
         spot = base[active] + block + inner
@@ -164,26 +205,24 @@ SCORED = f"doc_id long, fold long, n_tokens long, n_known long, base double, mod
 def _score(docs: DataFrame, words, counts, table, cut: int, least: int, total: float, weights: list[float], counted: bool) -> DataFrame:
     names = ["doc_id", "fold", "n_tokens", "n_known", "base", "model", "open"]
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((words, counts, table))
+    shared = context.broadcast((words, counts, _groups(words), table))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            at, waiting, size = 0, [], 0
+            at = 0
             inside = counted & (batch.column(1).to_numpy() != HELD_OUT)
-            for i, text in enumerate(batch.column(2)):
-                waiting.append(_tokens(text.as_py()))
-                size += waiting[-1].size
-                if size >= _CHUNK or i + 1 == batch.num_rows:
-                    columns = _score_chunk(waiting, inside[at : i + 1], *table, cut, least, total, weights)
-                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(waiting)).columns[:2], *columns], names)
-                    at, waiting, size = i + 1, [], 0
+            for tokens, size in _together(batch.column(2).to_pylist()):
+                end = at + size.size
+                columns = _score_chunk(tokens, size, inside[at:end], *table, cut, least, total, weights)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, size.size).columns[:2], *columns], names)
+                at = end
 
     return docs.select("doc_id", "fold", utf8()).mapInArrow(work, SCORED)
 
 
 def _score_chunk(
-    docs: list[np.ndarray], inside: np.ndarray, words, counts, table, cut: int, least: int, total: float, weights: list[float]
+    tokens: np.ndarray, size: np.ndarray, inside: np.ndarray, words, counts, first, table, cut: int, least: int, total: float, weights: list[float]
 ) -> list[pa.Array]:
     """Columns of ``SCORED`` after the first two; the documents' tokens are worked on end to end.
 
@@ -191,17 +230,12 @@ def _score_chunk(
     word, history or pair may be in a table only are left open, equal ones of a document once with their number ``k``.
     Documents ``inside`` the counts have only words and pairs that were counted: what stands below a threshold of two, stands once.
     """
-    tokens, size = np.concatenate(docs), np.array([d.size for d in docs])
     begin = np.cumsum(size) - size
     doc = np.repeat(np.arange(size.size), size)
-    if words.size:
-        at = np.minimum(np.searchsorted(words, tokens), words.size - 1)
-        c = np.where(words[at] == tokens, counts[at], 0)
-    else:
-        c = np.zeros(tokens.size, np.int64)
-    before = np.concatenate((_end_count(words, counts), c[:-1]))
+    c = _count_of(tokens, words, counts, first)
+    before = np.concatenate((_count_of(np.array([END], np.uint64), words, counts, first), c[:-1]))
     pairs = _pairs(tokens)
-    p = lookup(table, pairs)
+    p = lookup(table, pairs, _skipped(least))
     p[p < 1 << (least.bit_length() - 1)] = 0  # less than the filter holds of any pair: found by chance
     own = inside[doc]
     if cut == 2:
@@ -240,9 +274,25 @@ def _score_chunk(
     return [pa.array(size), pa.array(known), pa.array(base), flat, pa.ListArray.from_arrays(pa.array(offsets), items)]
 
 
-def _end_count(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(words, np.uint64(END))
-    return counts[at : at + 1] if at < words.size and words[at] == np.uint64(END) else np.zeros(1, np.int64)
+def _groups(words: np.ndarray) -> np.ndarray:
+    """Where the words of each value of the first ``GROUP_BITS`` bits begin in the sorted ``words``."""
+    return np.searchsorted(words >> np.uint64(64 - GROUP_BITS), np.arange((1 << GROUP_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+
+
+def _count_of(tokens: np.ndarray, words: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The count of every token, 0 where it is none of ``words``; only words of its group are looked at."""
+    out = np.zeros(tokens.size, np.int64)
+    group = (tokens >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
+    at, end = first[group], first[group + 1]
+    left = np.flatnonzero(at < end)
+    at, end, wanted = at[left], end[left], tokens[left]
+    while left.size:
+        hit = words[at] == wanted
+        out[left[hit]] = counts[at[hit]]
+        at += 1
+        more = np.flatnonzero(~hit & (at < end))
+        left, at, end, wanted = left[more], at[more], end[more], wanted[more]
+    return out
 
 
 def _threshold(columns: dict[int, int], limit: int) -> int:
@@ -255,7 +305,8 @@ def _totals(
 ) -> tuple[DataFrame, int]:
     """(doc_id, fold, n_tokens, n_known, base_score, m0, m1, ..) per row, one m per weight; and the tokens counted in ``words``.
 
-    ``counted``: the counts are those of all ``rows`` that are not held out.
+    ``counted``: the counts are those of all ``rows`` that are not held out. ``pairs`` are marked as ``asked`` where a row that
+    was not counted has them.
     """
     steps = [1, 2, 3, *(2**i for i in range(2, 40))]
     stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *[F.count_if(F.col("c") >= t).alias(f"t{t}") for t in steps]).first()
@@ -267,11 +318,11 @@ def _totals(
     known, counts = known[order], common.column("c").to_numpy()[order]
 
     level = F.length(F.bin("c"))
-    sizes = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("c") >= t, level)), F.lit(0)).alias(f"t{t}") for t in steps]).first()
+    sizes = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("c") >= t, level - _skipped(t))), F.lit(0)).alias(f"t{t}") for t in steps]).first()
     least = _threshold({t: sizes[f"t{t}"] for t in steps}, max_bits // bits_per_item)
     need = max(sizes[f"t{least}"] * bits_per_item, SLICES * BLOCK_BITS)
     bits = min(max_bits, 1 << (int(need) - 1).bit_length())
-    table = build_filter(pairs.where(F.col("c") >= least), bits)
+    table = build_filter(pairs.where(F.col("c") >= least).withColumn("slice", _slice()), bits, _skipped(least))
 
     scored = _score(rows, known, counts, table, cut, least, total, weights, counted).withColumn("row", F.monotonically_increasing_id())
     scored = stored(scored, "scores")
@@ -280,19 +331,26 @@ def _totals(
     complete = scored
     if cut > 1 or least > 1:
         gone = scored.select("row", F.posexplode("open").alias("i", "o")).select("row", "i", "o.*")
-        kinds = [kind for kind, is_left in (("t", cut > 1), ("h", cut > 1), ("x", least > 1)) if is_left]
-        keys = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).alias("item"))) for k in kinds]))
-        gone = gone.select("row", "i", "c", "b", "p", "k", F.explode(keys).alias("key")).select("row", "i", "c", "b", "p", "k", "key.*")
         quantised = F.expr("shiftleft(1L, length(bin(c)) - 1)")
         rare = words.where(F.col("c") < cut).select("item", F.col("c").alias("n"))
-        tables = {"t": rare, "h": rare, "x": pairs.where(F.col("c") < least).select("item", quantised.alias("n"))}
-        found = [gone.where(F.col("kind") == k).join(tables[k], "item", "left") for k in kinds]
-        every = found[0]
-        for other in found[1:]:
-            every = every.union(other)
-        # What a key stood for was 0 so far; a token can have several keys.
-        values = [F.max(F.greatest(v, F.when(F.col("kind") == k, F.col("n")))).alias(v) for v, k in zip("cbp", "thx", strict=True)]
-        token = every.groupBy("row", "i").agg(*values, F.first("k").alias("k"))
+        below = pairs.where(F.col("c") < least)
+        if least == 2 or not counted:
+            below = below.where("asked")  # of the pairs that stand once, counted rows ask for none
+        tables = {"t": rare, "h": rare, "x": below.select("item", quantised.alias("n"))}
+        lone = F.col("t").isNull() & F.col("h").isNull()
+        tokens = []
+        if least > 1:
+            answered = gone.where(lone).select("row", "c", "b", "p", "k", F.col("x").alias("item")).join(tables["x"], "item", "left")
+            tokens.append(answered.select("row", "c", "b", F.greatest("p", "n").alias("p"), "k"))
+        if cut > 1:
+            kinds = "thx" if least > 1 else "th"
+            keys = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).alias("item"))) for k in kinds]))
+            several = gone.where(~lone).select("row", "i", "c", "b", "p", "k", F.explode(keys).alias("key")).select("row", "i", "c", "b", "p", "k", "key.*")
+            every = reduce(DataFrame.union, [several.where(F.col("kind") == k).join(tables[k], "item", "left") for k in kinds])
+            # What a key stood for was 0 so far; a token can have several keys.
+            values = [F.max(F.greatest(v, F.when(F.col("kind") == k, F.col("n")))).alias(v) for v, k in zip("cbp", "thx", strict=True)]
+            tokens.append(every.groupBy("row", "i").agg(*values, F.first("k").alias("k")).drop("i"))
+        token = reduce(DataFrame.union, tokens)
         word = (F.col("c") + 1) / F.lit(total)
         usable = F.when(F.col("b") > 0, 1.0).otherwise(0.0)
         share = F.least("p", "b") / F.greatest(F.col("b"), F.lit(1))
@@ -318,9 +376,9 @@ def score_documents(
         F.col(id_col).cast("long").alias("doc_id"), _fold(id_col).cast("long").alias("fold"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     train = rows.where(F.col("fold") != HELD_OUT)
-    words, pairs = stored(word_counts(train), "word-counts"), stored(pair_counts(train), "pair-counts")
+    words, pairs = stored(word_counts(train), "word-counts"), stored(pair_counts(rows), "pair-counts")
     limits = (max_bits, max_words, bits_per_item)
-    rest = [t.where("m > 0").withColumn("c", F.col("m")) for t in (words, pairs)]
+    rest = [words.where("m > 0").withColumn("c", F.col("m")), pairs.where("m > 0").select("item", F.col("m").alias("c"), (F.col("c") > F.col("m")).alias("asked"))]
     tuned, _ = _totals(rows.where(F.col("fold") == TUNING), *rest, WEIGHTS, *limits, False)
     fits = stored(tuned, "tuned").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(WEIGHTS))]).first()
     best = max(range(len(WEIGHTS)), key=lambda i: (fits[f"m{i}"] is not None, fits[f"m{i}"] or 0.0))

@@ -183,6 +183,49 @@ def test_counted_rows_need_no_join(spark, monkeypatch):
         assert r.base_score == pytest.approx(full[r.doc_id].base_score) and r.score == pytest.approx(full[r.doc_id].score, rel=1e-6)
 
 
+def test_filter_leaves_out_what_all_have(spark, monkeypatch):
+    """Pairs that stand twice need one item each where those that stand once are left out, so twice as many of them fit."""
+    rng = random.Random(41)
+    # Most pairs stand twice: texts of the training part with a copy, and some of their own.
+    train = [i for i in range(200) if i % 7 != 0][:120]
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(25))) for i in train]
+    rows = [(3 * i + k, text) for i, text in rows for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counted = bloom_lm.stored(docs.select(bloom_lm._fold("doc_id").alias("fold"), "text"), "rows")
+    pairs = bloom_lm.stored(bloom_lm.pair_counts(counted), "pairs")
+    seen = {t: pairs.where(f"c >= {t}").agg(F.count(F.lit(1)), F.sum(F.length(F.bin("c")))).first() for t in (1, 2)}
+    fit = (seen[2][1] + seen[2][1] - seen[2][0]) // 2
+    assert seen[2][1] - seen[2][0] < fit < seen[2][1]
+    scores, store = [], bloom_lm.stored
+    full = {r.doc_id: r for r in bloom_lm.score_documents(docs).collect()}
+    monkeypatch.setattr(bloom_lm, "stored", lambda df, label: scores.append((label, store(df, label))) or scores[-1][1])
+    got = bloom_lm.score_documents(docs, bits_per_item=(1 << 28) // fit).collect()
+    last = [df for label, df in scores if label == "scores"][1]
+    assert last.where(F.col("fold") != bloom_lm.HELD_OUT).agg(F.sum(F.size("open"))).first()[0] == 0
+    assert len(got) == len(full)
+    for r in got:
+        assert r.base_score == pytest.approx(full[r.doc_id].base_score) and r.score == pytest.approx(full[r.doc_id].score, rel=1e-6)
+
+
+def test_tokens_of_many_texts(monkeypatch):
+    """Texts worked on together have the tokens each has alone, wherever the slices end."""
+    rng = random.Random(42)
+    texts = [b"", b"  ", *(b" ".join(rng.choice([b"A", b"bc", "\u00e9".encode(), b"\tLong" * 9]) for _ in range(rng.randrange(30))) for _ in range(60)), b"", b"x" * 700, b""]
+    for size in (40, 300, 1 << 20):
+        monkeypatch.setattr(bloom_lm.grams, "SLICE", size)
+        parts = list(bloom_lm._together(texts))
+        assert np.concatenate([n for _, n in parts]).tolist() == [bloom_lm._tokens(t).size for t in texts]
+        assert (np.concatenate([x for x, _ in parts]) == np.concatenate([bloom_lm._tokens(t) for t in texts])).all()
+
+
+def test_counts_of_words():
+    """Every word is found among others of its group, words that are none have count 0."""
+    few = np.sort(np.array([5, 6, 7, bloom_lm.END, (1 << 63) + 1, (1 << 64) - 1], np.uint64))
+    asked = np.array([7, 8, (1 << 64) - 1, 0, 5, bloom_lm.END, (1 << 63) + 1, 1 << 63], np.uint64)
+    assert bloom_lm._count_of(asked, few, np.arange(1, 7), bloom_lm._groups(few)).tolist() == [3, 0, 6, 0, 1, 4, 5, 0]
+    assert bloom_lm._count_of(asked, few[:0], few[:0].view(np.int64), bloom_lm._groups(few[:0])).tolist() == [0] * 8
+
+
 def test_filter_counts():
     import numpy as np
 
