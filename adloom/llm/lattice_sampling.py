@@ -35,6 +35,7 @@ ZIPF = 2.7
 BYTE_LOG = -25.0
 # Characters worked out at once, unless one document is longer.
 BATCH = 1 << 20
+KEY_BITS = 18
 _NEGLIGIBLE = 30.0  # a noise this large has a probability of 1e-13
 SAMPLES = "id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 
@@ -56,13 +57,10 @@ def load_vocabulary(path: str = MODEL) -> dict:
     tables = {}
     for length, group in by_length.items():
         points = np.concatenate([_points(model.id_to_piece(i)) for i, _ in group])
-        starts = np.arange(len(group)) * length
-        hashes = grams.span_hashes(points, starts, starts + length)
-        order = np.argsort(hashes)
-        ids, scores = np.array([i for i, _ in group]), np.array([s for _, s in group]) - total
-        seen = np.zeros(1 << 16, bool)  # by the first bits: most substrings are no piece and need no search
-        seen[hashes >> np.uint64(48)] = True
-        tables[length] = hashes[order], ids[order], scores[order], seen
+        keys = _keys(grams.prefix(points), _turned(points.size), length)[::length]
+        order = np.argsort(keys)
+        keys, ids, scores = keys[order], np.array([i for i, _ in group])[order], np.array([s for _, s in group])[order] - total
+        tables[length] = keys, ids, scores, _first_of(keys)
     return {"pieces": tables, "bytes": np.array([bytes_at[b] for b in range(256)])}
 
 
@@ -70,6 +68,24 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _turned(n: int) -> np.ndarray:
+    """Factors that make the hash of a span independent of its place, and spread it to the first bits."""
+    return grams._Tables.get(n + 1)[1][:n] * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _keys(sums: np.ndarray, turned: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` code points from every place on; ``sums`` are the prefix sums of the code points."""
+    return (sums[length:] - sums[:-length]) * turned[: max(turned.size - length + 1, 0)]
+
+
+def _first_of(keys: np.ndarray) -> np.ndarray:
+    """Number from 1 of the first of the sorted ``keys`` with each value of the first bits, 0 where there is none."""
+    first = np.zeros(1 << KEY_BITS, np.uint16 if keys.size < 1 << 16 else np.uint32)
+    bits = (keys >> np.uint64(64 - KEY_BITS)).astype(np.int64)[::-1]
+    first[bits] = np.arange(keys.size, 0, -1)
+    return first
+
+
 def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts with blanks marked, start and end of every unit, and the text it belongs to."""
     marked = [chr(BLANK) + t.replace(" ", chr(BLANK)) if t else "" for t in texts]
@@ -90,6 +106,14 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x
 
 
+def _log_sums(logs: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of what each stretch from one ``head`` to the next holds as logarithms."""
+    if logs.size < 64:
+        return np.logaddexp.reduceat(logs, head)
+    most = np.maximum.reduceat(logs, head)
+    return most + np.log(np.add.reduceat(np.exp(logs - np.repeat(most, np.diff(head, append=logs.size))), head))
+
+
 class Lattice:
     """Lattices of distinct units: nodes are positions, edges are pieces with their probability given the node."""
 
@@ -104,15 +128,22 @@ class Lattice:
         frm, to, ids, logs = [], [], [], []
         single = np.zeros(text.size, bool)
         sums = grams.prefix(text)
-        for length, (hashes, piece, score, seen) in sorted(vocabulary["pieces"].items()):
-            at = np.flatnonzero(left >= length)
-            if not at.size:
-                continue
-            h = grams.span_hashes(text, at, at + length, sums=sums)
-            maybe = seen[h >> np.uint64(48)]
-            at, h = at[maybe], h[maybe]
-            spot = np.minimum(np.searchsorted(hashes, h), hashes.size - 1)
-            held = hashes[spot] == h
+        turned = _turned(text.size)
+        for length, (keys, piece, score, first) in sorted(vocabulary["pieces"].items()):
+            if length > text.size:
+                break
+            h = _keys(sums, turned, length)
+            # Most substrings have the first bits of no piece.
+            spot = first[(h >> np.uint64(64 - KEY_BITS)).view(np.int64)]
+            at = np.flatnonzero((spot > 0) & (left[: h.size] >= length))
+            h, spot = h[at], spot[at].astype(np.int64) - 1
+            behind = np.flatnonzero(keys[spot] < h)
+            while behind.size:
+                spot[behind] += 1
+                behind = behind[spot[behind] < keys.size]
+                behind = behind[keys[spot[behind]] < h[behind]]
+            spot = np.minimum(spot, keys.size - 1)
+            held = keys[spot] == h
             at, spot = at[held], spot[held]
             if length == 1:
                 single[at] = True
@@ -148,8 +179,9 @@ class Lattice:
         cuts = np.searchsorted(distance[by], np.arange(1, int(gap.max(initial=0)) + 2))
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             edges = by[lo:hi]
-            head = np.flatnonzero(np.concatenate(([True], frm[edges][1:] != frm[edges][:-1])))
-            rest[frm[edges][head]] = np.logaddexp.reduceat(logs[edges] + rest[self.to[edges]], head)
+            whence = frm[edges]
+            head = np.flatnonzero(np.concatenate(([True], whence[1:] != whence[:-1])))
+            rest[whence[head]] = _log_sums(logs[edges] + rest[self.to[edges]], head)
         self.log = logs + rest[self.to] - rest[frm]
         sums = np.cumsum(np.exp(self.log))
         before = np.concatenate(([0.0], sums))[self.first[frm]]

@@ -335,6 +335,33 @@ def test_sample_frequencies():
         assert any_of[key] / n == pytest.approx(p + later, abs=0.02)
 
 
+def test_lattice_has_every_piece():
+    """The edges of a lattice are the pieces of the vocabulary that stand in the units, also where many share the first bits of their key."""
+    vocabulary = lattice_sampling.load_vocabulary()
+    rng = random.Random(51)
+    text = " ".join("".join(rng.choice("thecationsrund\u00e9\u6f22") for _ in range(rng.randrange(1, 30))) for _ in range(200)) + " the nation's understanding"
+    points, starts, ends, _ = lattice_sampling.units_of([text, "a", ""])
+    want = set()
+    known = {length: {x: i for i, x in zip(ids.tolist(), keys.tolist(), strict=True)} for length, (keys, ids, *_) in vocabulary["pieces"].items()}
+    for n, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        for length, pieces in known.items():
+            for at in range(lo, hi - length + 1):
+                part = points[at : at + length]
+                key = lattice_sampling._keys(lattice_sampling.grams.prefix(part), lattice_sampling._turned(length), length)[0]
+                if int(key) in pieces:
+                    want.add((n, at - lo, length, pieces[int(key)]))
+    assert len({w[2] for w in want}) > 5
+    lattice = lattice_sampling.Lattice(points, starts, ends, vocabulary)
+    node = np.repeat(np.arange(lattice.first.size - 1), np.diff(lattice.first))
+    unit = np.searchsorted(lattice.start, node, side="right") - 1
+    singles = {w[:2] for w in want if w[2] == 1}
+    got = set(zip(unit.tolist(), (node - lattice.start[unit]).tolist(), (lattice.to - node).tolist(), lattice.ids.tolist(), strict=True))
+    assert {g for g in got if g[2] > 1 or g[:2] in singles} == want
+    keys = np.array([1, 2, 3, 1 << 63, (1 << 63) + 9], np.uint64)
+    first = lattice_sampling._first_of(keys)
+    assert first[0] == 1 and first[1 << (lattice_sampling.KEY_BITS - 1)] == 4 and np.count_nonzero(first) == 2
+
+
 def test_long_units():
     """A unit of any length is one lattice: pieces stand across every place, and the probabilities are those of the whole unit."""
     import sentencepiece
