@@ -39,7 +39,9 @@ class Warehouse:
         df = tables.read_table(self.spark, name, self.path(name))
         return df if days is None else df.where(F.col("dt").between(*days))
 
-    def store(self, name: str, df: DataFrame, days: Days = None, losses: Mapping[str, Column] | None = None) -> int:
+    def store(
+        self, name: str, df: DataFrame, days: Days = None, losses: Mapping[str, Column] | None = None, by_size: bool = True
+    ) -> int:
         """Store ``df``; a day of the range ``days`` that it has no rows of becomes empty. Returns the rows written.
 
         The measures of the table (see ``quality.BUILD_CHECKS``) and ``losses`` are counted by the tasks that write.
@@ -49,7 +51,7 @@ class Warehouse:
         wanted = {**{label: c for label, (c, _) in known.items()}, **(losses or {})}
         if table.partitioned:
             listed = tables.days_between(*days) if days else ()
-            counted = sinks.store_days(df, table, self.path(name), listed, wanted)
+            counted = sinks.store_days(df, table, self.path(name), listed, wanted, by_size)
         else:
             counted = sinks.write_whole(df, table, self.path(name), wanted)
         total, held = counted.counts()
@@ -91,7 +93,7 @@ def build_details(warehouse: Warehouse, days: Days = None) -> None:
 
     listed = w.days("ods.ad_event_log", days)
     for name, dimension in (("dwd.dim_user", users), ("dwd.dim_ad", ads), ("dwd.dim_ad_slot", slots)):
-        w.store(name, clean.daily_snapshot(dimension, listed))
+        w.store(name, clean.daily_snapshot(dimension, listed), by_size=False)
 
     before = {r.event_type: r.n for r in events.where(F.col("event_type").isin(*enrich.EVENT_TYPES)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     for kind, detail in (("impression", enrich.impression_detail), ("click", enrich.click_detail)):

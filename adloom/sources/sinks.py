@@ -8,7 +8,7 @@ through that many tasks.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from datetime import date
 from uuid import uuid4
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from adloom.schemas import Table
 from adloom.sources.tables import path_exists
 
+OPEN_DAYS = 64
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -57,10 +59,12 @@ class Counted:
     executor makes it repeat earlier stages. No second look at the data is needed.
     """
 
-    def __init__(self, df: DataFrame, table: Table, measures: Mapping[str, Column] | None = None):
+    def __init__(self, df: DataFrame, table: Table, measures: Mapping[str, Column] | None = None, by_size: bool = True):
         self.names = list(measures or {})
         flags = {f"_holds_{i}": F.coalesce(c, F.lit(False)).cast("tinyint") for i, c in enumerate((measures or {}).values())}
-        rows = sized(conform(df.withColumns(flags), table, *flags), *(["dt"] if table.partitioned else []))
+        rows = conform(df.withColumns(flags), table, *flags)
+        if by_size:
+            rows = sized(rows, *(["dt"] if table.partitioned else []))
         self._seen = Observation()
         counters = [F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in flags]
         self.rows = rows.observe(self._seen, F.count(F.lit(1)).alias("rows"), *counters).drop(*flags)
@@ -133,21 +137,42 @@ def _replacing_days_only(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def _days_side_by_side(spark: SparkSession):
+    """A task keeps the files of up to ``OPEN_DAYS`` days open, so its rows need no sort by day."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(OPEN_DAYS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store_days(
-    df: DataFrame, table: Table, path: str, days: Sequence[str] = (), measures: Mapping[str, Column] | None = None
+    df: DataFrame,
+    table: Table,
+    path: str,
+    days: Sequence[str] = (),
+    measures: Mapping[str, Column] | None = None,
+    by_size: bool = True,
 ) -> Counted:
     """Replace the days present in ``df`` of table ``table``: by catalog name where declared, else by path.
 
     ``days`` are those the result is complete for: the ones it has no rows of are emptied. They are the days whose files
     are the same before and after the write, which the file listing tells without computing anything twice.
+
+    Without ``by_size`` every task writes its rows of all days where they are: for rows that each task has many days of, such
+    as snapshots, whose days would else all go through an exchange.
     """
-    spark, counted = df.sparkSession, Counted(df, table, measures)
+    spark, counted = df.sparkSession, Counted(df, table, measures, by_size)
     before = _day_files(spark, path, days) if days else {}
-    if spark.catalog.tableExists(table.full_name):
-        with _replacing_days_only(spark):
-            counted.rows.write.mode("overwrite").insertInto(table.full_name)
-    else:
-        _write_days(counted.rows, path)
+    with nullcontext() if by_size else _days_side_by_side(spark):
+        if spark.catalog.tableExists(table.full_name):
+            with _replacing_days_only(spark):
+                counted.rows.write.mode("overwrite").insertInto(table.full_name)
+        else:
+            _write_days(counted.rows, path)
     if before:
         after = _day_files(spark, path, days)
         empty_days(spark, table, path, [day for day, file in before.items() if after.get(day) == file])

@@ -226,3 +226,22 @@ def test_rebuilding_a_day_without_rows_empties_it(spark, rows, tmp_path):
     sinks.store_days(both.where("dt = '2024-03-03'"), table, path, days[1:])
     assert rows(spark.read.parquet(path), "dt", "cost")[0][1] == 1.0
     assert spark.read.parquet(path).count() == 1
+
+
+def test_snapshots_without_exchange(spark, tmp_path):
+    """Days of a snapshot are written by the tasks that have the dimension; the session's settings stay as they were."""
+    from adloom.operators import clean
+
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    days = [f"2024-01-{i:02d}" for i in range(1, 31)]
+    raw = spark.range(0, 500, numPartitions=3).selectExpr("concat('s', id) AS ad_slot_id")
+    table = TABLES["dwd.dim_ad_slot"]
+    slots = raw.select(*[F.col(f.name) if f.name == "ad_slot_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+    snapshot = clean.daily_snapshot(slots, days)
+    plan = sinks.Counted(snapshot, table, by_size=False).rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    counted = sinks.store_days(snapshot, table, str(tmp_path / "snapshot"), by_size=False)
+    assert counted.counts()[0] == 15000 and spark.conf.get(key) == before
+    held = spark.read.parquet(str(tmp_path / "snapshot")).groupBy(F.col("dt").cast("string")).agg(F.countDistinct("ad_slot_id").alias("n")).collect()
+    assert len(held) == 30 and {r.n for r in held} == {500}
