@@ -3,8 +3,9 @@
 Word counts are exact. Word pairs are counted over the whole training part, their counts are quantised to powers of two, and
 a pair with count c is stored as the items (pair, 1) .. (pair, 1 + floor(log2 c)) of a blocked Bloom filter. A
 lookup probes level after level until one is missing, which gives the quantised count. The filter is broadcast; it never
-exceeds ``max_bits``: where the pairs need more, the rarest stay in a table and are joined with the same quantised counts.
-The levels that every pair left in the filter has are then not stored, save the last one or two of them, so more pairs fit.
+exceeds ``max_bits``: pairs that stand once are left out of it at any size, and where the others need more, the rarest of them
+too. What is left out stays in a table and is joined with the same quantised counts. The levels that every pair left in the
+filter has are not stored, save the last one or two of them, so more pairs fit.
 
 A pair's probability is ``w * pair / history + (1 - w) * word`` with the add-one word probability of the base score, so it
 never vanishes. The weight w is fitted on one fold of the training part with the counts of its other folds; scores then use
@@ -13,7 +14,10 @@ the counts of all of it.
 The most frequent words (at most ``max_words``) are broadcast with their counts. Every other word, also as a history, is
 joined by its hash, so words and pairs gathered grow with the corpus while what is broadcast does not. A row that was counted
 itself needs no join where only items that stand once are left out: what it holds and the broadcast does not, stands once.
-The table of pairs is then joined only as far as held-out rows have them, which is marked as pairs are counted.
+The table of pairs is then joined only as far as held-out rows have them, which is marked as pairs are counted. A token of which
+only the pair is open is scored without it, and the join gives back pairs that are found only. So what is joined grows as the
+input does, until the filter has no room for all pairs that stand twice; from there on counted rows ask for their rare pairs
+too, each row once for each, which is never more than its tokens.
 
 Defined cases: a null or blank text is the end token alone; rows equal in id and text are scored and counted each; a null
 id belongs to the training part; without training tokens every probability of the base is one; other columns are ignored.
@@ -227,7 +231,8 @@ def _score_chunk(
     """Columns of ``SCORED`` after the first two; the documents' tokens are worked on end to end.
 
     Each document ends with the end token, which is just what stands before the first token of the next one. Tokens whose
-    word, history or pair may be in a table only are left open, equal ones of a document once with their number ``k``.
+    word, history or pair may be in a table only are left open, equal ones of a document once with their number ``k``. Where only
+    the pair is open, the token is scored as if the pair was absent, and its entry serves to add what a pair found is worth.
     Documents ``inside`` the counts have only words and pairs that were counted: what stands below a threshold of two, stands once.
     """
     begin = np.cumsum(size) - size
@@ -245,8 +250,8 @@ def _score_chunk(
         p[own & (p == 0)] = 1
     share = np.minimum(p, before) / np.maximum(before, 1)
     word_open, history_open = (c == 0) & (cut > 1), (before == 0) & (cut > 1)
-    pair_open = (p == 0) & (least > 1) & ((before > 0) | history_open)
-    sure = ~(word_open | history_open | pair_open)
+    pair_open = (p == 0) & ((c > 0) | word_open) & ((before > 0) | history_open)
+    sure = ~(word_open | history_open)
     word = np.log10((c + 1) / total)
     base = np.add.reduceat(np.where(sure, word, 0.0), begin)
     backed = np.add.reduceat((sure & (before > 0)).astype(np.int64), begin)
@@ -257,7 +262,7 @@ def _score_chunk(
         gain = np.log10(w * bonus + (1 - w) * plain) - word[paired] - np.log10(1 - w)
         model[:, i] = base + backed * np.log10(1 - w) + np.bincount(doc[paired], gain, size.size)
     known = np.add.reduceat((sure & (c > 0)).astype(np.int64), begin)
-    rest = np.flatnonzero(~sure)
+    rest = np.flatnonzero(~sure | pair_open)
     rest = rest[np.lexsort((pairs[rest], doc[rest]))]
     new = np.ones(rest.size, bool)
     new[1:] = (pairs[rest][1:] != pairs[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1])
@@ -318,8 +323,9 @@ def _totals(
     known, counts = known[order], common.column("c").to_numpy()[order]
 
     level = F.length(F.bin("c"))
-    sizes = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("c") >= t, level - _skipped(t))), F.lit(0)).alias(f"t{t}") for t in steps]).first()
-    least = _threshold({t: sizes[f"t{t}"] for t in steps}, max_bits // bits_per_item)
+    sizes = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("c") >= t, level - _skipped(t))), F.lit(0)).alias(f"t{t}") for t in steps[1:]]).first()
+    # Pairs that stand once are in no filter, however small the table: counted rows know theirs, so rows asked for grow with the input.
+    least = _threshold({t: sizes[f"t{t}"] for t in steps[1:]}, max_bits // bits_per_item)
     need = max(sizes[f"t{least}"] * bits_per_item, SLICES * BLOCK_BITS)
     bits = min(max_bits, 1 << (int(need) - 1).bit_length())
     table = build_filter(pairs.where(F.col("c") >= least).withColumn("slice", _slice()), bits, _skipped(least))
@@ -328,37 +334,37 @@ def _totals(
     scored = stored(scored, "scores")
     models = [F.col("model")[i] for i in range(len(weights))]
     base, n_known = F.col("base"), F.col("n_known")
-    complete = scored
-    if cut > 1 or least > 1:
-        gone = scored.select("row", F.posexplode("open").alias("i", "o")).select("row", "i", "o.*")
-        quantised = F.expr("shiftleft(1L, length(bin(c)) - 1)")
-        rare = words.where(F.col("c") < cut).select("item", F.col("c").alias("n"))
-        below = pairs.where(F.col("c") < least)
-        if least == 2 or not counted:
-            below = below.where("asked")  # of the pairs that stand once, counted rows ask for none
-        tables = {"t": rare, "h": rare, "x": below.select("item", quantised.alias("n"))}
-        lone = F.col("t").isNull() & F.col("h").isNull()
-        tokens = []
-        if least > 1:
-            answered = gone.where(lone).select("row", "c", "b", "p", "k", F.col("x").alias("item")).join(tables["x"], "item", "left")
-            tokens.append(answered.select("row", "c", "b", F.greatest("p", "n").alias("p"), "k"))
-        if cut > 1:
-            kinds = "thx" if least > 1 else "th"
-            keys = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).alias("item"))) for k in kinds]))
-            several = gone.where(~lone).select("row", "i", "c", "b", "p", "k", F.explode(keys).alias("key")).select("row", "i", "c", "b", "p", "k", "key.*")
-            every = reduce(DataFrame.union, [several.where(F.col("kind") == k).join(tables[k], "item", "left") for k in kinds])
-            # What a key stood for was 0 so far; a token can have several keys.
-            values = [F.max(F.greatest(v, F.when(F.col("kind") == k, F.col("n")))).alias(v) for v, k in zip("cbp", "thx", strict=True)]
-            tokens.append(every.groupBy("row", "i").agg(*values, F.first("k").alias("k")).drop("i"))
-        token = reduce(DataFrame.union, tokens)
-        word = (F.col("c") + 1) / F.lit(total)
-        usable = F.when(F.col("b") > 0, 1.0).otherwise(0.0)
-        share = F.least("p", "b") / F.greatest(F.col("b"), F.lit(1))
-        sums = [F.sum(F.col("k") * F.log10(w * usable * share + (1 - w * usable) * word)).alias(f"w{i}") for i, w in enumerate(weights)]
-        extra = token.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("more"), F.sum(F.col("k") * F.log10(word)).alias("rest"), *sums)
-        complete = scored.drop("open").join(extra, "row", "left")
-        models = [m + F.coalesce(f"w{i}", F.lit(0.0)) for i, m in enumerate(models)]
-        base, n_known = base + F.coalesce("rest", F.lit(0.0)), n_known + F.coalesce("more", F.lit(0))
+    gone = scored.select("row", F.posexplode("open").alias("i", "o")).select("row", "i", "o.*")
+    quantised = F.expr("shiftleft(1L, length(bin(c)) - 1)")
+    rare = words.where(F.col("c") < cut).select("item", F.col("c").alias("n"))
+    below = pairs.where(F.col("c") < least)
+    if least == 2 or not counted:
+        below = below.where("asked")  # of the pairs that stand once, counted rows ask for none
+    tables = {"t": rare, "h": rare, "x": below.select("item", quantised.alias("n"))}
+    word = (F.col("c") + 1) / F.lit(total)
+
+    def with_pair(w: float) -> Column:
+        return F.log10(w * F.least("p", "b") / F.greatest(F.col("b"), F.lit(1)) + (1 - w) * word)
+
+    # Where only the pair is open, words are known and above 0, and the token has been scored without the pair.
+    lone = F.col("t").isNull() & F.col("h").isNull()
+    found = gone.where(lone).select("row", "c", "b", "k", F.col("x").alias("item")).join(tables["x"].withColumnRenamed("n", "p"), "item")
+    gains = [(F.col("k") * (with_pair(w) - F.log10((1 - w) * word))).alias(f"w{i}") for i, w in enumerate(weights)]
+    tokens = found.select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("rest"), *gains)
+    if cut > 1:
+        keys = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).alias("item"))) for k in tables]))
+        several = gone.where(~lone).select("row", "i", "c", "b", "p", "k", F.explode(keys).alias("key")).select("row", "i", "c", "b", "p", "k", "key.*")
+        every = reduce(DataFrame.union, [several.where(F.col("kind") == k).join(tables[k], "item", "left") for k in tables])
+        # What a key stood for was 0 so far; a token can have several keys.
+        values = [F.max(F.greatest(v, F.when(F.col("kind") == k, F.col("n")))).alias(v) for v, k in zip("cbp", tables, strict=True)]
+        token = every.groupBy("row", "i").agg(*values, F.first("k").alias("k"))
+        sums = [(F.col("k") * F.when(F.col("b") > 0, with_pair(w)).otherwise(F.log10(word))).alias(f"w{i}") for i, w in enumerate(weights)]
+        known_now = F.when(F.col("c") > 0, F.col("k")).otherwise(0)
+        tokens = tokens.union(token.select("row", known_now.alias("more"), (F.col("k") * F.log10(word)).alias("rest"), *sums))
+    extra = tokens.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "rest", *(f"w{i}" for i in range(len(weights))))])
+    complete = scored.drop("open").join(extra, "row", "left")
+    models = [m + F.coalesce(f"w{i}", F.lit(0.0)) for i, m in enumerate(models)]
+    base, n_known = base + F.coalesce("rest", F.lit(0.0)), n_known + F.coalesce("more", F.lit(0))
     named = [m.alias(f"m{i}") for i, m in enumerate(models)]
     return complete.select("doc_id", "fold", "n_tokens", n_known.alias("n_known"), base.alias("base_score"), *named), stats["n"]
 

@@ -207,6 +207,49 @@ def test_filter_leaves_out_what_all_have(spark, monkeypatch):
         assert r.base_score == pytest.approx(full[r.doc_id].base_score) and r.score == pytest.approx(full[r.doc_id].score, rel=1e-6)
 
 
+def test_asked_rows_grow_with_the_input(spark, monkeypatch):
+    """Five times the rows ask for about five times the words and pairs, also where all pairs of the smaller table had room in the filter."""
+    rng = random.Random(53)
+    rows = []
+    for i in range(600):
+        w = [rng.randrange(60)]
+        for _ in range(40):
+            w.append((7 * w[-1] + 1) % 60 if rng.random() < 0.6 else rng.randrange(300))
+        rows.append((i, " ".join(f"w{x}" for x in w)))
+    tables = [spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(3) for n in (120, 600)]
+    pairs = [bloom_lm.stored(bloom_lm.pair_counts(t.select(bloom_lm._fold("doc_id").alias("fold"), "text")), "pairs") for t in tables]
+    need = [p.agg(F.sum(F.length(F.bin("c")))).first()[0] for p in pairs]
+    fit = 2 * need[0]
+    assert fit < need[1]
+    store, build, scores, least = bloom_lm.stored, bloom_lm.build_filter, [], []
+    monkeypatch.setattr(bloom_lm, "stored", lambda df, label: scores.append((label, store(df, label))) or scores[-1][1])
+    monkeypatch.setattr(bloom_lm, "build_filter", lambda p, *args: least.append(p.agg(F.min("c")).first()[0]) or build(p, *args))
+    asked = []
+    for table, n in zip(tables, (120, 600), strict=True):
+        scores.clear()
+        weight, want = brute.pair_model(rows[:n], bloom_lm.WEIGHTS)
+        got = bloom_lm.score_documents(table, bits_per_item=(1 << 28) // fit).collect()
+        assert {r.weight for r in got} == {weight} and weight > 0
+        assert {r.doc_id: r.score for r in got} == pytest.approx(want, abs=1e-6)
+        asked.append(sum(df.agg(F.sum(F.size("open"))).first()[0] for label, df in scores if label == "scores"))
+    assert least == [2] * 4
+    assert 0 < asked[1] < 6 * asked[0]
+
+
+def test_pair_alone_is_scored_as_absent():
+    """A held-out token of which only the pair is unknown has its score without the pair at once; what is found is added by the join."""
+    import numpy as np
+
+    tokens = bloom_lm._tokens(b"a b")
+    words, total = np.sort(tokens), 10.0
+    table = np.zeros(bloom_lm.SLICES * bloom_lm.BLOCK_BITS // 8, np.uint8)
+    shared = (words, np.array([3, 3, 3]), bloom_lm._groups(words), table)
+    size, known, base, model, rest = bloom_lm._score_chunk(tokens, np.array([3]), np.array([False]), *shared, 2, 2, total, [0.3])
+    assert (size[0].as_py(), known[0].as_py(), len(rest[0])) == (3, 3, 3)
+    assert base[0].as_py() == pytest.approx(3 * np.log10(0.4)) and model[0].as_py() == pytest.approx([3 * np.log10(0.7 * 0.4)])
+    assert all((o["t"], o["h"], o["p"]) == (None, None, 0) and o["x"] is not None for o in rest[0].as_py())
+
+
 def test_tokens_of_many_texts(monkeypatch):
     """Texts worked on together have the tokens each has alone, wherever the slices end."""
     rng = random.Random(42)
