@@ -8,7 +8,7 @@ by that of their parent. What the best node left over would have reached is the
 
 The vocabulary is that of a SentencePiece model; its merge ranks give the pieces Zipf probabilities. A text is cut into units
 before every blank and around every line break; no piece crosses such a cut, so the lattice of a text is the chain of
-its units' lattices, and a batch builds one lattice per distinct unit, whatever its length. Random numbers depend on the row's
+its units' lattices, and a batch builds one lattice per distinct unit, whatever its length, that no batch of the task before has built. Random numbers depend on the row's
 key only. A batch of documents is worked out at once, up to ``BATCH`` characters; memory follows the longest document.
 
 Defined cases: a null or empty text has one sample without pieces; texts with fewer than k segmentations give all of them;
@@ -36,12 +36,14 @@ BYTE_LOG = -25.0
 # Characters worked out at once, unless one document is longer.
 BATCH = 1 << 20
 KEY_BITS = 18
+# Edges of lattices that a task keeps from one batch to the next; 24 bytes each.
+KEPT = 6 << 20
 _NEGLIGIBLE = 30.0  # a noise this large has a probability of 1e-13
 SAMPLES = "id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 
 
 def load_vocabulary(path: str = MODEL) -> dict:
-    """Hashes, ids and log-probabilities of the pieces by length, and the ids of the byte pieces. At most the model's size."""
+    """Hashes, ids and log-probabilities of the pieces by length, which first bits begin longer ones, and the ids of the byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -54,14 +56,17 @@ def load_vocabulary(path: str = MODEL) -> dict:
         elif not (model.is_control(i) or model.is_unknown(i)) and chr(BLANK) not in piece[1:]:
             by_length.setdefault(len(piece), []).append((i, -math.log(ZIPF - model.get_score(i))))
     total = math.log(sum(math.exp(s) for group in by_length.values() for _, s in group))
-    tables = {}
+    tables, longer = {}, {length: np.zeros(1 << KEY_BITS, bool) for length in range(1, max(by_length))}
     for length, group in by_length.items():
         points = np.concatenate([_points(model.id_to_piece(i)) for i, _ in group])
-        keys = _keys(grams.prefix(points), _turned(points.size), length)[::length]
+        sums, turned = grams.prefix(points), _turned(points.size)
+        for part in range(1, length):
+            longer[part][_bits(_keys(sums, turned, part)[::length])] = True
+        keys = _keys(sums, turned, length)[::length]
         order = np.argsort(keys)
         keys, ids, scores = keys[order], np.array([i for i, _ in group])[order], np.array([s for _, s in group])[order] - total
         tables[length] = keys, ids, scores, _first_of(keys)
-    return {"pieces": tables, "bytes": np.array([bytes_at[b] for b in range(256)])}
+    return {"pieces": tables, "longer": longer, "bytes": np.array([bytes_at[b] for b in range(256)])}
 
 
 def _points(text: str) -> np.ndarray:
@@ -78,11 +83,15 @@ def _keys(sums: np.ndarray, turned: np.ndarray, length: int) -> np.ndarray:
     return (sums[length:] - sums[:-length]) * turned[: max(turned.size - length + 1, 0)]
 
 
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """The first bits of the keys."""
+    return (keys >> np.uint64(64 - KEY_BITS)).view(np.int64)
+
+
 def _first_of(keys: np.ndarray) -> np.ndarray:
     """Number from 1 of the first of the sorted ``keys`` with each value of the first bits, 0 where there is none."""
     first = np.zeros(1 << KEY_BITS, np.uint16 if keys.size < 1 << 16 else np.uint32)
-    bits = (keys >> np.uint64(64 - KEY_BITS)).astype(np.int64)[::-1]
-    first[bits] = np.arange(keys.size, 0, -1)
+    first[_bits(keys)[::-1]] = np.arange(keys.size, 0, -1)
     return first
 
 
@@ -102,14 +111,20 @@ def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _small(x: np.ndarray) -> np.ndarray:
-    """Numbers from 0 in two bytes where they fit: those are sorted by counting."""
-    return x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x
+    """Numbers from 0 in one byte or two where they fit: those are sorted by counting."""
+    most = x.max(initial=0)
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16) if most < 1 << 16 else x
 
 
 def _log_sums(logs: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Logarithm of the sum of what each stretch from one ``head`` to the next holds as logarithms."""
     if logs.size < 64:
         return np.logaddexp.reduceat(logs, head)
+    top = logs.max()
+    sums = np.add.reduceat(np.exp(logs - top), head)
+    if sums.min() > 1e-280:
+        return top + np.log(sums)
+    # Some stretches are too far below the largest logarithm of all, so each is measured by its own.
     most = np.maximum.reduceat(logs, head)
     return most + np.log(np.add.reduceat(np.exp(logs - np.repeat(most, np.diff(head, append=logs.size))), head))
 
@@ -128,15 +143,22 @@ class Lattice:
         frm, to, ids, logs = [], [], [], []
         single = np.zeros(text.size, bool)
         sums = grams.prefix(text)
-        turned = _turned(text.size)
+        # Places where a piece of the length may stand, what is left of their units, and what their keys need.
+        room, turned, before = np.arange(text.size), _turned(text.size), sums[:-1]
+        open_ = np.ones(text.size, bool)
         for length, (keys, piece, score, first) in sorted(vocabulary["pieces"].items()):
-            if length > text.size:
+            fits = np.flatnonzero(open_ & (left >= length))
+            if not fits.size:
                 break
-            h = _keys(sums, turned, length)
+            if fits.size < room.size:
+                room, left, turned, before = room[fits], left[fits], turned[fits], before[fits]
+            h = (sums[room + length] - before) * turned
+            bits = _bits(h)
+            open_ = vocabulary["longer"].get(length, np.zeros(1 << KEY_BITS, bool))[bits]
             # Most substrings have the first bits of no piece.
-            spot = first[(h >> np.uint64(64 - KEY_BITS)).view(np.int64)]
-            at = np.flatnonzero((spot > 0) & (left[: h.size] >= length))
-            h, spot = h[at], spot[at].astype(np.int64) - 1
+            spot = first[bits]
+            at = np.flatnonzero(spot)
+            h, spot, at = h[at], spot[at].astype(np.int64) - 1, room[at]
             behind = np.flatnonzero(keys[spot] < h)
             while behind.size:
                 spot[behind] += 1
@@ -190,6 +212,55 @@ class Lattice:
         self.upto[last] = np.inf
 
 
+class Known:
+    """The lattices of a task's units: one that a batch before had is not built again. Beyond ``kept`` edges all are forgotten."""
+
+    def __init__(self, vocabulary: dict, kept: int = KEPT):
+        self.vocabulary, self.kept = vocabulary, kept
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.units = self.nodes = self.edges = 0
+        self.first = np.zeros(1, np.int64)
+        self.to, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.log, self.upto = np.zeros(0), np.zeros(0)
+        self.start, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def kinds(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of every unit's lattice, which is there from then on."""
+        if self.edges > self.kept:
+            self._forget()
+        hashes, sample, kind = np.unique(grams.span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, hashes)
+        old = at < self.hashes.size
+        old[old] = self.hashes[at[old]] == hashes[old]
+        # By first appearance, so that frequent units stand together.
+        new = np.flatnonzero(~old)
+        new = new[np.argsort(sample[new])]
+        number = np.empty(hashes.size, np.int64)
+        number[old] = self.numbers[at[old]]
+        number[new] = self.units + np.arange(new.size)
+        self._add(Lattice(points, starts[sample[new]], ends[sample[new]], self.vocabulary))
+        self.hashes, self.numbers = (np.insert(x, at[~old], y[~old]) for x, y in ((self.hashes, hashes), (self.numbers, number)))
+        return number[kind]
+
+    def _add(self, part: Lattice) -> None:
+        for name, size, more in (
+            ("first", self.nodes + 1, part.first[1:] + self.edges),
+            *((name, self.units, getattr(part, name) + self.nodes) for name in ("start", "end")),
+            ("to", self.edges, part.to + self.nodes),
+            *((name, self.edges, getattr(part, name)) for name in ("ids", "log", "upto")),
+        ):
+            values = getattr(self, name)
+            if values.size < size + more.size:
+                values = np.empty(max(2 * values.size, size + more.size), values.dtype)
+                values[:size] = getattr(self, name)[:size]
+                setattr(self, name, values)
+            values[size : size + more.size] = more
+        self.units, self.nodes, self.edges = self.units + part.start.size, self.nodes + part.first.size - 1, self.edges + part.to.size
+
+
 def _uniform(seed: np.ndarray, draw: int, depth: int) -> np.ndarray:
     """Numbers in [0, 1) from the seed of each unit, the round and the depth."""
     h = grams.mix(seed + np.uint64(draw * 0x9E3779B97F4A7C15 + depth * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
@@ -202,21 +273,22 @@ class _Paths:
     ``cuts`` are the places where the depths begin; ``order`` sorts the choices by text and leaves a text's in this order.
     """
 
-    def __init__(self, lattice: Lattice, kind: np.ndarray, owner: np.ndarray, seed: np.ndarray, draw: int, fixed: dict | None):
+    def __init__(self, lattice: Known, kind: np.ndarray, owner: np.ndarray, seed: np.ndarray, draw: int, fixed: dict | None):
         most = int((lattice.end[kind] - lattice.start[kind]).sum())
         self.unit, self.node, self.edge = (np.empty(most, np.int64) for _ in range(3))
         self.cuts = [0]
         unit = np.arange(kind.size)
-        node = lattice.start[kind]
+        node, end = lattice.start[kind], lattice.end[kind]
+        deepest = int(fixed["level"].max(initial=-1)) if fixed else -1
         depth = 0
         while unit.size:
             edge = lattice.first[node]
-            u = _uniform(seed[unit], draw, depth)
+            u = _uniform(seed, draw, depth)
             open_ = np.flatnonzero(u >= lattice.upto[edge])
             while open_.size:
                 edge[open_] += 1
                 open_ = open_[u[open_] >= lattice.upto[edge[open_]]]
-            if fixed:
+            if depth <= deepest:
                 level, at, by_text = fixed["level"], fixed["unit"], owner[unit]
                 kept = np.flatnonzero((depth < level[by_text]) | ((depth == level[by_text]) & (unit < at[by_text])))
                 if kept.size:
@@ -227,11 +299,12 @@ class _Paths:
             self.unit[lo:hi], self.node[lo:hi], self.edge[lo:hi] = unit, node, edge
             self.cuts.append(hi)
             node = lattice.to[edge]
-            more = np.flatnonzero(node < lattice.end[kind[unit]])
-            unit, node = unit[more], node[more]
+            more = np.flatnonzero(node < end)
+            unit, node, end, seed = unit[more], node[more], end[more], seed[more]
             depth += 1
         self.unit, self.node, self.edge = (x[: self.cuts[-1]].copy() for x in (self.unit, self.node, self.edge))
         self.depth = np.repeat(np.arange(depth), np.diff(self.cuts))
+        self.log = lattice.log[self.edge]
         self.text = owner[self.unit]
         self.order = np.argsort(_small(self.text), kind="stable")
         self.begin = np.searchsorted(self.text[self.order], np.arange(int(owner.max(initial=-1)) + 2))
@@ -249,43 +322,64 @@ class _Search:
         self.first_unit = np.searchsorted(owner, np.arange(self.n))
 
 
-def _alternatives(lattice: Lattice, paths: _Paths, kind: np.ndarray, search: _Search, draw: int, keep: int, width: int) -> dict[int, list]:
+def _alternatives(lattice: Known, paths: _Paths, kind: np.ndarray, search: _Search, draw: int, keep: int, width: int) -> dict[int, list]:
     """The best ``keep`` nodes beside the path of every text: (perturbed, depth, unit, edge, log-probability with the edge).
 
     Nodes far down a path have lost so much probability that their noise cannot make up for it, so the first ``width`` choices
-    that are free are looked at, and more only for texts where that does not settle the best ones.
+    that are free are looked at, and more only for texts where that does not settle the best ones: as far as the best ones'
+    values are within reach.
     """
     n = search.n
-    # Free are the choices after the last fixed one.
-    by = paths.text
-    fixed = (paths.depth < search.depth[by]) | ((paths.depth == search.depth[by]) & (paths.unit <= search.unit[by]))
-    begin = np.concatenate((paths.begin, np.full(n + 1 - paths.begin.size, by.size)))
+    # Free are the choices after the last fixed one; no fixed one is deeper than the deepest of these.
+    early = slice(paths.cuts[min(int(search.depth.max(initial=0)) + 1, len(paths.cuts) - 1)])
+    by, depth = paths.text[early], paths.depth[early]
+    fixed = (depth < search.depth[by]) | ((depth == search.depth[by]) & (paths.unit[early] <= search.unit[by]))
+    begin = np.concatenate((paths.begin, np.full(n + 1 - paths.begin.size, paths.text.size)))
     lo, hi = begin[:-1] + np.bincount(by[fixed], minlength=n), begin[1:]
-    alive = np.flatnonzero(search.alive & (lo < hi))
-    if not alive.size:
-        return {}
-    size = np.zeros(n, np.int64)
-    size[alive] = np.minimum(hi[alive] - lo[alive], width)
-    cut = size < hi - lo
+    spent = np.concatenate(([0.0], np.cumsum(paths.log[paths.order])))
+    known = search.known - spent[lo]
+    size = np.where(search.alive, np.minimum(hi - lo, width), 0)
+    found = _beside(lattice, paths, kind, search, draw, keep, lo, size, known + spent[lo], np.full(n, -np.inf))
+    least = np.full(n, -np.inf)
+    for i, nodes in found.items():
+        if len(nodes) == keep:
+            least[i] = nodes[-1][0] - _NEGLIGIBLE
+    lo = lo + size
+    unsure = search.alive & (lo < hi) & (known + spent[np.minimum(lo, hi)] > least)
+    if unsure.any():
+        size = np.where(unsure, hi - lo, 0)
+        reach = np.repeat(np.arange(n), size)
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(reach.size)
+        size = np.bincount(reach[spent[at] + known[reach] > least[reach]], minlength=n)
+        for i, nodes in _beside(lattice, paths, kind, search, draw, keep, lo, size, known + spent[lo], least).items():
+            found[i] = sorted(found.get(i, []) + nodes, key=lambda node: -node[0])[:keep]
+    return found
+
+
+def _beside(lattice: Known, paths: _Paths, kind: np.ndarray, search: _Search, draw: int, keep: int, lo: np.ndarray, size: np.ndarray, known: np.ndarray, least: np.ndarray) -> dict[int, list]:
+    """The best ``keep`` nodes beside ``size`` choices of every text's path from place ``lo`` on, of which log-probability is ``known``.
+
+    Nodes with a log-probability below ``least`` are left out.
+    """
+    n = search.n
     text = np.repeat(np.arange(n), size)
     begin = np.cumsum(size) - size
     at = paths.order[np.repeat(lo - begin, size) + np.arange(text.size)]
     depth, unit, node, edge = (x[at] for x in (paths.depth, paths.unit, paths.node, paths.edge))
-    spent = np.concatenate(([0.0], np.cumsum(lattice.log[edge])))
-    before = spent[:-1] - spent[begin[text]] + search.known[text]
-    after_all = spent[begin + size] - spent[begin] + search.known
+    spent = np.concatenate(([0.0], np.cumsum(paths.log[at])))
+    before = spent[:-1] - spent[begin[text]] + known[text]
 
-    degree = lattice.first[node + 1] - lattice.first[node]
+    first = lattice.first[node]
+    degree = lattice.first[node + 1] - first
     choice = np.repeat(np.arange(text.size), degree)
-    index = np.arange(choice.size) - np.repeat(np.cumsum(degree) - degree, degree)
-    other = lattice.first[node][choice] + index
-    beside = np.flatnonzero(other != edge[choice])
-    choice, other, index = choice[beside], other[beside], index[beside]
-    whose = text[choice]
+    other = np.repeat(first - np.cumsum(degree) + degree, degree) + np.arange(choice.size)
     phi = before[choice] + lattice.log[other]
+    beside = np.flatnonzero((other != edge[choice]) & (phi > least[text][choice]))
+    choice, other, phi = choice[beside], other[beside], phi[beside]
+    whose = text[choice]
     # The place of the edge: unit of the text, position in the unit, number among the edges there.
     place = grams.mix((unit - search.first_unit[text]).astype(np.uint64)) + ((node - lattice.start[kind[unit]]).astype(np.uint64) << np.uint64(12))
-    spot = grams.mix(place[choice] + index.astype(np.uint64))
+    spot = grams.mix(place[choice] + (other - first[choice]).astype(np.uint64))
     noise = -np.log1p(-_uniform(search.seed[whose] + spot, draw + 1000, 0) * (1 - 2.0**-53))
     noise = np.maximum(noise, 1e-300)
     value = phi - np.log(np.exp(np.minimum(phi - search.best[whose], 700.0)) + noise)
@@ -298,19 +392,14 @@ def _alternatives(lattice: Lattice, paths: _Paths, kind: np.ndarray, search: _Se
     found: dict[int, list] = {}
     for i, *item in zip(whose[pick].tolist(), value[pick].tolist(), depth[choice[pick]].tolist(), unit[choice[pick]].tolist(), other[pick].tolist(), phi[pick].tolist(), strict=True):
         found.setdefault(i, []).append(tuple(item))
-    unsure = [i for i in np.flatnonzero(cut & search.alive).tolist() if len(found.get(i, ())) < keep or after_all[i] > found[i][-1][0] - _NEGLIGIBLE]
-    if unsure:
-        alive_before, search.alive = search.alive, np.isin(np.arange(n), unsure)
-        found.update(_alternatives(lattice, paths, kind, search, draw, keep, width * 8))
-        search.alive = alive_before
     return found
 
 
-def sample_batch(texts: list[str], seeds: list[int], vocabulary: dict, k: int) -> list[list[tuple]]:
-    """Per text its samples (ids, log_prob, perturbed, inclusion), best first."""
+def sample_batch(texts: list[str], seeds: list[int], vocabulary: dict, k: int, known: Known | None = None) -> list[list[tuple]]:
+    """Per text its samples (ids, log_prob, perturbed, inclusion), best first; ``known`` has the lattices of batches before."""
     points, starts, ends, owner = units_of(texts)
-    _, sample, kind = np.unique(grams.span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-    lattice = Lattice(points, starts[sample], ends[sample], vocabulary)
+    lattice = known or Known(vocabulary)
+    kind = lattice.kinds(points, starts, ends)
     n = len(texts)
     search = _Search(np.array(seeds, np.int64), owner)
     seed = search.seed[owner] + grams.mix((np.arange(owner.size) - search.first_unit[owner]).astype(np.uint64))
@@ -321,7 +410,7 @@ def sample_batch(texts: list[str], seeds: list[int], vocabulary: dict, k: int) -
     for draw in range(k):
         paths = _Paths(lattice, kind, owner, seed, draw, fixed)
         rounds.append(paths)
-        score = np.bincount(paths.text, lattice.log[paths.edge], n)
+        score = np.bincount(paths.text, paths.log, n)
         ids = _ids(lattice, paths, owner, n, vocabulary)
         beside = _alternatives(lattice, paths, kind, search, draw, k + 1 - draw, 128)
         level, at, swap, source = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -360,7 +449,7 @@ def _recall(rounds: list[_Paths], source: np.ndarray, owner: np.ndarray):
     return old
 
 
-def _ids(lattice: Lattice, paths: _Paths, owner: np.ndarray, n: int, vocabulary: dict) -> list[np.ndarray]:
+def _ids(lattice: Known, paths: _Paths, owner: np.ndarray, n: int, vocabulary: dict) -> list[np.ndarray]:
     length = np.bincount(paths.unit, minlength=owner.size)
     slot = (np.cumsum(length) - length)[paths.unit] + paths.depth
     unit, ids = np.repeat(np.arange(owner.size), length), np.empty(slot.size, np.int64)
@@ -385,14 +474,15 @@ def sample_segmentations(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("seed"), text.alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
-    def emit(ids: list, texts: list, seeds: list) -> pa.RecordBatch:
-        found = sample_batch(texts, seeds, shared.value, k)
+    def emit(ids: list, texts: list, seeds: list, known: Known) -> pa.RecordBatch:
+        found = sample_batch(texts, seeds, shared.value, k, known)
         flat = [(i, number, *s) for i, samples in zip(ids, found, strict=True) for number, s in enumerate(samples)]
         columns = list(zip(*flat, strict=True))
         kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.float64()] * 3]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in SAMPLES.split(", ")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(shared.value)
         for batch in batches:
             size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) + 1)
             at = 0
@@ -400,7 +490,7 @@ def sample_segmentations(
                 done = size[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(size, done + BATCH, side="right")))
                 ids, seeds, texts = (c.to_pylist() for c in batch.slice(at, end - at).columns)
-                yield emit(ids, texts, seeds)
+                yield emit(ids, texts, seeds, known)
                 at = end
 
     return rows.mapInArrow(work, SAMPLES)

@@ -405,6 +405,59 @@ def test_lattice_has_every_piece():
     assert first[0] == 1 and first[1 << (lattice_sampling.KEY_BITS - 1)] == 4 and np.count_nonzero(first) == 2
 
 
+def test_lattices_are_kept(monkeypatch):
+    """A unit that an earlier batch had is not built again; samples are the same with and without, and after forgetting."""
+    vocabulary = lattice_sampling.load_vocabulary()
+    rng = random.Random(61)
+    word = lambda: "".join(rng.choice("thecationsr\u00e9\u6f22\U0001f600") for _ in range(rng.randrange(1, 12)))
+    frequent = [word() for _ in range(80)]
+    batches = [[" ".join(rng.choice(frequent) if rng.random() < 0.8 else word() for _ in range(120)) for _ in range(6)] + [""] for _ in range(4)]
+    alone = [lattice_sampling.sample_batch(b, list(range(len(b))), vocabulary, 3) for b in batches]
+    build, built = lattice_sampling.Lattice, []
+
+    def counted(points, starts, ends, *rest):
+        built.extend(points[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+        return build(points, starts, ends, *rest)
+
+    monkeypatch.setattr(lattice_sampling, "Lattice", counted)
+    for kept, again in ((10**7, False), (0, True)):
+        built.clear()
+        known = lattice_sampling.Known(vocabulary, kept)
+        for b, want in zip(batches, alone, strict=True):
+            found = lattice_sampling.sample_batch(b, list(range(len(b))), vocabulary, 3, known)
+            for x, y in zip(found, want, strict=True):
+                assert [ids.tolist() for ids, *_ in x] == [ids.tolist() for ids, *_ in y]
+                assert [n for _, *numbers in x for n in numbers] == pytest.approx([n for _, *numbers in y for n in numbers])
+        assert (len(built) > len(set(built))) == again
+
+
+def test_alternatives_at_any_width():
+    """How many choices are looked at first does not change the best nodes beside a path."""
+    vocabulary = lattice_sampling.load_vocabulary()
+    rng = random.Random(62)
+    texts = [" ".join(rng.choice(["the", "nation", "understanding", "of", "cats", "xqzt"]) for _ in range(n)) for n in (1, 5, 90, 400)] + [""]
+    points, starts, ends, owner = lattice_sampling.units_of(texts)
+    lattice = lattice_sampling.Known(vocabulary)
+    kind = lattice.kinds(points, starts, ends)
+    search = lattice_sampling._Search(np.arange(len(texts)), owner)
+    paths = lattice_sampling._Paths(lattice, kind, owner, search.seed[owner] + np.arange(owner.size).astype(np.uint64), 0, None)
+    all_at_once = lattice_sampling._alternatives(lattice, paths, kind, search, 0, 3, 10**6)
+    assert [len(all_at_once.get(i, ())) for i in range(5)] == [3, 3, 3, 3, 0]
+    for width in (1, 7, 128):
+        found = lattice_sampling._alternatives(lattice, paths, kind, search, 0, 3, width)
+        for i in range(5):
+            assert [node[1:4] for node in found.get(i, ())] == [node[1:4] for node in all_at_once.get(i, ())]
+            assert [node[0] for node in found.get(i, ())] == pytest.approx([node[0] for node in all_at_once.get(i, ())])
+
+
+def test_sums_of_far_logarithms():
+    """Stretches whose logarithms are far below the largest of all have their own sums."""
+    rng = random.Random(63)
+    logs = np.array([-rng.random() * 9 - (2000 if i % 30 < 10 else 0) for i in range(300)])
+    head = np.arange(0, 300, 10)
+    assert lattice_sampling._log_sums(logs, head) == pytest.approx(np.logaddexp.reduceat(logs, head), rel=1e-13)
+
+
 def test_long_units():
     """A unit of any length is one lattice: pieces stand across every place, and the probabilities are those of the whole unit."""
     import sentencepiece
