@@ -8,8 +8,8 @@ by that of their parent. What the best node left over would have reached is the
 
 The vocabulary is that of a SentencePiece model; its merge ranks give the pieces Zipf probabilities. A text is cut into units
 before every blank and around every line break; no piece crosses such a cut, so the lattice of a text is the chain of
-its units' lattices, and a batch builds one lattice per distinct unit, whatever its length, that no batch of the task before has built. Random numbers depend on the row's
-key only. A batch of documents is worked out at once, up to ``BATCH`` characters; memory follows the longest document.
+its units' lattices. A task builds one lattice per distinct unit, whatever its length, and keeps them from batch to batch until they have more than
+``KEPT`` edges. Random numbers depend on the row's key only. A batch of documents is worked out at once, up to ``BATCH`` characters; memory follows the longest document.
 
 Defined cases: a null or empty text has one sample without pieces; texts with fewer than k segmentations give all of them;
 characters outside the vocabulary become byte pieces; rows with equal id and text get equal samples; a null id is a key of its own; other columns are ignored.
@@ -34,10 +34,10 @@ BLANK, BREAK = 0x2581, 0x0A
 ZIPF = 2.7
 BYTE_LOG = -25.0
 # Characters worked out at once, unless one document is longer.
-BATCH = 1 << 20
+BATCH = 1 << 19
 KEY_BITS = 18
 # Edges of lattices that a task keeps from one batch to the next; 24 bytes each.
-KEPT = 6 << 20
+KEPT = 4 << 20
 _NEGLIGIBLE = 30.0  # a noise this large has a probability of 1e-13
 SAMPLES = "id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 
